@@ -1,0 +1,84 @@
+"""Seeded text perturbations, as variants of each sample."""
+
+import random
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scalars import hash_int
+
+# Word swaps that keep the meaning.
+SYNONYMS = {
+    "the": "this", "and": "plus", "big": "large", "small": "little", "fast": "quick", "shows": "displays", "use": "employ",
+    "error": "fault", "result": "outcome", "data": "records", "method": "approach", "study": "investigation",
+}
+FILLERS = ("indeed", "notably", "in fact", "overall")
+DROPPABLE = {"very", "really", "quite", "just", "also", "the", "a", "an"}
+
+
+def _some(words: list[str], eligible: list[int], rng: random.Random, chance: float, change) -> str:
+    """Change eligible words with a chance, and one at least."""
+    picked = {i for i in eligible if rng.random() < chance} or ({rng.choice(eligible)} if eligible else set())
+    return " ".join(p for i, w in enumerate(words) if (p := change(w) if i in picked else w))
+
+
+def synonyms(text: str, rng: random.Random) -> str:
+    words = text.split(" ")
+    return _some(words, [i for i, w in enumerate(words) if w.lower() in SYNONYMS], rng, 0.3, lambda w: SYNONYMS[w.lower()])
+
+
+def blanks(text: str, rng: random.Random) -> str:
+    words = text.split(" ")
+    return _some(words, list(range(len(words) - 1)), rng, 0.5, lambda w: w + " ") if len(words) > 1 else text
+
+
+def casing(text: str, rng: random.Random) -> str:
+    return " ".join(w.swapcase() if rng.random() < 0.15 else w for w in text.split(" "))
+
+
+def insertion(text: str, rng: random.Random) -> str:
+    words = text.split(" ")
+    return _some(words, list(range(len(words))), rng, 0.1, lambda w: f"{w} {rng.choice(FILLERS)}") if text else text
+
+
+def deletion(text: str, rng: random.Random) -> str:
+    words = text.split(" ")
+    return _some(words, [i for i, w in enumerate(words) if w.lower() in DROPPABLE], rng, 0.5, lambda w: "") if len(words) > 1 else text
+
+
+def reorder(text: str, rng: random.Random) -> str:
+    for link in (" and ", " or "):
+        left, found, right = text.partition(link)
+        if found:
+            a, b = left.rsplit(" ", 1), right.split(" ", 1)
+            return " ".join([*a[:-1], b[0]]) + link + " ".join([a[-1], *b[1:]])
+    return text
+
+
+MUTATIONS = (synonyms, blanks, casing, insertion, deletion, reorder)
+
+
+def perturb(text: str, seed: int, entropy: int | None = None) -> str:
+    """One of the first three mutations by the seed; with entropy, one to three distinct of all six in turn."""
+    rng = random.Random(seed if entropy is None else seed ^ entropy)
+    if entropy is None:
+        return MUTATIONS[seed % 3](text, rng)
+    for mutate in rng.sample(MUTATIONS, (seed ^ entropy) % 3 + 1):
+        text = mutate(text, rng)
+    return text
+
+
+def perturb_variants(samples: DataFrame, seed_round: int, n: int = 2, entropy: int | None = None) -> DataFrame:
+    """variant_id, original_id and output of the perturbed copies of each sample."""
+    count = n if entropy is None else min(entropy % 3 + 1, n)
+
+    @F.pandas_udf("string")
+    def changed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, seeds in batches:
+            yield pd.Series([perturb(t or "", int(s), entropy) for t, s in zip(texts, seeds)])
+
+    each = samples.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    seed = hash_int(F.concat(F.col("id").cast("string"), F.lit(str(seed_round)), F.col("i").cast("string")))
+    return each.select(F.concat(F.col("id").cast("string"), F.lit("_perturb_"), F.col("i").cast("string")).alias("variant_id"), F.col("id").alias("original_id"), changed("output", seed).alias("output"))
