@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CACHE_CUTS = 400_000
+SLICE = 256
 
 
 def default_model() -> str:
@@ -151,9 +152,8 @@ class Codec:
         parts = [CUT.findall(" " + t) if t else [] for t in texts]
         if len(self.cuts) > CACHE_CUTS:
             self.cuts, self.bad = {}, set()
-        new = list({c for p in parts for c in p if c not in self.cuts})
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
+        if new := list({c for p in parts for c in p if c not in self.cuts}):
+            self._learn(new)
         of = self.cuts.__getitem__
         return [(b"".join(map(of, p)), not self.bad or self.bad.isdisjoint(p)) for p in parts]
 
@@ -175,6 +175,11 @@ def codec(path: str, verify: bool = True) -> Codec:
     return _codecs[path, verify]
 
 
+def slices(items: list) -> Iterator[list]:
+    """Items in runs of SLICE, so that few texts are cut up at a time."""
+    return (items[i : i + SLICE] for i in range(0, len(items), SLICE))
+
+
 def encode_documents(docs: DataFrame, model_path: str | None = None, verify: bool = True) -> DataFrame:
     """docs with ids (little-endian 32-bit) and parity (whether sentencepiece gives the same)."""
     from pyspark.sql import functions as F
@@ -185,7 +190,8 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, verify: boo
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path, verify)
         for texts in batches:
-            yield pd.DataFrame(c.encode(texts.tolist()), columns=["ids", "parity"])
+            rows = [r for some in slices(texts.tolist()) for r in c.encode(some)]
+            yield pd.DataFrame(rows, columns=["ids", "parity"])
 
     return docs.withColumn("__e", encode("text")).withColumns({"ids": F.col("__e.ids"), "parity": F.col("__e.parity")}).drop("__e")
 
@@ -200,7 +206,7 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, True)
         for ids in batches:
-            yield pd.Series(c.decode(ids.tolist()))
+            yield pd.Series([t for some in slices(ids.tolist()) for t in c.decode(some)])
 
     return encoded.withColumn("decoded", decode("ids"))
 
@@ -215,10 +221,11 @@ def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch]
-            got = c.encode(texts)
-            back = c.decode([i for i, _ in got])
-            rows = [(len(i) // 4, crc32(i), ok, t == r) for t, (i, ok), r in zip(texts, got, back)]
+            rows = []
+            for texts in slices([t or "" for t in batch]):
+                got = c.encode(texts)
+                back = c.decode([i for i, _ in got])
+                rows += [(len(i) // 4, crc32(i), ok, t == r) for t, (i, ok), r in zip(texts, got, back)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "parity", "round_trip"])
 
     return docs.select("doc_id", both("text").alias("r")).select("doc_id", "r.*")
