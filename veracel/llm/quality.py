@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words and of their character
-n-grams, hashed into a fixed number of buckets; a linear layer and a softmax give
+A document is the mean of the learned vectors of its words, of their character
+n-grams, and of its word pairs of one word twice (one mark for all of them), hashed
+into a fixed number of buckets; a linear layer and a softmax give
 the class.  Vectors and layer are trained together by numpy stochastic gradient
 descent on a bounded sample of labelled rows (MAX_TRAIN rows, the first in the
 order of a hash of doc_id).  The layer is linear in the mean, so after training
@@ -43,12 +44,19 @@ def word_features(word: str) -> list[int]:
     return [crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
 
+#: Bucket of a word that repeats the one before it.
+REPEAT = crc32(b"\1repeat") % BUCKETS
+
+
 def text_features(text: str | None) -> np.ndarray:
     """Bucket counts of a text, as (bucket, share) columns."""
     seen: dict[str, int] = {}
+    last, repeats = None, 0
     for w in (text or "").split():
         seen[w] = seen.get(w, 0) + 1
-    ids, counts = [], []
+        repeats += w == last
+        last = w
+    ids, counts = ([REPEAT], [repeats]) if repeats else ([], [])
     for w, n in seen.items():
         f = word_features(w)
         ids += f
@@ -69,13 +77,18 @@ class Model:
 
     def scorer(self):
         cache: dict[str, tuple[float, int]] = {}
-        weight, bias = self.weight, self.bias
+        weight, bias, repeat = self.weight, self.bias, float(self.weight[REPEAT])
 
         def score(text: str | None) -> float:
             total, n = 0.0, 0
             if len(cache) > CACHE_WORDS:
                 cache.clear()
+            last = None
             for w in (text or "").split():
+                if w == last:
+                    total += repeat
+                    n += 1
+                last = w
                 got = cache.get(w)
                 if got is None:
                     f = word_features(w)
