@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import materialize
 
 # Weights of the signal categories, and detectors of each tier.
 PAMP = {"pamp_score": 1.0}
@@ -17,11 +18,11 @@ SAFE = {"citation_count": 0.2, "hedging_ratio": 0.2, "numeric_density": 0.2, "ce
 TIERS = {"immature": ("ocsvm", "negsel"), "semi-mature": ("ocsvm", "negsel"), "mature": ()}
 
 
-def gram_pairs(queries: DataFrame, memory: DataFrame, block: int = 1024) -> DataFrame:
-    """qid, mid, distance of every query to every memory vector: a stated query set against all rows, in blocks.
+def in_blocks(queries: DataFrame, memory: DataFrame, reduce, schema: str, block: int = 1024) -> DataFrame:
+    """reduce(qids, mids, distances) over every pair of blocks: a stated query set against all rows, in blocks.
 
-    Rows are dealt into blocks, each pair of blocks one group of a bounded size, and distances come
-    from one matrix product a group. queries: qid, q; memory: mid, m (arrays)."""
+    Rows are dealt into blocks of a bounded size, each pair of blocks is one group, and distances come
+    from one matrix product a group; only what reduce returns leaves it. queries: qid, q; memory: mid, m (arrays)."""
     spark = queries.sparkSession
     nq = max(1, math.ceil(queries.count() / block))
     nm = max(1, math.ceil(memory.count() / block))
@@ -29,24 +30,45 @@ def gram_pairs(queries: DataFrame, memory: DataFrame, block: int = 1024) -> Data
     right = memory.select("mid", F.col("m").cast("array<double>").alias("m"), F.pmod(F.xxhash64("mid"), F.lit(nm)).alias("y"))
     left = left.join(F.broadcast(spark.range(nm).withColumnRenamed("id", "y")))
     right = right.join(F.broadcast(spark.range(nq).withColumnRenamed("id", "x")))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "mid": [], "distance": []}).astype({"qid": "int64", "mid": "int64", "distance": "float64"})
+            return pd.DataFrame({n: [] for n in names})
         q, m = np.stack(a["q"]), np.stack(b["m"])
         d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0))
-        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), len(b)), "mid": np.tile(b["mid"].to_numpy(), len(a)), "distance": d.ravel()})
+        return reduce(a["qid"].to_numpy(), b["mid"].to_numpy(), d)
 
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(near, "qid long, mid long, distance double")
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(near, schema)
 
 
 def nearest(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
-    """The k nearest memory vectors of each query, itself left out; ties by mid."""
+    """The k nearest memory vectors of each query, itself left out; ties by mid. Each group keeps its own k, then these meet."""
+
+    def closest(qids, mids, d):
+        d = np.where(qids[:, None] == mids[None, :], np.inf, np.round(d, 6))
+        rows = []
+        for i, q in enumerate(qids):
+            best = np.lexsort((mids, d[i]))[:k]
+            rows += [(q, mids[j], d[i, j]) for j in best if np.isfinite(d[i, j])]
+        return pd.DataFrame(rows, columns=["qid", "mid", "distance"])
+
     w = Window.partitionBy("qid").orderBy("distance", "mid")
-    d = gram_pairs(queries, memory).where("qid <> mid").withColumn("distance", F.round("distance", 6))
+    d = in_blocks(queries, memory, closest, "qid long, mid long, distance double")
     return d.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
 
+def kernel_novelty(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """1 - mean Gaussian kernel of each query to all other memory vectors."""
+
+    def sums(qids, mids, d):
+        other = qids[:, None] != mids[None, :]
+        return pd.DataFrame({"qid": qids, "s": (np.exp(-d * d) * other).sum(1), "n": other.sum(1)})
+
+    got = in_blocks(queries, memory, sums, "qid long, s double, n long")
+    return got.groupBy("qid").agg((1 - F.sum("s") / F.sum("n")).alias("novelty"))
+
+
 def neighbour_prior(found: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Mean outcome of each query's neighbours, weighted by 1 / (distance + 1e-8); 0.5 without any."""
     met = found.join(outcomes, "mid")
@@ -77,17 +99,23 @@ def local_outlier_factor(found: DataFrame) -> DataFrame:
 def percentile_score(values: DataFrame, baseline: DataFrame, value: str) -> DataFrame:
     """Anomaly score of a raw score against a baseline: its rank from above inside it, its deviation from the median outside.
 
-    The rank of a value is a running count over both columns in one sorted sweep."""
+    The rank of a value is the count of baseline values up to it: both columns are range-partitioned by
+    value, counted within each range, and each range adds what the ranges before it hold."""
     stats = baseline.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).withColumn("range", F.col("hi") - F.col("lo"))
-    upper = baseline.select(F.sort_array(F.collect_list(value)).alias("b")).select(F.element_at("b", (F.floor(F.size("b") / 2) + 1).cast("int")).alias("mid"))
     marks = baseline.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
     joined = values.select("id", value).unionByName(marks.select(F.lit(None).cast("long").alias("id"), value, "c"), allowMissingColumns=True)
-    upto = Window.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = joined.withColumn("idx", F.coalesce(F.sum("c").over(upto), F.lit(0))).where("id is not null")
-    s = ranked.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(upper))
-    inside = (F.col("idx") > 0) & (F.col("idx") < F.col("n"))
-    off = F.when(F.col("range") < 1e-10, 0.5).otherwise(text.clip(F.abs(F.col(value) - F.col("mid")) / F.when(F.col("range") >= 1e-10, F.col("range"))))
-    return s.select("id", F.when(inside, 1 - F.col("idx") / F.col("n")).otherwise(off).alias("score"))
+    dealt = materialize(joined.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "by-value")
+    before = dealt.groupBy("part").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("held"))  # a row per partition
+    before = before.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))
+    upto = Window.partitionBy("part").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(F.broadcast(before), "part").withColumn("idx", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    s = stats.first()
+    n, spread = s.n, s.range
+    upper = ranked.where(F.col("c").isNotNull() & (F.col("idx") > n // 2)).agg(F.min(value).alias("mid")).first().mid
+    scored = ranked.where("id is not null")
+    inside = (F.col("idx") > 0) & (F.col("idx") < n)
+    off = F.lit(0.5) if not n or spread < 1e-10 else text.clip(F.abs(F.col(value) - upper) / spread)
+    return scored.select("id", F.when(inside, 1 - F.col("idx") / n).otherwise(off).alias("score"))
 
 
 def isolation_scores(features: DataFrame, columns: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 5) -> DataFrame:

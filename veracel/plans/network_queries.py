@@ -245,12 +245,12 @@ def next_ids(spark, sf):
 
 
 def random_peers(spark, sf):
-    """Two other uids for each uid, in hash order."""
-    u = responses(spark, sf).select("uid").distinct()
-    h = F.sha2(F.concat_ws(":", F.col("uid").cast("string"), F.col("peer").cast("string")), 256)
-    w = Window.partitionBy("uid").orderBy(h)
-    p = u.join(u.withColumnRenamed("uid", "peer"), F.col("uid") != F.col("peer")).withColumn("k", F.row_number().over(w))
-    return p.where("k <= 2").select("uid", "peer")
+    """Two other uids for each uid: hashed steps around the ring of all uids, so that no uid meets every other."""
+    ring = responses(spark, sf).select("uid").distinct().withColumn("at", F.row_number().over(Window.orderBy("uid")) - 1)
+    n = ring.count()
+    step = hash_int(F.concat(F.lit("peer:"), F.col("uid").cast("string"))) % max(1, n - 2) + 1
+    each = ring.select("uid", F.explode(F.array(F.pmod(F.col("at") + step, F.lit(n)), F.pmod(F.col("at") + step + 1, F.lit(n)))).alias("at"))
+    return each.join(ring.withColumnRenamed("uid", "peer"), "at").select("uid", "peer")
 
 
 def orphans(spark, sf):
@@ -401,7 +401,8 @@ SQL = {
     "paired_bootstrap": with_views(f"""WITH s AS (SELECT sid, round(avg(score), 9) AS score FROM responses WHERE score IS NOT NULL GROUP BY sid), n AS (SELECT count(*) AS n FROM documents),
         d AS (SELECT i // n AS round, CAST('0x' || substr(sha256('b' || i), 1, 8) AS BIGINT) % n AS sid FROM n, range(10 * (SELECT count(*) FROM documents)) t(i)) SELECT round, {_r('avg(score)', 'mean')}, count(*) AS n FROM d JOIN s USING (sid) GROUP BY round""", "responses"),
     "next_ids": "SELECT source, max(doc_id) + 1 AS next_id FROM documents GROUP BY source",
-    "random_peers": with_views("WITH u AS (SELECT DISTINCT uid FROM responses), p AS (SELECT a.uid, b.uid AS peer, row_number() OVER (PARTITION BY a.uid ORDER BY sha256(a.uid || ':' || b.uid)) AS k FROM u a, u b WHERE a.uid <> b.uid) SELECT uid, peer FROM p WHERE k <= 2", "responses"),
+    "random_peers": with_views("""WITH r AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS at_, count(*) OVER () AS n FROM (SELECT DISTINCT uid FROM responses)),
+        e AS (SELECT uid, (at_ + CAST('0x' || substr(sha256('peer:' || uid), 1, 8) AS BIGINT) % greatest(1, n - 2) + 1 + k) % n AS at_ FROM r, range(2) t(k)) SELECT e.uid, r.uid AS peer FROM e JOIN r ON r.at_ = e.at_""", "responses"),
     "orphans": "SELECT count(*) FILTER (l.doc_id IS NULL) AS without_label, count(*) FILTER (d.doc_id IS NULL) AS without_document FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id",
     "labelled_semi": with_views("SELECT uid, count(*) AS n FROM responses WHERE sid IN (SELECT doc_id FROM labels) GROUP BY uid", "responses"),
     "hotkey_differences": with_views("""WITH a AS (SELECT DISTINCT uid FROM responses WHERE round = 0), b AS (SELECT DISTINCT uid FROM responses WHERE round = 1)

@@ -86,8 +86,8 @@ def kernel_novelty(spark, sf):
     """1 - mean Gaussian kernel of each query vector to all others (stands in for a one-class SVM)."""
     e = read(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    d = D.gram_pairs(q, e.select(F.col("vec_id").alias("mid"), F.col("embedding").alias("m"))).where("qid <> mid")
-    return d.groupBy("qid").agg(F.round(1 - F.avg(F.exp(-F.col("distance") * F.col("distance"))), 6).alias("novelty"))
+    n = D.kernel_novelty(q, e.select(F.col("vec_id").alias("mid"), F.col("embedding").alias("m")))
+    return n.select("qid", F.round("novelty", 6).alias("novelty"))
 
 
 def generated_samples(spark, sf):

@@ -2,24 +2,14 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..sources.tables import read, responses, with_views
 from .state import alert_stream, ema_stream, health_stream, windowed_events
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; of its own where spark.checkpoint.dir is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        import tempfile
-
-        given = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
 def streamed(df: DataFrame, transform, mode: str = "append", files: int = 1) -> DataFrame:
     """df written as files, read as a stream, transformed, and drained into a table."""
     spark = df.sparkSession
