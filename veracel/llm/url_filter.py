@@ -24,6 +24,9 @@ from .common import values_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Key ranges at most: their bounds are literals of the plan. A range is swept row by row, so it may be large.
+MAX_RANGES = 4096
+
 #: (host, path, verdict) of the query's rules.
 RULES = (
     ("net", "/", "block"),
@@ -72,7 +75,7 @@ def judge_urls(
     shuffle partition unless given.  Their bounds are quantiles of a sample of 16
     keys per range, the only rows that reach the driver."""
     spark = pages.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumns(
         {"key": host_key(F.col("host")), "salt": F.xxhash64("page_id", "path")}
