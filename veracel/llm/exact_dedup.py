@@ -3,9 +3,9 @@
 Rows are grouped by the MD5 of their text, without the text.  Only rows of groups
 of two or more come back with their text, to be compared with the text of the row
 that stays; one that differs (a collision) is set apart under its own text.  The
-hot key of a large group is pre-aggregated before the shuffle, and the joins that
-bring group facts back to rows are sort-merge joins that Spark splits when a key
-is skewed.
+hot key of a large group is pre-aggregated before the shuffle.  Facts of groups of
+two or more come back to rows by a broadcast of counted size, or beyond that by a
+sort-merge join of two tables, which Spark splits when a key is skewed.
 
 Null counts as empty.  Rows with one doc_id and one text form a group like any
 other.  Only doc_id and text are read, so other columns cannot clash.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialize
 
-#: Model texts are broadcast only if there are at most so many.
-MODEL_ROWS = 2000
+#: Texts of the rows that stay are broadcast only up to so many bytes.
+MODEL_BYTES = 16 << 20
 
 
 def content_hash(text: Column) -> Column:
@@ -36,23 +36,25 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest", hash_of=content_ha
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("h", hash_of(F.col("text")))
     digest = materialize(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256")), "digest")
-    groups = digest.groupBy("h").agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("rep"))
-    many = bounded(groups.where("n > 1"))
+    groups = digest.groupBy("h").agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("rep")).where("n > 1")
+    many = bounded(materialize(groups, "groups"))
     again = rows.join(many.select("h", "rep"), "h")
-    models = bounded(again.where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("h").agg(F.min("text").alias("model")), MODEL_ROWS)
+    found = again.where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("h").agg(F.min("text").alias("model"))
+    models = materialize(found, "models")
+    if (models.agg(F.sum(F.octet_length("model"))).first()[0] or 0) <= MODEL_BYTES:
+        models = F.broadcast(models)
     # differing texts under one hash: none, but for a collision
-    apart = (
-        again.join(models, "h").where("text <> model")
-        .groupBy("h", "text").agg(F.count(F.lit(1)).alias("own_n"), pick("doc_id").alias("own_rep"))
-        .withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    off = again.join(models, "h").where("text <> model")
+    apart = materialize(
+        off.groupBy("h", "text").agg(F.count(F.lit(1)).alias("own_n"), pick("doc_id").alias("own_rep"))
+        .select("h", F.sha2("text", 256).alias("text_sha256"), "own_n", "own_rep"), "collisions",
     )
-    off = apart.groupBy("h").agg(F.sum("own_n").alias("off_n"))
-    facts = groups.join(off, "h", "left").select("h", (F.col("n") - F.coalesce("off_n", F.lit(0))).alias("n"), "rep")
-    out = digest.join(facts, "h").join(apart, ["h", "text_sha256"], "left")
-    keep_id = F.when(F.col("own_n").isNull(), F.col("rep")).otherwise(F.col("own_rep"))
+    less = bounded(apart.groupBy("h").agg(F.sum("own_n").alias("off_n")))
+    out = digest.join(many, "h", "left").join(less, "h", "left").join(bounded(apart), ["h", "text_sha256"], "left")
+    keep_id = F.when(F.col("own_n").isNotNull(), F.col("own_rep")).when(F.col("n").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
+    size = F.coalesce("own_n", F.col("n") - F.coalesce("off_n", F.lit(0)), F.lit(1).cast("long"))
     return out.select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("own_n", "n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
+        "doc_id", keep_id.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
     )
 
 
