@@ -178,11 +178,11 @@ def test_adaptive_weights_keep_sum_and_bounds():
 
 
 def test_perturbations_change_and_repeat():
-    t = "the data shows a very big error and the method and the study"
+    t = "the data is a very large error and the method can show the study"
     for seed in range(12):
         assert perturb.perturb(t, seed, 5) == perturb.perturb(t, seed, 5)
     assert perturb.synonyms(t, random.Random(1)) != t and perturb.deletion(t, random.Random(1)) != t
-    assert perturb.reorder("x and y", random.Random(1)) == "y and x"
+    assert perturb.reorder("x y and z", random.Random(1)) == "z and x y" and perturb.reorder("a b c", random.Random(1)) == "c b a"
     assert all(perturb.perturb("", s) == "" for s in range(3))
 
 

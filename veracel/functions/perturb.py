@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from .scalars import hash_int
 
-# Word swaps that keep the meaning.
+# Word swaps that keep a text's class, words that may be put in, words that may go.
 SYNONYMS = {
-    "the": "this", "and": "plus", "big": "large", "small": "little", "fast": "quick", "shows": "displays", "use": "employ",
-    "error": "fault", "result": "outcome", "data": "records", "method": "approach", "study": "investigation",
+    "the": ("a", "this"), "is": ("represents", "constitutes"), "was": ("had been", "used to be"), "are": ("represent", "constitute"),
+    "has": ("possesses", "contains"), "have": ("possess", "contain"), "will": ("shall", "is going to"), "can": ("is able to", "may"),
+    "important": ("significant", "crucial", "vital"), "large": ("big", "substantial", "considerable"), "small": ("tiny", "minor", "slight"),
+    "good": ("excellent", "fine", "satisfactory"), "bad": ("poor", "inadequate", "unsatisfactory"), "show": ("demonstrate", "indicate", "reveal"),
+    "use": ("utilize", "employ", "apply"), "make": ("create", "produce", "generate"), "get": ("obtain", "acquire", "retrieve"),
+    "give": ("provide", "supply", "offer"), "find": ("discover", "locate", "identify"), "know": ("understand", "recognize", "realize"),
+    "think": ("believe", "consider", "suppose"), "see": ("observe", "notice", "perceive"), "come": ("arrive", "approach", "emerge"),
+    "go": ("proceed", "advance", "move"),
 }
-FILLERS = ("indeed", "notably", "in fact", "overall")
-DROPPABLE = {"very", "really", "quite", "just", "also", "the", "a", "an"}
+FILLERS = ("very", "quite", "rather", "indeed", "actually", "really", "certainly", "essentially", "basically", "generally")
+DROPPABLE = {"very", "quite", "rather", "really", "actually", "just", "simply", "basically", "essentially", "certainly", "truly", "merely"}
+PUNCTUATION = ".,!?;:\"'()[]"
 
 
 def _some(words: list[str], eligible: list[int], rng: random.Random, chance: float, change) -> str:
@@ -24,13 +31,18 @@ def _some(words: list[str], eligible: list[int], rng: random.Random, chance: flo
     return " ".join(p for i, w in enumerate(words) if (p := change(w) if i in picked else w))
 
 
+def _bare(w: str) -> str:
+    return w.strip(PUNCTUATION).lower()
+
+
 def synonyms(text: str, rng: random.Random) -> str:
-    words = text.split(" ")
-    return _some(words, [i for i, w in enumerate(words) if w.lower() in SYNONYMS], rng, 0.3, lambda w: SYNONYMS[w.lower()])
+    words = text.split()
+    swap = lambda w: w.lower().replace(_bare(w), rng.choice(SYNONYMS[_bare(w)]), 1)
+    return _some(words, [i for i, w in enumerate(words) if _bare(w) in SYNONYMS], rng, 0.3, swap)
 
 
 def blanks(text: str, rng: random.Random) -> str:
-    words = text.split(" ")
+    words = text.split()
     return _some(words, list(range(len(words) - 1)), rng, 0.5, lambda w: w + " ") if len(words) > 1 else text
 
 
@@ -39,22 +51,29 @@ def casing(text: str, rng: random.Random) -> str:
 
 
 def insertion(text: str, rng: random.Random) -> str:
-    words = text.split(" ")
-    return _some(words, list(range(len(words))), rng, 0.1, lambda w: f"{w} {rng.choice(FILLERS)}") if text else text
+    """A filler before some words of over three letters."""
+    words = text.split()
+    return _some(words, [i for i, w in enumerate(words) if len(_bare(w)) > 3], rng, 0.1, lambda w: f"{rng.choice(FILLERS)} {w}")
 
 
 def deletion(text: str, rng: random.Random) -> str:
-    words = text.split(" ")
-    return _some(words, [i for i, w in enumerate(words) if w.lower() in DROPPABLE], rng, 0.5, lambda w: "") if len(words) > 1 else text
+    words = text.split()
+    eligible = [i for i, w in enumerate(words) if _bare(w) in DROPPABLE]
+    return _some(words, eligible, rng, 0.5, lambda w: "") if eligible else text
 
 
 def reorder(text: str, rng: random.Random) -> str:
-    for link in (" and ", " or "):
-        left, found, right = text.partition(link)
-        if found:
-            a, b = left.rsplit(" ", 1), right.split(" ", 1)
-            return " ".join([*a[:-1], b[0]]) + link + " ".join([a[-1], *b[1:]])
-    return text
+    """The clauses around the first "and", else "or", change places; without either a sentence's words are reversed."""
+    for link in ("and", "or"):
+        left, found, right = (p.strip() for p in text.partition(f" {link} "))
+        if found and left and right:
+            return f"{right} {link} {left}"
+    parts = text.split(".")
+    filled = [i for i, p in enumerate(parts) if p.strip()]
+    if filled:
+        i = rng.choice(filled)
+        parts[i] = " ".join(reversed(parts[i].split()))
+    return ".".join(parts)
 
 
 MUTATIONS = (synonyms, blanks, casing, insertion, deletion, reorder)
