@@ -36,26 +36,33 @@ RECORD = "round_index long, ema_alpha double, scores array<struct<uid:bigint,raw
 def replay(rewards: DataFrame, order: str, alpha: float = 0.1) -> DataFrame:
     """Round records with EMA scores, sorted by uid and linked by hash. rewards: order, uid, reward.
 
-    EMA runs per uid and each round's body is hashed in parallel; only the digests, 64 characters a
-    round, are linked in one ordered pass."""
+    EMA runs per uid. A record's hash covers the one before it, so linking is one ordered pass, through
+    which records stream a batch at a time; only the hash is carried."""
     from .history import ema
 
     smooth = ema(rewards.select("uid", order, "reward"), order, "reward", "uid", alpha=alpha)
     score = F.struct("uid", F.col("reward").alias("raw_reward"), F.col("ema").alias("ema_score"), F.concat(F.lit("hk"), F.col("uid").cast("string")).alias("hotkey"))
-    bodies = smooth.groupBy(F.col(order).alias("round_index")).agg(F.array_sort(F.collect_list(score)).alias("scores"))
-    bodies = bodies.withColumn("round_index", F.row_number().over(Window.orderBy("round_index")) - 1)
+    places = rewards.select(order).distinct().select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("round_index"))
+    bodies = smooth.groupBy(order).agg(F.array_sort(F.collect_list(score)).alias("scores"))
+    bodies = bodies.join(F.broadcast(places), order).select(F.col("round_index").cast("long").alias("round_index"), "scores")
+
+    def link(batches):
+        prev = GENESIS
+        for b in batches:
+            rows = []
+            for index, scores in zip(b["round_index"], b["scores"]):
+                record = {"round_index": int(index), "ema_alpha": alpha, "scores": [_plain(s) for s in scores], "prev_hash": prev}
+                digest = record_hash(record)
+                rows.append((record["round_index"], alpha, record["scores"], prev, digest, len(scores)))
+                prev = digest
+            yield pd.DataFrame(rows, columns=["round_index", "ema_alpha", "scores", "prev_hash", "hash", "n_scores"])
+
+    return bodies.repartition(1).sortWithinPartitions("round_index").mapInPandas(link, RECORD)
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, rows = GENESIS, []
-        for r in pdf.sort_values("round_index").itertuples(index=False):
-            scores = [dict(s) if isinstance(s, dict) else s.asDict() for s in r.scores]
-            record = {"round_index": int(r.round_index), "ema_alpha": alpha, "scores": [{k: (v.item() if hasattr(v, "item") else v) for k, v in s.items()} for s in scores], "prev_hash": prev}
-            digest = record_hash(record)
-            rows.append((record["round_index"], alpha, record["scores"], prev, digest, len(scores)))
-            prev = digest
-        return pd.DataFrame(rows, columns=["round_index", "ema_alpha", "scores", "prev_hash", "hash", "n_scores"])
 
-    return bodies.groupBy(F.lit(0).alias("chain")).applyInPandas(link, RECORD)
+def _plain(score) -> dict:
+    """A score as Python values, whatever Arrow made of it."""
+    return {k: (v.item() if hasattr(v, "item") else v) for k, v in (score if isinstance(score, dict) else score.asDict()).items()}
 
 
 def verify(log: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def verify(log: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                scores = [{k: (v.item() if hasattr(v, "item") else v) for k, v in (s if isinstance(s, dict) else s.asDict()).items()} for s in r.scores]
+                scores = [_plain(s) for s in r.scores]
                 bad = any(isinstance(v, float) and not math.isfinite(v) for s in scores for v in s.values())
                 own = "" if bad else record_hash({"round_index": int(r.round_index), "ema_alpha": float(r.ema_alpha), "scores": scores, "prev_hash": r.prev_hash})
                 out.append((int(r.round_index), r.prev_hash, r.hash, own))

@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def similar_pairs(scores: DataFrame, least: float = 0.99, shared: int = 3, *keys: str) -> DataFrame:
     """a < b with the cosine of their scores over shared samples. scores: keys, uid, sid, score."""
@@ -38,14 +40,37 @@ def greedy_cliques(edges: list[tuple[int, int]], least: int = 3) -> list[list[in
     return groups
 
 
-def cliques(pairs: DataFrame, key: str) -> DataFrame:
-    """key, group, uid of the greedy cliques of each key's graph of similar pairs."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, class_id: the least id that edges (id, root) connect each id with.
+
+    Each round every id takes the least label around it, then the label's label, so chains shorten by
+    halves; labels are written between rounds. Joins on a hub's key are of two tables, so skew is split."""
+    edges = edges.select("id", "root").where("root is not null").distinct()
+    both = materialize(edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root"))).distinct(), "edges")
+    labels = materialize(both.groupBy("id").agg(F.least(F.min("root"), F.col("id")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("root"), "label"), "root").groupBy("id").agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
+        far = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
+        best = F.least("new", F.coalesce("far", "new"))
+        step = materialize(step.join(far, "new", "left").select("id", best.alias("label"), (best < F.col("label")).alias("moved")), "labels")
+        labels = step.select("id", "label")
+        if step.where("moved").isEmpty():
+            return labels.withColumnRenamed("label", "class_id")
+
+
+def cliques(pairs: DataFrame) -> DataFrame:
+    """seed, uid of the greedy cliques of the graph of similar pairs.
+
+    A seed gathers only uids linked to it, so each connected part of the graph is worked on by itself."""
+    parts = components(pairs.select(F.col("a").alias("id"), F.col("b").alias("root")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = greedy_cliques(list(zip(pdf["a"].tolist(), pdf["b"].tolist())))
-        return pd.DataFrame([(pdf[key].iloc[0], i, u) for i, g in enumerate(found) for u in g], columns=[key, "group", "uid"])
+        return pd.DataFrame([(g[0], u) for g in found for u in g], columns=["seed", "uid"])
 
-    return pairs.groupBy(key).applyInPandas(run, f"{key} long, group long, uid long")
+    marked = pairs.join(parts.withColumnRenamed("id", "a"), "a")
+    return marked.groupBy("class_id").applyInPandas(run, "seed long, uid long")
 
 
 def penalised(rewards: DataFrame, members: DataFrame, *keys: str) -> DataFrame:

@@ -41,8 +41,7 @@ def collusion_pairs(spark, sf):
 
 
 def collusion_groups(spark, sf):
-    pairs = N.similar_pairs(_by_uid(spark, sf), 0.9, 3).withColumn("scope", F.lit(0).cast("long"))
-    return N.cliques(pairs, "scope")
+    return N.cliques(N.similar_pairs(_by_uid(spark, sf), 0.9, 3))
 
 
 def collusion_penalty(spark, sf):
