@@ -17,8 +17,10 @@ and text of the documents are read, so other columns cannot clash.
 
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, small_batches
+
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAIN = 4000
 BUCKETS = 1 << 17
@@ -34,37 +38,53 @@ NGRAMS = (3, 4)
 EPOCHS = 12
 RATE = 0.5
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of a word and of the character n-grams of <word>."""
-    marked = f"<{word}>"
-    grams = [word, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))]
-    return [crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+CACHE_WORDS = 150_000
+SLICE = 128  # texts scored at a time
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of the character n-grams of <word>, and which word each belongs to."""
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    start = np.cumsum(size) - size
+    # a word's own hash: its code points times powers of an odd number by their places
+    powers = np.cumprod(np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
+    whole = np.add.reduceat(_mix(codes) * powers[np.arange(len(codes)) - np.repeat(start, size)], start) if len(words) else codes
+    buckets, owners = [_mix(whole)], [np.arange(len(words))]
+    for n in NGRAMS:
+        if len(codes) < n:
+            continue
+        inside = owner[: len(codes) - n + 1] == owner[n - 1 :]
+        h = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k])
+        buckets.append(h[inside]), owners.append(owner[: len(inside)][inside])
+    return (np.concatenate(buckets) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 #: Bucket of a word that repeats the one before it.
 REPEAT = crc32(b"\1repeat") % BUCKETS
 
 
-def text_features(text: str | None) -> np.ndarray:
-    """Bucket counts of a text, as (bucket, share) columns."""
-    seen: dict[str, int] = {}
-    last, repeats = None, 0
-    for w in (text or "").split():
-        seen[w] = seen.get(w, 0) + 1
-        repeats += w == last
-        last = w
-    ids, counts = ([REPEAT], [repeats]) if repeats else ([], [])
-    for w, n in seen.items():
-        f = word_features(w)
-        ids += f
-        counts += [n] * len(f)
-    if not ids:
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares of all its features."""
+    words = (text or "").split()
+    counts = Counter(words)
+    repeats = sum(map(eq, words, words[1:]))
+    if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    buckets, at = np.unique(np.array(ids), return_inverse=True)
-    share = np.bincount(at, weights=counts).astype(np.float32)
+    ids, owner = word_features(list(counts))
+    weights = np.fromiter(counts.values(), np.float64, len(counts))[owner]
+    if repeats:
+        ids, weights = np.append(ids, REPEAT), np.append(weights, repeats)
+    buckets, at = np.unique(ids, return_inverse=True)
+    share = np.bincount(at, weights=weights).astype(np.float32)
     return buckets, share / share.sum()
 
 
@@ -76,27 +96,26 @@ class Model:
     bias: float
 
     def scorer(self):
-        cache: dict[str, tuple[float, int]] = {}
-        weight, bias, repeat = self.weight, self.bias, float(self.weight[REPEAT])
-
-        def score(text: str | None) -> float:
-            total, n = 0.0, 0
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            last = None
-            for w in (text or "").split():
-                if w == last:
-                    total += repeat
-                    n += 1
-                last = w
-                got = cache.get(w)
-                if got is None:
-                    f = word_features(w)
-                    got = cache[w] = (float(weight[f].sum()), len(f))
-                total += got[0]
-                n += got[1]
-            z = bias + (total / n if n else 0.0)
-            return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+        """A function from texts to scores; it keeps what each word adds, for up to CACHE_WORDS words."""
+        sums: dict[str, float] = {}
+        sizes: dict[str, int] = {}
+        repeat = float(self.weight[REPEAT])
+
+        def score(texts: list[str | None]) -> list[float]:
+            parts = [(t or "").split() for t in texts]
+            if len(sums) > CACHE_WORDS:
+                sums.clear(), sizes.clear()
+            new = list({w for p in parts for w in p if w not in sums})
+            ids, owner = word_features(new)
+            sums.update(zip(new, np.bincount(owner, self.weight[ids], len(new)).tolist()))
+            sizes.update(zip(new, np.bincount(owner, minlength=len(new)).tolist()))
+            out = []
+            for p in parts:
+                again = sum(map(eq, p, p[1:]))
+                n = sum(map(sizes.__getitem__, p)) + again
+                z = self.bias + ((sum(map(sums.__getitem__, p)) + again * repeat) / n if n else 0.0)
+                out.append(1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z)))
+            return out
 
         return score
 
@@ -154,14 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, all_fold
 
 def score_documents(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; or all columns of docs and score."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shipped = spark.sparkContext.broadcast((model.weight, model.bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = Model(*shipped.value).scorer()
         for texts in batches:
-            yield pd.Series([of(t) for t in texts], dtype="float64")
+            rows = texts.tolist()
+            yield pd.Series([x for i in range(0, len(rows), SLICE) for x in of(rows[i : i + SLICE])], dtype="float64")
+        del of
+        release()
 
     if keep_columns:
         return docs.withColumn("__score", score("text"))
