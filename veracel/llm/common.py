@@ -58,6 +58,28 @@ def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Rows that a Python worker gets at a time, so that a batch of long texts stays small.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands texts to Python in small batches (unless it was told otherwise)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) == 10_000:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else unmarked,
     and Spark joins by sort and merge."""

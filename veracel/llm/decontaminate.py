@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, words
+from .common import WORD_TABLE, release, small_batches, words
 
 WINDOW = 10
 #: Words of all items beyond which the automaton is refused.
@@ -172,7 +172,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 rows.append((len(ws), sum(b - a for a, b in hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256"])
 
-    return docs.select("doc_id", look("text").alias("r")).select("doc_id", "r.*").withColumn("contaminated", F.col("n_hit") > 0)
+    return small_batches(docs).select("doc_id", look("text").alias("r")).select("doc_id", "r.*").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -192,6 +192,9 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 new, total, hit = auto.clean(text)
                 rows.append((new, hit / total if total else 0.0))
             yield pd.DataFrame(rows, columns=["text", "share"])
+        release()
 
-    marked = docs.withColumn("__cut", cut("text")).where(F.col("__cut.share") <= max_coverage)
+    # else the filter below would have every text cut a second time
+    cut = cut.asNondeterministic()
+    marked = small_batches(docs).withColumn("__cut", cut("text")).where(F.col("__cut.share") <= max_coverage)
     return marked.withColumn("text", F.col("__cut.text")).drop("__cut")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, materialize, small_batches
 from .url_filter import host_of
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -161,7 +161,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([[{"path": p, "score": s} for p, s in page_scores(blocks(t or "")).items()] for t in texts])
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), F.explode(votes("html")).alias("v"))
+    cast = small_batches(pages).select(host_of(F.col("url")).alias("host"), F.explode(votes("html")).alias("v"))
     sums = cast.groupBy("host", "v.path").agg(F.round(F.sum("v.score"), 6).alias("score"))
     return sums.groupBy("host").agg(
         F.max_by("path", F.struct("score", F.length("path"), F.col("path"))).alias("winner")

@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, words
+from ..operators.network import components
+from .common import bounded, materialize, release, small_batches, words
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -39,7 +40,7 @@ DEPTH = 6
 RECALL = 0.9995
 BINS = 50  # of similarity, for the estimate of recall
 BLOCK = 128  # texts of a block; two blocks are compared in one group
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 M64 = (1 << 64) - 1
 
@@ -53,6 +54,12 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Free what a task leaves in its worker."""
+    _hashes.clear()
+    release()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -127,8 +134,9 @@ def sign(docs: DataFrame, n: int, trees: int, top: int, low: int) -> DataFrame:
                     levels += [node.view(np.int64)] if d + 1 >= low else []
                 keys.append(np.concatenate(levels) if len(s) else np.zeros(0, np.int64))
             yield pd.DataFrame({"copy": copies, "keys": keys})
+        forget()
 
-    return docs.select("doc_id", signed("text").alias("r")).select("doc_id", "r.*")
+    return small_batches(docs).select("doc_id", signed("text").alias("r")).select("doc_id", "r.*")
 
 
 def compare(keys: np.ndarray, deeper: np.ndarray | None, sets: list[np.ndarray], first: np.ndarray, tree: int, threshold: float):
@@ -248,6 +256,7 @@ def _compare_level(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, level:
                 out = []
         out += result(group) if group else []
         yield pd.DataFrame(out, columns=names).astype({"root": "Int64"})
+        release()
 
     kinds = "id long, root long, n_links long, n_linked_docs long, similar array<long>"
     return materialize(grouped.mapInPandas(verify, kinds), "links")
@@ -263,6 +272,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, trees: int
     def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, n).tobytes() for t in texts])
+        forget()
 
     grams = (
         docs.select(F.col("doc_id").alias("id"), "text").join(bounded(wanted), "id", "left_semi")
@@ -286,25 +296,6 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, trees: int
     return found.drop("similar")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, class_id: the least id that edges (id, root) connect each id with.
-
-    Each round every id takes the least label around it, then the label's label,
-    so chains shorten by halves; labels are written between rounds."""
-    edges = materialize(edges.select("id", "root").distinct(), "edges")
-    both = edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root"))).distinct()
-    labels = materialize(both.groupBy("id").agg(F.least(F.min("root"), F.col("id")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("root"), "label"), "root").groupBy("id").agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        far = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        step = step.join(far, "new", "left").select("id", (F.least("new", F.coalesce("far", "new"))).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("moved"))
-        step = materialize(step, "labels")
-        labels = step.select("id", "label")
-        if step.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "class_id")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of its component), rep_id (of its copy class), n_links (texts linked to it),
     n_linked_docs (documents linked to it, copies included) of every row."""
@@ -317,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     )
     reps = materialize(reps, "reps")
     found = links(rows, reps.select("id", "keys", "copies"), threshold, n, trees, top, low, block)
-    classes = components(found.where("root is not null"))
+    classes = components(found)
     sums = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("linked"))
     facts = reps.select("copy", "id", "copies").join(sums, "id", "left").join(classes, "id", "left").select(
         "copy", F.col("id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"),

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -143,7 +143,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 rows.append((*n.values(), joined(base), mentions(text, base)))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "mentions"])
 
-    return docs.select("doc_id", look("text").alias("r")).select("doc_id", "r.*")
+    return small_batches(docs).select("doc_id", look("text").alias("r")).select("doc_id", "r.*")
 
 
 def known_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

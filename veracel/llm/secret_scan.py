@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex
+from .common import sha256_hex, small_batches
 
 KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -227,4 +227,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 rows.append((*n.values(), sha256_hex(joined(r["base"])), joined(r["spans"]), r["layers"], len(r["spans"]) - len(r["base"]), r["oversize"]))
             yield pd.DataFrame(rows, columns=FIELDS)
 
-    return docs.select("doc_id", look("text").alias("r")).select("doc_id", "r.*")
+    return small_batches(docs).select("doc_id", look("text").alias("r")).select("doc_id", "r.*")

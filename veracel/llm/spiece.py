@@ -19,15 +19,17 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import release, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-CACHE_CUTS = 400_000
+CACHE_CUTS = 150_000
 SLICE = 256
 
 
@@ -119,8 +121,8 @@ class Codec:
         # within a Spark task the library's own threads share the task's cores
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = PieceModel(path)
-        self.whole = self.model.tokenizer()
-        self.plain = self.model.tokenizer(prefix=False)
+        self.cut = self.model.cuttable and self.model.dummy_prefix
+        self.tok = self.model.tokenizer(prefix=not self.cut)  # a cut brings its own marker
         self.cuts: dict[str, bytes] = {}
         self.bad: set[str] = set()
         self.reference = None
@@ -131,7 +133,7 @@ class Codec:
 
     def _learn(self, cuts: list[str]) -> None:
         """Encode new cuts; each begins with a blank, so the pipeline's own marker comes from it."""
-        for cut, e in zip(cuts, self.plain.encode_batch(cuts, add_special_tokens=False)):
+        for cut, e in zip(cuts, self.tok.encode_batch(cuts, add_special_tokens=False)):
             self.cuts[cut] = np.array(e.ids, "<u4").tobytes()
         if self.reference is not None:
             theirs = self.reference.encode([c[1:] for c in cuts], num_threads=1)  # the library puts the marker back
@@ -142,8 +144,8 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit, whether all parts passed the checks) of each text."""
         texts = [t or "" for t in texts]
-        if not self.model.cuttable or not self.model.dummy_prefix:
-            got = self.whole.encode_batch(texts, add_special_tokens=False)
+        if not self.cut:
+            got = self.tok.encode_batch(texts, add_special_tokens=False)
             ids = [np.array(e.ids, "<u4").tobytes() if t else b"" for e, t in zip(got, texts)]
             if self.reference is None:
                 return [(i, True) for i in ids]
@@ -159,7 +161,8 @@ class Codec:
 
     def decode(self, ids: list[bytes]) -> list[str]:
         got = [np.frombuffer(b, "<u4").tolist() for b in ids]
-        return self.whole.decode_batch(got, skip_special_tokens=False)
+        out = self.tok.decode_batch(got, skip_special_tokens=False)
+        return [t[1:] for t in out] if self.cut else out
 
 
 #: A run of blanks with what follows up to the next blank; newlines stay inside.
@@ -181,25 +184,27 @@ def slices(items: list) -> Iterator[list]:
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None, verify: bool = True) -> DataFrame:
-    """docs with ids (little-endian 32-bit) and parity (whether sentencepiece gives the same)."""
-    from pyspark.sql import functions as F
-
+    """docs with ids (little-endian 32-bit), parity (sentencepiece gives the same) and round_trip (they decode to the text)."""
     path = model_path or default_model()
 
-    @F.pandas_udf("struct<ids:binary,parity:boolean>")
+    @F.pandas_udf("struct<ids:binary,parity:boolean,round_trip:boolean>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path, verify)
-        for texts in batches:
-            rows = [r for some in slices(texts.tolist()) for r in c.encode(some)]
-            yield pd.DataFrame(rows, columns=["ids", "parity"])
+        for batch in batches:
+            rows = []
+            for texts in slices([t or "" for t in batch]):
+                got = c.encode(texts)
+                back = c.decode([i for i, _ in got])
+                rows += [(i, ok, t == r) for t, (i, ok), r in zip(texts, got, back)]
+            yield pd.DataFrame(rows, columns=["ids", "parity", "round_trip"])
+        release()
 
-    return docs.withColumn("__e", encode("text")).withColumns({"ids": F.col("__e.ids"), "parity": F.col("__e.parity")}).drop("__e")
+    coded = small_batches(docs).withColumn("__e", encode("text"))
+    return coded.withColumns({c: F.col(f"__e.{c}") for c in ("ids", "parity", "round_trip")}).drop("__e")
 
 
 def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """encoded with decoded, the text of its ids."""
-    from pyspark.sql import functions as F
-
     path = model_path or default_model()
 
     @F.pandas_udf("string")
@@ -213,19 +218,5 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
 
 def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """One row per document: how many ids, their CRC, parity, and whether they decode to the text."""
-    from pyspark.sql import functions as F
-
-    path = model_path or default_model()
-
-    @F.pandas_udf("struct<n_tokens:bigint,ids_crc32:bigint,parity:boolean,round_trip:boolean>")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        for batch in batches:
-            rows = []
-            for texts in slices([t or "" for t in batch]):
-                got = c.encode(texts)
-                back = c.decode([i for i, _ in got])
-                rows += [(len(i) // 4, crc32(i), ok, t == r) for t, (i, ok), r in zip(texts, got, back)]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "parity", "round_trip"])
-
-    return docs.select("doc_id", both("text").alias("r")).select("doc_id", "r.*")
+    coded = encode_documents(docs.select("doc_id", "text"), model_path)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")

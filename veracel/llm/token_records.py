@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, small_batches
 
 END_ID = 1
 MASK = 0xA282EAD8
@@ -146,7 +146,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
             coded = enc.encode([t or "" for t in texts], end_id)
             yield pd.Series([frame(None if d is None else int(d), c, enc.width, pack)[:-1] for d, c in zip(ids, coded)])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.select(framed(F.col("doc_id").cast("string"), "text").cast("string").alias("value")).write.text(path)
 
 
