@@ -39,7 +39,7 @@ TREES = 16
 DEPTH = 6
 RECALL = 0.9995
 BINS = 50  # of similarity, for the estimate of recall
-BLOCK = 128  # texts of a block; two blocks are compared in one group
+BLOCK = 256  # texts of a block; two blocks are compared in one group
 CACHE_WORDS = 100_000
 
 M64 = (1 << 64) - 1
