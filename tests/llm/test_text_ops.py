@@ -260,3 +260,17 @@ def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
 def test_prefix_depth_meets_the_recall():
     d = jaccard_join.prefix_depth()
     assert jaccard_join.recall_at(d) >= jaccard_join.RECALL > jaccard_join.recall_at(d + 1)
+
+
+def test_copy_groups_do_not_hide_pairs_at_the_threshold(spark):
+    rng = random.Random(8)
+    say = lambda k: [f"{rng.getrandbits(40):x}" for _ in range(k)]
+    rows = []
+    for _ in range(600):  # 40 of 50 n-grams in common
+        base = say(44)
+        rows += [(len(rows), " ".join(base + say(5))), (len(rows) + 1, " ".join(base + say(5)))]
+    group = say(300)
+    copies = [(len(rows) + i, " ".join(group + say(1))) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    assert [d for d, _ in rows if got[d] != d - d % 2] == []
+    assert {got[d] for d, _ in copies} == {len(rows)}

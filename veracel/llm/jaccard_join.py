@@ -2,19 +2,18 @@
 
 Documents with one set of n-grams form a copy class, and one row stands for each.
 A MinHash LSH forest finds candidates: every tree holds each signature as a path
-of minimum hashes, and two texts meet where their paths share a prefix.  Nodes of
-the tries are compared from the deepest level upwards: after each level the recall
-is estimated from the similarities of the links found so far (a link of similarity
-s is found with the chance 1 - (1 - s^depth)^trees), and prefixes are shortened by
-one until that estimate reaches the target, at the latest at the depth whose chance
-for a pair at the threshold itself reaches it.  A node with the members of a node
-already compared is passed over.
+of minimum hashes, and two texts meet where their paths share a prefix.  The prefix
+is shortened from the full depth until a pair at the threshold itself meets in some
+tree with the target chance, 1 - (1 - s^depth)^trees at similarity s; more similar
+pairs meet with a higher one.  The depth depends on the threshold alone, never on
+the rows, so no group of copies changes which other pairs are found.  Of nodes with
+the same members one is compared.
 
 Nodes are compared in blocks of bounded size, each pair of blocks one group, with
 exact intersections of the n-gram sets.  A group gives each text's number of links
-and a spanning forest of them, never the pairs; a pair counts at the deepest level
-and in the first tree where it meets.  Classes are the connected components, found
-by spreading the least id with tables between rounds.
+and a spanning forest of them, never the pairs; a pair counts in the first tree
+where it meets.  Classes are the connected components, found by spreading the least
+id with tables between rounds.
 
 Texts of fewer than n words have one n-gram, all their words; texts without words,
 null ones included, form one class.  doc_id is taken to be unique; of repeated
@@ -38,7 +37,6 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 6
 RECALL = 0.9995
-BINS = 50  # of similarity, for the estimate of recall
 BLOCK = 256  # texts of a block; two blocks are compared in one group
 CACHE_WORDS = 100_000
 
@@ -109,40 +107,31 @@ def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRE
     return depth
 
 
-def estimated_recall(similar: list[int], depth: int, trees: int) -> float:
-    """Share of all links that those found at this depth should be; similar: links by similarity, in BINS bins up to 1."""
-    found = sum(similar)
-    if not found:
-        return 0.0
-    return found / sum(n / recall_at(depth, trees, b / BINS) for b, n in enumerate(similar) if n)
-
-
-def sign(docs: DataFrame, n: int, trees: int, top: int, low: int) -> DataFrame:
-    """doc_id, copy (128-bit digest of the n-gram set), keys (nodes of every tree at depth low, then low + 1 up to top)."""
+def sign(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
+    """doc_id, copy (128-bit digest of the n-gram set), keys (node of every tree at this depth)."""
 
     @F.pandas_udf("struct<copy:binary,keys:array<bigint>>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        perms = _permutations(trees * top)
+        perms = _permutations(trees * depth)
         for texts in batches:
             copies, keys = [], []
             for t in texts:
                 s = shingles(t, n)
                 copies.append(xxhash.xxh128_digest(s.tobytes()))
-                path, node, levels = signature(s, perms).reshape(trees, top), np.zeros(trees, np.uint64), []
-                for d in range(top):
+                path, node = signature(s, perms).reshape(trees, depth), np.zeros(trees, np.uint64)
+                for d in range(depth):
                     node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + path[:, d])
-                    levels += [node.view(np.int64)] if d + 1 >= low else []
-                keys.append(np.concatenate(levels) if len(s) else np.zeros(0, np.int64))
+                keys.append(node.view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pd.DataFrame({"copy": copies, "keys": keys})
         forget()
 
     return small_batches(docs).select("doc_id", signed("text").alias("r")).select("doc_id", "r.*")
 
 
-def compare(keys: np.ndarray, deeper: np.ndarray | None, sets: list[np.ndarray], first: np.ndarray, tree: int, threshold: float):
-    """Links i < j of one group with their similarities: all, and those that no earlier tree or deeper level had.
+def compare(keys: np.ndarray, sets: list[np.ndarray], first: np.ndarray, tree: int, threshold: float):
+    """Links i < j of one group: all, and whether no earlier tree had them.
 
-    keys, deeper: nodes of every tree at this level and the one below, if that was compared.
+    keys: nodes of every tree.
     first: block of each row; if there are two, only pairs across them count."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -165,13 +154,9 @@ def compare(keys: np.ndarray, deeper: np.ndarray | None, sets: list[np.ndarray],
     if len(set(first.tolist())) > 1:
         near &= first[:, None] != first[None, :]
     i, j = np.nonzero(near)
-    sim = both[i, j].astype(np.float64) / union[i, j]
-    exact = sim >= threshold
-    i, j, sim = i[exact], j[exact], sim[exact]
-    old = (keys[i, :tree] == keys[j, :tree]).any(axis=1)
-    if deeper is not None:
-        old |= (deeper[i] == deeper[j]).any(axis=1)
-    return i, j, sim, ~old
+    exact = both[i, j].astype(np.float64) / union[i, j] >= threshold
+    i, j = i[exact], j[exact]
+    return i, j, ~(keys[i, :tree] == keys[j, :tree]).any(axis=1)
 
 
 def _forest(ids: list[int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -192,10 +177,9 @@ def _forest(ids: list[int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int
     return [(ids[x], ids[find(x)]) for x in range(len(ids)) if find(x) != x]
 
 
-def _nodes(reps: DataFrame, level: int, trees: int) -> DataFrame:
-    """id, tree, key of every text at one level of the forest."""
-    part = F.slice("keys", level * trees + 1, trees)
-    return reps.select("id", F.posexplode(part).alias("tree", "key"))
+def _nodes(reps: DataFrame) -> DataFrame:
+    """id, tree, key of every text."""
+    return reps.select("id", F.posexplode("keys").alias("tree", "key"))
 
 
 MEMBERS = ("n", "lo", "hi", "sum", "xor")
@@ -210,10 +194,8 @@ def _shared_nodes(nodes: DataFrame) -> DataFrame:
     return found.groupBy(*MEMBERS).agg(F.min(F.struct("tree", "key")).alias("b")).select("b.*", *MEMBERS)
 
 
-def _compare_level(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, level: int, top: int, trees: int, threshold: float, block: int) -> DataFrame:
-    """id, root, n_links, n_linked_docs, similar: partial results of the chosen nodes of one level.
-
-    root: a linked text of lower id or null; similar: on the lower text of each link, links by similarity."""
+def _compare_nodes(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """id, root (a linked text of lower id or null), n_links, n_linked_docs: partial results of the chosen nodes."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = nodes.join(chosen.select("tree", "key", "n"), ["tree", "key"]).select(
         "id", "tree", "key", blocks.alias("nb"), F.pmod(F.xxhash64("id", "key"), blocks).cast("int").alias("own")
@@ -222,25 +204,22 @@ def _compare_level(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, level:
         "id", "tree", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
     )
     grouped = spread.join(sets, "id").repartition("tree", "key", "x", "y").sortWithinPartitions("tree", "key", "x", "y", "id")
-    names = ["id", "root", "n_links", "n_linked_docs", "similar"]
+    names = ["id", "root", "n_links", "n_linked_docs"]
 
     def result(group: list) -> list:
         if len(group) < 2 or (group[0].x != group[0].y and len({g.own for g in group}) < 2):
             return []
         ids, keys = [g.id for g in group], np.stack([g.keys for g in group])
-        here = keys[:, level * trees : (level + 1) * trees]
-        deeper = keys[:, (level + 1) * trees : (level + 2) * trees] if level < top else None
-        i, j, sim, new = compare(here, deeper, [np.frombuffer(g.grams, np.uint64) for g in group], np.array([g.own for g in group]), group[0].tree, threshold)
+        i, j, new = compare(keys, [np.frombuffer(g.grams, np.uint64) for g in group], np.array([g.own for g in group]), group[0].tree, threshold)
         if not len(i):
             return []
         roots = dict(_forest(ids, i, j))
-        i, j, sim = i[new], j[new], sim[new]
-        count, docs_of, similar = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros((len(ids), BINS + 1), np.int64)
+        i, j = i[new], j[new]
+        count, docs_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         copies = np.array([g.copies for g in group])
         np.add.at(count, i, 1), np.add.at(count, j, 1)
         np.add.at(docs_of, i, copies[j]), np.add.at(docs_of, j, copies[i])
-        np.add.at(similar, (i, np.floor(sim * BINS).astype(int)), 1)
-        return [(v, roots.get(v), int(c), int(d), s) for v, c, d, s in zip(ids, count, docs_of, similar) if c or v in roots]
+        return [(v, roots.get(v), int(c), int(d)) for v, c, d in zip(ids, count, docs_of) if c or v in roots]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, at, out = [], None, []
@@ -258,15 +237,17 @@ def _compare_level(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, level:
         yield pd.DataFrame(out, columns=names).astype({"root": "Int64"})
         release()
 
-    kinds = "id long, root long, n_links long, n_linked_docs long, similar array<long>"
+    kinds = "id long, root long, n_links long, n_linked_docs long"
     return materialize(grouped.mapInPandas(verify, kinds), "links")
 
 
-def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, trees: int, top: int, low: int, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
-    """id, root, n_links, n_linked_docs: partial results per text and group over the levels compared.
+def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int = BLOCK) -> DataFrame:
+    """id, root, n_links, n_linked_docs: partial results per text and group.
 
-    reps: id, keys (levels low to top), copies (rows of the copy class)."""
-    wanted = materialize(_nodes(reps, 0, trees).join(_shared_nodes(_nodes(reps, 0, trees)).select("tree", "key"), ["tree", "key"]).select("id").distinct(), "candidates")
+    reps: id, keys (node of every tree), copies (rows of the copy class)."""
+    nodes = _nodes(reps)
+    chosen = materialize(_shared_nodes(nodes), "nodes")
+    wanted = materialize(nodes.join(chosen.select("tree", "key"), ["tree", "key"]).select("id").distinct(), "candidates")
 
     @F.pandas_udf("binary")
     def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -279,35 +260,19 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, trees: int
         .select("id", set_of("text").alias("grams")).dropDuplicates(["id"])
     )
     sets = materialize(grams.join(reps, "id"), "gram-sets")  # id, grams, keys, copies
-    few = sets.select("id", "keys")
-    found, done = None, None
-    for depth in range(top, low - 1, -1):
-        nodes = _nodes(few, depth - low, trees)
-        chosen = _shared_nodes(nodes)
-        if done is not None:
-            chosen = chosen.join(done, list(MEMBERS), "left_anti")
-        chosen = materialize(chosen, "nodes")
-        got = _compare_level(nodes, chosen, sets, depth - low, top - low, trees, threshold, block)
-        found = got if found is None else found.unionByName(got)
-        done = chosen.select(*MEMBERS) if done is None else done.unionByName(chosen.select(*MEMBERS))
-        similar = found.agg(*[F.coalesce(F.sum(F.col("similar")[b]), F.lit(0)) for b in range(BINS + 1)]).first()
-        if estimated_recall(list(similar), depth, trees) >= recall:
-            break
-    return found.drop("similar")
+    return _compare_nodes(_nodes(sets), chosen, sets, threshold, block)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of its component), rep_id (of its copy class), n_links (texts linked to it),
     n_linked_docs (documents linked to it, copies included) of every row."""
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").alias("given"), "text")
-    low = prefix_depth(trees, threshold=threshold)
-    top = max(DEPTH, low)
-    signed = materialize(sign(rows, n, trees, top, low), "signed")
+    signed = materialize(sign(rows, n, trees, prefix_depth(trees, threshold=threshold)), "signed")
     reps = signed.groupBy("copy").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc_id").alias("keys")
     )
     reps = materialize(reps, "reps")
-    found = links(rows, reps.select("id", "keys", "copies"), threshold, n, trees, top, low, block)
+    found = links(rows, reps.select("id", "keys", "copies"), threshold, n, block)
     classes = components(found)
     sums = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("linked"))
     facts = reps.select("copy", "id", "copies").join(sums, "id", "left").join(classes, "id", "left").select(
