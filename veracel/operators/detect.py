@@ -58,6 +58,16 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     return d.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
 
+def neighbourhoods(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query, of those neighbours, and of their neighbours, each among all of memory: what a local outlier factor needs."""
+    found = materialize(nearest(queries, memory, k), "neighbours")
+    for _ in range(2):
+        more = found.select("mid").distinct().join(found.select(F.col("qid").alias("mid")).distinct(), "mid", "left_anti")
+        further = memory.join(more, "mid", "left_semi").select(F.col("mid").alias("qid"), F.col("m").alias("q"))
+        found = found.unionByName(materialize(nearest(further, memory, k), "neighbours"))
+    return found
+
+
 def kernel_novelty(queries: DataFrame, memory: DataFrame) -> DataFrame:
     """1 - mean Gaussian kernel of each query to all other memory vectors."""
 
@@ -88,7 +98,7 @@ def negative_selection(distance: Column, radius: float) -> Column:
 
 
 def local_outlier_factor(found: DataFrame) -> DataFrame:
-    """Local outlier factor from each row's k neighbours. found: qid, mid, distance for every row."""
+    """Local outlier factor from each row's k neighbours. found: qid, mid, distance of the rows asked for, their neighbours and the neighbours of those (else of every row)."""
     reach_of = found.groupBy("qid").agg(F.max("distance").alias("k_distance"))
     reach = found.join(reach_of.select(F.col("qid").alias("mid"), "k_distance"), "mid").select("qid", "mid", F.greatest("distance", "k_distance").alias("reach"))
     density = reach.groupBy("qid").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))

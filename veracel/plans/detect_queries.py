@@ -32,16 +32,18 @@ def neighbour_prior(spark, sf):
 
 
 def negative_selection(spark, sf):
+    """Scores of the vectors divisible by 20; the self radius is an estimate from their nearest distances among all vectors."""
     found = _neighbours(spark, sf, 1)
     r = D.self_radius(found)
     return found.select("qid", F.round(D.negative_selection(F.col("distance"), r / 2), 5).alias("score"))
 
 
 def local_outliers(spark, sf):
-    """Local outlier factor of the vectors divisible by 20, among themselves."""
-    e = _vectors(spark, sf).where("vec_id % 20 = 0")
-    found = D.nearest(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("mid"), F.col("embedding").alias("m")), 5)
-    return D.local_outlier_factor(found).select("qid", F.round("lof", 4).alias("lof"))
+    """Local outlier factor of the vectors divisible by 20, among all vectors."""
+    e = _vectors(spark, sf)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    found = D.neighbourhoods(q, e.select(F.col("vec_id").alias("mid"), F.col("embedding").alias("m")), 5)
+    return D.local_outlier_factor(found).where("qid % 20 = 0").select("qid", F.round("lof", 4).alias("lof"))
 
 
 def reconstruction_error(spark, sf):
