@@ -1,10 +1,13 @@
 """Secret scan and personal data."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import zlib
 from urllib.parse import quote
 
 from veracel.llm import pii, secret_scan
@@ -68,6 +71,34 @@ def test_bombs_and_cycles_end(monkeypatch):
     assert secret_scan.scan("%25" * 200)["layers"] > 0
 
 
+def test_base64_goes_on_over_line_ends():
+    clear = f"é some text of several lines, long enough to be wrapped, with {KEY} across a line end, and a tail é"
+    enc = base64.b64encode(clear.encode()).decode()
+    packed = base64.b64encode(gzip.compress((clear + " ".join(map(str, range(200)))).encode())).decode()
+    for body in (enc, packed):
+        for width, end in ((76, "\n"), (64, "\r\n  "), (20, "\\n")):
+            lines = end.join(body[i : i + width] for i in range(0, len(body), width))
+            for text in (lines, f"-----BEGIN CERTIFICATE-----\n{lines}\n-----END CERTIFICATE-----", f"looking at: {lines}\nThe end"):
+                spans = [(a, b) for a, b, k in secret_scan.scan(text)["spans"] if k == "access"]
+                assert len(spans) >= 1 and all(text.index(lines) <= a < b <= text.index(lines) + len(lines) for a, b in spans), (width, text)
+
+
+def test_compressed_bytes_in_url_and_escapes():
+    clear = f"here is {KEY} and {' '.join(map(str, range(50)))}".encode()
+    for data in (gzip.compress(clear), zlib.compress(clear), bz2.compress(clear), lzma.compress(clear)):
+        for enc in (quote(data, safe=""), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data), repr(data)[2:-1]):
+            text = f"q={enc} end"
+            (a, b, kind), = {s for s in secret_scan.scan(text)["spans"] if s[2] == "access"}
+            assert (a, b) == (2, 2 + len(enc)), (text, a, b)
+
+
+def test_each_layer_has_its_own_bound(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_LAYER_CHARS", 3_000)
+    text = " ".join(quote(f"{c * 1500}=", safe="") for c in "ghij") + " " + base64.b64encode(f"here is {KEY} ok".encode()).decode()
+    got = secret_scan.scan(text)
+    assert got["oversize"] == 0 and [k for *_, k in got["spans"]] == ["access"]
+
+
 def test_secrets_on_odd_rows(odd_docs, no_docs):
     rows = secret_scan.scan_secrets(odd_docs).collect()
     assert len(rows) == 10

@@ -3,8 +3,10 @@
 Every text is layer zero.  A layer is scanned, then each URL-encoded,
 Unicode-escaped, base64 or compressed stretch in it is decoded into a new layer
 whose characters remember which characters of the original text they came from.
-Layers go through a worklist until none is new; a layer seen before over the
-same stretch is not entered again, so cycles end.
+Base64 goes on over line ends and indents, and compressed bytes are unpacked
+whether they came as base64, URL-encoded or escaped.  Layers go through a worklist
+until none is new; a layer seen before over the same stretch is not entered again,
+so cycles end.
 
 Null and empty texts have no spans.  Repeated rows each get their own row.  Only
 doc_id and text are read, so other columns cannot clash.
@@ -39,8 +41,13 @@ URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
-#: Decoded characters of one document beyond which a layer is counted as
-#: oversize instead of being unpacked (a compression bomb).
+NEXT_LINE = re.compile(r"(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
+BYTE_ESCAPE = re.compile(r"\\([abfnrtv0\\'\"])")
+BYTES_OF = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00", re.S)
+
+#: Decoded characters of one layer beyond which it is counted as oversize
+#: instead of being unpacked (a compression bomb). Each layer has its own bound.
 MAX_LAYER_CHARS = 1 << 26
 
 FIELDS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_decoded_spans", "n_oversize")
@@ -111,16 +118,17 @@ def _escape_layer(text: str):
     return "".join(out), starts, ends
 
 
-def _unpack(data: bytes, room: int) -> bytes | None:
-    """Decompressed bytes, None if data is not compressed; OverflowError beyond room."""
+def _unpack(data, room: int) -> tuple[bytes, int] | None:
+    """Decompressed bytes and how many of data they took, None if data is not compressed; OverflowError beyond room."""
+    head = bytes(data[:6])
     try:
-        if data[:2] == b"\x1f\x8b":
+        if head[:2] == b"\x1f\x8b":
             d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        elif head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
             d = zlib.decompressobj()
-        elif data[:3] == b"BZh":
+        elif head[:3] == b"BZh":
             d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
+        elif head == b"\xfd7zXZ\x00":
             d = lzma.LZMADecompressor()
         else:
             return None
@@ -129,30 +137,109 @@ def _unpack(data: bytes, room: int) -> bytes | None:
         return None
     if len(out) > room:
         raise OverflowError
-    return out
+    return out, len(data) - len(d.unused_data)
+
 
+def _readable(data: bytes) -> str | None:
+    try:
+        t = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return t if t and sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.95 * len(t) else None
 
-def _base64_layer(text: str, lo: int, hi: int, room: int):
-    raw = text[lo:hi].rstrip("=")
+
+def _inflated(data: bytes, room: int) -> bytes:
+    """data, decompressed for as long as it is compressed."""
+    while (inner := _unpack(data, room)) is not None:
+        data = inner[0]
+    return data
+
+
+def _base64_layer(text: str, parts: list[tuple[int, int]], room: int):
+    """Layer of the base64 characters of the parts, one for each line."""
+    raw = "".join(text[a:b] for a, b in parts).rstrip("=")
     if len(raw) % 4 == 1:
         return None
     try:
         data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    at = None
-    while (inner := _unpack(data, room)) is not None:  # compressed, perhaps more than once
-        data, at = inner, (lo, hi)
-    try:
-        t = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not t or sum(c.isprintable() or c in "\t\r\n" for c in t) < 0.95 * len(t):
+    clear = _inflated(data, room)
+    if (t := _readable(clear)) is None:
         return None
-    if at:
-        return t, [lo] * len(t), [hi] * len(t)
-    places = [(lo + k * 8 // 6, min(hi, lo + (k * 8 + 7) // 6 + 1)) for k in range(len(data))]
-    return _chars_of(data, places)
+    if clear is not data:
+        return t, [parts[0][0]] * len(t), [parts[-1][1]] * len(t)
+    at = range(*parts[0]) if len(parts) == 1 else [i for a, b in parts for i in range(a, b)]
+    return _chars_of(data, [(at[k * 8 // 6], at[(k * 8 + 7) // 6] + 1) for k in range(len(data))])
+
+
+def _base64_runs(text: str):
+    """Lists of (start, end) of lines that may be one base64 text: every run alone, and runs that go on over line ends.
+
+    Words before and after wrapped base64 look like lines of it, so the lines are also tried without the first, without
+    the last, and as each stretch of equal lines with the shorter one after it."""
+    done = 0
+    for m in BASE64_RUN.finditer(text):
+        yield [m.span()]
+        if m.start() < done:
+            continue
+        lines = [m.span()]
+        while text[lines[-1][1] - 1] != "=" and (len(lines) == 1 or lines[-1][1] - lines[-1][0] >= 16) and (n := NEXT_LINE.match(text, lines[-1][1])):
+            lines.append(n.span(1))
+        k, done = len(lines), lines[-1][1]
+        if k == 1:
+            continue
+        tried = {(0, k), (1, k), (0, k - 1), (1, k - 1)}
+        width = [len(text[a:b].rstrip("=")) for a, b in lines]
+        i = 0
+        while i < k:
+            j = i + 1
+            while j < k and width[j] == width[i]:
+                j += 1
+            tried |= {(i, j)} | ({(i, j + 1)} if j < k and width[j] < width[i] else set())
+            i = j
+        yield from (lines[a:b] for a, b in sorted(tried) if b - a > 1)
+
+
+def _raw_bytes(text: str, lo: int, hi: int, pattern: re.Pattern, bytes_of):
+    """Bytes that a stretch stands for, and the (start, end) of each; bytes_of a match: its bytes, of equal shares of it, or of all of it."""
+    data, at, pos = bytearray(), [], lo
+    for m in (*pattern.finditer(text, lo, hi), None):
+        for i in range(pos, m.start() if m else hi):
+            b = text[i].encode("utf-8", "surrogatepass")
+            data += b
+            at += [(i, i + 1)] * len(b)
+        if m:
+            b = bytes_of(m)
+            step = (m.end() - m.start()) // len(b) if pattern is URL_BYTES else 0
+            data += b
+            at += [(m.start() + k * step, m.start() + (k + 1) * step) if step else m.span() for k in range(len(b))]
+            pos = m.end()
+    return bytes(data), at
+
+
+def _escaped_byte(m: re.Match) -> bytes:
+    if m[6]:
+        return bytes([BYTES_OF[m[6]]])
+    code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
+    return bytes([code]) if code < 256 else chr(min(code, 0x10FFFF)).encode("utf-8", "surrogatepass")
+
+
+ESCAPED_BYTE = re.compile(f"{ESCAPE.pattern}|{BYTE_ESCAPE.pattern}")
+
+
+def _streams(data: bytes, at: list[tuple[int, int]], room: int):
+    """Layers of the compressed streams in bytes that were not base64; None for oversize ones."""
+    view, pos = memoryview(data), 0
+    while m := MAGIC.search(data, pos):
+        pos = m.start() + 1
+        try:
+            got = _unpack(view[m.start() :], room)
+            if got and (t := _readable(_inflated(got[0], room))):
+                pos = m.start() + got[1]
+                yield t, [at[m.start()][0]] * len(t), [at[pos - 1][1]] * len(t)
+        except OverflowError:
+            yield None
 
 
 def _children(layer: Layer, room: int):
@@ -160,12 +247,18 @@ def _children(layer: Layer, room: int):
     t = layer.text
     if "%" in t:
         for m in URL_RUN.finditer(t):
-            yield _url_layer(t, m.start(), m.end())
+            yield (got := _url_layer(t, *m.span()))
+            if got[0].isascii():
+                continue  # no compressed bytes
+            data, at = _raw_bytes(t, *m.span(), URL_BYTES, lambda x: bytes.fromhex(x[0].replace("%", "")))
+            yield from _streams(data, at, room)
     if ("\\" in t or "&#" in t) and (got := _escape_layer(t)):
         yield got
-    for m in BASE64_RUN.finditer(t):
+        if not got[0].isascii():
+            yield from _streams(*_raw_bytes(t, 0, len(t), ESCAPED_BYTE, _escaped_byte), room)
+    for lines in _base64_runs(t):
         try:
-            if got := _base64_layer(t, m.start(), m.end(), room):
+            if got := _base64_layer(t, lines, room):
                 yield got
         except OverflowError:
             yield None
@@ -176,10 +269,10 @@ def scan(text: str | None) -> dict:
     text = text or ""
     base = base_spans(text)
     spans, seen, layers, oversize = set(base), set(), 0, 0
-    work, room = deque([Layer(text, None, None)]), MAX_LAYER_CHARS
+    work = deque([Layer(text, None, None)])
     while work:
         layer = work.popleft()
-        for got in _children(layer, room):
+        for got in _children(layer, MAX_LAYER_CHARS):
             if got is None:
                 oversize += 1
                 continue
@@ -189,10 +282,9 @@ def scan(text: str | None) -> dict:
             key = (sha256_hex(t), starts[0], ends[-1]) if t else None
             if key is None or key in seen:
                 continue
-            if len(t) > room:
+            if len(t) > MAX_LAYER_CHARS:
                 oversize += 1
                 continue
-            room -= len(t)
             seen.add(key)
             layers += 1
             spans |= {(starts[a], max(ends[a:b]), kind) for a, b, kind in base_spans(t)}
