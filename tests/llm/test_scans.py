@@ -153,3 +153,14 @@ def test_personal_data_on_odd_rows(odd_docs, no_docs):
     rows = pii.find_personal_data(odd_docs).collect()
     assert len(rows) == 10 and all(r.spans == "" for r in rows)
     assert pii.find_personal_data(no_docs).count() == 0
+
+
+def test_patterns_with_half_their_instances_unseen(spark):
+    seen = [(i, f"word{'abcdefghijkl'[i]} call me at +1 (555) 010-22{i:02d} before noon") for i in range(12)]
+    unseen = [(100 + i, f"word{'abcdefghijkl'[i]} call me at 555-0{i:02d}-4477 before noon") for i in range(12)]
+    contrary = [(200 + i, f"we shall meet at 555-1{i:02d}-4477 old square") for i in range(9)]
+    mixed = [(300 + i, f"we shall meet at +1 (555) 010-33{i:02d} old square") for i in range(9)] + [(400 + i, f"we shall meet at no{i} old square") for i in range(9)]
+    docs = spark.createDataFrame([*seen, *unseen, *contrary, *mixed], "doc_id long, text string")
+    got = {r.doc_id: r.n_found for r in pii.find_personal_data(docs).collect()}
+    assert all(got[d] == 1 for d, _ in unseen)
+    assert all(got[d] == 0 for d, _ in contrary)

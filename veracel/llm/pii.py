@@ -3,8 +3,9 @@
 Base spans (e-mail, IP, card, phone) are the seeds.  Every mention, seed or
 candidate of a looser shape, has two lexical patterns: the two words before it
 and the two words after it.  Spark scores the graph of patterns and instances in
-rounds: a pattern's confidence for a kind is the share of its instances' weight
-that is known to be of that kind, an instance's is the noisy-or of its good
+rounds: a pattern's confidence for a kind is the share of the known ones among its
+instances that are known to be of that kind or contrary to it, where candidates of
+that kind not yet known are unlabelled; an instance's is the noisy-or of its good
 patterns.  Instances that reach the threshold count as known in the next round,
 so they induce further patterns.  Candidate mentions of instances known at the
 end become spans beside the base ones.
@@ -162,11 +163,13 @@ def known_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
         marked = edges.select("pattern", "inst").join(known, "inst")
+        loose = edges.where("kind is not null").select("pattern", "inst", "kind").join(known, "inst", "left_anti")
+        same = marked.unionByName(loose, allowMissingColumns=True).groupBy("pattern", "kind").agg(F.countDistinct("inst").alias("same"))
         good = (
             marked.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= MIN_SEEDS)
-            .join(sizes, "pattern")
-            .withColumn("conf", F.col("n") / (F.col("size") + 1))
+            .join(sizes, "pattern").join(same, ["pattern", "kind"])
+            .withColumn("conf", F.col("n") / (F.col("n") + F.col("size") - F.col("same") + 1))
             .where(F.col("conf") >= MIN_CONFIDENCE)
         )
         fresh = (
