@@ -162,6 +162,23 @@ def test_main_text_by_consensus(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_whole_articles_of_nested_layouts(spark):
+    part = lambda i, k: f"Paragraph {k} of page {i}, " + "with quite a few more words in it, " * 6
+    nested = {
+        "article": lambda i: f"<article><h1>Head {i}</h1><p>Intro {i}</p><section><p>{part(i, 1)}</section><ul><li>One</ul><section><p>{part(i, 2)}</section></article>",
+        "main": lambda i: f"<main><h1>Head {i}</h1><p>Intro {i}</p><div class=body><p>{part(i, 1)}<ul><li>One</ul><p>{part(i, 2)}</div></main>",
+        "div": lambda i: f"<div class=post><h1>Head {i}</h1><p>Intro {i}</p><div class=text><p>{part(i, 1)}</div><ul><li>One</ul><div class=text><p>{part(i, 2)}</div></div>",
+    }
+    rows = [(len(nested) * i + k, f"http://{host}.example/{i}", f"<body><nav>Home</nav>{page(i)}<footer>Foot</footer></body>") for k, (host, page) in enumerate(nested.items()) for i in range(8)]
+    second = f"<body><article><section><p>{part(9, 1)}</section><div class=extra><p>{part(9, 2)}</div></article></body>"
+    rows.append((99, "http://article.example/second", second))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for d, *_ in rows[:-1]:
+        i = d // 3
+        assert got[d] == "\n\n".join([f"Head {i}", f"Intro {i}", part(i, 1).strip(), "One", part(i, 2).strip()])
+    assert got[99] == f"{part(9, 1).strip()}\n\n{part(9, 2).strip()}"
+
+
 def test_broken_pages_do_not_crash():
     for page in ("<", "<a", "<!--", "<script>x", "<p", "a < b > c", "</div></div>", '<a href="x', "<" * 1000, "<div" * 1000 + ">", "&#99999999; &bogus;", "<textarea>", "<![CDATA[x]]>"):
         html_text.extract(page, "body")

@@ -5,7 +5,9 @@ tags with their classes, digits generalised.  A container scores the share of th
 page's running text that stands directly in its paragraphs.  Spark adds these
 scores up per host and path; the path with the most votes is the host's, and every
 page is read again for what stands in containers on that path.  A page without
-that path uses its own best container.
+that path uses its own best container.  Either is widened to the whole article of the
+page: to the article or main element around it, to parents with text of their own
+beside it (headings, introductions), and until it holds nearly all running text.
 
 Null and empty pages give the empty text.  Pages with a null url vote under the
 empty host.  Ties go to the longer, then the first path.  Repeated rows each get
@@ -39,6 +41,7 @@ NOISE_WORDS = {
     "comments", "respond", "discussion", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget",
     "toolbar", "skip", "legal", "disclaimer", "gdpr", "contentinfo", "complementary", "alert",
 }
+NEARLY = 0.9  # of a page's running text, held by its article
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
@@ -143,14 +146,41 @@ def best_path(scores: dict[str, float]) -> str:
     return min(scores, key=lambda p: (-round(scores[p], 9), -len(p), p), default="")
 
 
+def widened(path: str, found: list[tuple[str, str, int]]) -> str:
+    """The path, or the ancestor of it that holds the whole article of the page."""
+    steps = path.split(">")
+    tags = [s.partition(".")[0] for s in steps]
+    for tag in ("article", "main"):
+        if tag in tags:
+            steps = steps[: tags.index(tag) + 1]
+            break
+    mass = Counter()
+    for p, text, linked in found:
+        mass[p] += max(0, len(text) - linked)
+    total = sum(mass.values())
+
+    def held(top: str) -> int:
+        return sum(n for p, n in mass.items() if p == top or p.startswith(top + ">"))
+
+    while len(steps) > 1:
+        up = ">".join(steps[:-1])
+        beside = mass[up] and steps[-2].partition(".")[0] not in ("html", "body")
+        in_article = steps[-1].partition(".")[0] in ("article", "main")
+        if held(">".join(steps)) >= NEARLY * total and (in_article or not beside):
+            break
+        steps.pop()
+    return ">".join(steps)
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """Blocks in containers on the path, or on the page's own best path, joined by empty lines."""
+    """Blocks of the article around the path, or around the page's own best path, joined by empty lines."""
     found = blocks(page or "")
-    inside = [t for p, t, _ in found if path and (p == path or p.startswith(path + ">"))]
-    if not inside and found:
-        own = best_path(page_scores(found))
-        inside = [t for p, t, _ in found if p == own or p.startswith(own + ">")]
-    return "\n\n".join(inside)
+    if not found:
+        return ""
+    inside = lambda top: [t for p, t, _ in found if p == top or p.startswith(top + ">")]
+    if not path or not inside(path):
+        path = best_path(page_scores(found))
+    return "\n\n".join(inside(widened(path, found)))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
