@@ -2,7 +2,7 @@
 
 import numpy as np
 from veracel.plans.registry import QUERIES
-from veracel.sources.tables import read
+from veracel.sources.tables import read, responses
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +19,15 @@ def test_local_outliers_use_all_vectors(spark):
     got = {r.qid: r.lof for r in QUERIES["local_outliers"](spark, SF).collect()}
     assert set(got) == {i for i in ids if i % 20 == 0}
     assert all(abs(got[i] - v) < 2e-4 for i, v in zip(ids, lof) if i in got)
+
+
+def test_hotkey_changes_cover_all_rounds(spark):
+    seen = {}
+    for r in responses(spark, SF).select("round", "uid").distinct().collect():
+        seen.setdefault(r.round, set()).add(r.uid)
+    want, rounds = set(), sorted(seen)
+    for a, b in zip(rounds, rounds[1:]):
+        for side, uids in (("new", seen[b] - seen[a]), ("removed", seen[a] - seen[b]), ("both", seen[a] & seen[b])):
+            want |= {(b, side, u) for u in uids}
+    got = [tuple(r) for r in QUERIES["hotkey_changes"](spark, SF).collect()]
+    assert len(rounds) > 2 and len(got) == len(want) and set(got) == want

@@ -271,6 +271,17 @@ def hotkey_differences(spark, sf):
     return kinds.select("side", "uid")
 
 
+def hotkey_changes(spark, sf):
+    """Uids new, removed or in both, of each round against the round before it."""
+    seen = responses(spark, sf).select("round", "uid").distinct()
+    rounds = seen.select("round").distinct().withColumn("place", F.row_number().over(Window.orderBy("round")))  # a row per round
+    now = seen.join(F.broadcast(rounds), "round").select("place", "uid", F.lit(True).alias("here"))
+    was = now.select((F.col("place") + 1).alias("place"), "uid", F.lit(True).alias("before"))
+    side = F.when(F.col("here").isNull(), "removed").when(F.col("before").isNull(), "new").otherwise("both")
+    both = now.join(was, ["place", "uid"], "full").select("place", "uid", side.alias("side"))
+    return both.where("place > 1").join(F.broadcast(rounds), "place").select("round", "side", "uid")
+
+
 def right_wins_merge(spark, sf):
     """Documents' language with labelled ones overwritten by their truth."""
     d, m = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("old")), manifest(spark, sf).select(F.col("sid").alias("id"), F.col("truth").alias("new"))
@@ -318,7 +329,7 @@ QUERIES = {f.__name__: f for f in (
     snapshot_changes, coordinated_drops, diversity_bonus, population_diversity, subnet_health, trust_score, api_health, ema_scores, trajectories,
     oscillation_events, metastable_events, replica_divergence, convergence_counts, stale_scores, failure_runs, mean_latency, history_window,
     telemetry_percentiles, feedback_signals, alert_cooldown, rate_limit, rotation_exclusions, unseen_samples, round_samples, miner_challenge, dataset_refresh,
-    paired_bootstrap, next_ids, random_peers, orphans, labelled_semi, hotkey_differences, right_wins_merge, duplicate_ids, schema_validation,
+    paired_bootstrap, next_ids, random_peers, orphans, labelled_semi, hotkey_differences, hotkey_changes, right_wins_merge, duplicate_ids, schema_validation,
     balance_by_source, synthetic_responses,
 )}
 
