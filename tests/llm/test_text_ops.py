@@ -291,3 +291,13 @@ def test_copy_groups_do_not_hide_pairs_at_the_threshold(spark):
     got = {r.doc_id: r.class_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
     assert [d for d, _ in rows if got[d] != d - d % 2] == []
     assert {got[d] for d, _ in copies} == {len(rows)}
+
+
+def test_repeated_and_null_ids(spark):
+    own, copy, near = ("".join(f"{w}{i} " for i in range(60)) for w in "abc")
+    rows = [(1, own), (1, copy), (2, copy), (None, near), (None, near), (None, near + "more"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = exact_dedup.drop_duplicates(docs)
+    assert sorted((str(r.doc_id), r.text or "") for r in exact.collect()) == sorted([("1", own), ("2", copy), ("None", near), ("None", near + "more"), ("3", "")])
+    kept = sorted((str(r.doc_id), (r.text or "")[:180]) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == sorted([("1", own[:180]), ("1", copy[:180]), ("None", near[:180]), ("3", "")])

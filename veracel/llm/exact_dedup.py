@@ -59,12 +59,14 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest", hash_of=content_ha
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept."""
+    """docs with one row of each group of equal texts, all columns kept; rows go by doc_id (null-safe) and text."""
     marked = duplicate_groups(docs, keep)
-    gone = marked.where("not kept").select("doc_id").distinct()
-    twice = marked.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(bounded(gone), "doc_id", "left_anti")
+    gone = marked.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    twice = marked.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count().where("count > 1").drop("count")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    left = docs.join(bounded(gone), same, "left_anti")
     if twice.isEmpty():
         return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(again)
+    again = left.join(twice, same, "left_semi").withColumn("__text", sha).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return left.join(twice, same, "left_anti").unionByName(again)

@@ -285,7 +285,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document, the least doc_id, of each class of near duplicates."""
-    gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    gone = materialize(gone, "near-copies")
-    return docs.join(bounded(gone), "doc_id", "left_anti")
+    """docs with one document, the least doc_id, of each class of near duplicates.
+
+    Where ids are null or repeated, rows get keys in the order of doc_id, nulls last, and go by these."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
+        gone = materialize(gone, "near-copies")
+        return docs.join(bounded(gone), "doc_id", "left_anti")
+    keyed = materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), threshold)
+    gone = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__row")), "near-copies")
+    return keyed.join(bounded(gone), "__row", "left_anti").select(*docs.columns)
