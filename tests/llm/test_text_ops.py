@@ -257,8 +257,8 @@ def test_near_duplicates_equal_brute_force(spark):
     rows += [(d, rows[0][1]), (d + 1, rows[0][1].upper()), (d + 2, None), (d + 3, ""), (d + 4, "two words"), (d + 5, "Two, words!")]
     docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, copy string, id int")
     link, classes = naive_links(rows)
-    for block in (128, 8):
-        got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs, block=block).collect()}
+    for how in ({}, {"block": 8}, {"exact": True, "block_bytes": 4096}):
+        got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs, **how).collect()}
         assert {i: r.class_id for i, r in got.items()} == classes
         degree = Counter(x for pair in link for x in pair)
         assert {i: r.n_linked_docs for i, r in got.items()} == {i: degree[i] for i in got}
@@ -267,13 +267,26 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
-    got = jaccard_join.near_duplicates(odd_docs).collect()
-    assert len(got) == 10
-    of = {r.doc_id: r.class_id for r in got}
-    assert of[4] == of[5] == 4 and of[2] == of[3] == of[6]
+    got = jaccard_join.near_duplicates(odd_docs)
+    got = sorted((str(r.doc_id), r.class_id, r.rep_id, r.n_links, r.n_linked_docs) for r in got.collect())
+    alone = [("7", 7, 7, 0, 0), ("8", 8, 8, 0, 0), ("None", None, None, 0, 0)]
+    assert got == [("1", 1, 1, 0, 1)] * 2 + [(d, 2, 2, 0, 2) for d in "236"[:2]] + [("4", 4, 4, 0, 1), ("5", 4, 4, 0, 1), ("6", 2, 2, 0, 2), *alone]
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def test_ids_do_not_tell_texts_apart(spark):
+    own, near, other = ([f"{w}{i}" for i in range(60)] for w in "abc")
+    say = lambda ws, *more: " ".join([*ws, *more])
+    rows = [(-1, say(own)), (None, say(own, "x")), (None, say(near)), (None, say(near, "y")), (-1, say(other)), (5, say(own, "z")), (9, say(near, "z"))]
+    docs = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id long, text string, kept long, count string")
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in got) == sorted(
+        [("-1", -1, 2), ("None", -1, 2), ("5", -1, 2), ("-1", -1, 0), ("None", 9, 2), ("None", 9, 2), ("9", 9, 2)]
+    )
+    assert len({r.class_key for r in got}) == 3
+    assert sorted(r.kept for r in jaccard_join.keep_one(docs).collect()) == [0, 4, 6]
+
+
 def test_prefix_depth_meets_the_recall():
     d = jaccard_join.prefix_depth()
     assert jaccard_join.recall_at(d) >= jaccard_join.RECALL > jaccard_join.recall_at(d + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Words are runs of digits, letters and anything beyond ASCII, A-Z lower-cased:
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ over UTF-8 bytes, everything else becomes a blank.
@@ -68,18 +68,51 @@ def release() -> None:
         pass
 
 
-#: Rows that a Python worker gets at a time, so that a batch of long texts stays small.
-BATCH_ROWS = 500
+#: Session defaults and what stands for them: a Python worker gets so many rows and bytes at a time.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(8 << 20)),
+}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session hands texts to Python in small batches (unless it was told otherwise)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key, "10000")) == 10_000:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, whose session hands texts to Python in small batches (where it was not told otherwise).
+
+    Spark reads these settings when a plan runs, so they stay set in the session."""
+    for key, (default, ours) in BATCHES.items():
+        if df.sparkSession.conf.get(key, default) == default:
+            df.sparkSession.conf.set(key, ours)
     return df
 
 
+def text_key(text) -> Column:
+    """128 bits that tell texts apart; null counts as empty."""
+    from pyspark.sql import functions as F
+
+    return F.unhex(F.md5(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))))
+
+
+def one_each(docs: DataFrame, judged: DataFrame, key=text_key) -> DataFrame:
+    """docs without the rows judged not kept, and with one of the rows kept that occur several times.
+
+    judged: doc_id, tkey, count, kept; rows that it does not name stay.  Rows go by doc_id (null-safe) and
+    key(text); of rows alike in both that with the least JSON text stays.  Columns may have any names."""
+    from pyspark.sql import functions as F
+
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (key(F.col("row.text")) == F.col("tkey"))
+    gone = judged.where("not kept").select("doc_id", "tkey")
+    twice = judged.where("kept and count > 1").select("doc_id", "tkey")
+    left = rows.join(bounded(gone), same, "left_anti")
+    if twice.isEmpty():
+        return left.select("row.*")
+    twice = bounded(twice)
+    again = rows.join(twice, same, "left_semi").groupBy(F.col("row.doc_id"), key(F.col("row.text"))).agg(
+        F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")
+    )
+    return left.join(twice, same, "left_anti").unionByName(again.select("row")).select("row.*")
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else unmarked,
     and Spark joins by sort and merge."""

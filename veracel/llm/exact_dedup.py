@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, materialize, one_each
 
 #: Texts of the rows that stay are broadcast only up to so many bytes.
 MODEL_BYTES = 16 << 20
@@ -59,14 +59,10 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest", hash_of=content_ha
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept; rows go by doc_id (null-safe) and text."""
-    marked = duplicate_groups(docs, keep)
-    gone = marked.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    twice = marked.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count().where("count > 1").drop("count")
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    left = docs.join(bounded(gone), same, "left_anti")
-    if twice.isEmpty():
-        return left
-    again = left.join(twice, same, "left_semi").withColumn("__text", sha).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return left.join(twice, same, "left_anti").unionByName(again)
+    """docs with one row of each group of equal texts, all columns kept.
+
+    Rows go by doc_id and text, so one id may have several texts, and rows without an id are judged too
+    (one stays where no equal text has an id); of rows alike in both, that with the least JSON text stays."""
+    marked = duplicate_groups(docs, keep).where("group_size > 1")
+    judged = marked.groupBy("doc_id", F.col("text_sha256").alias("tkey"), "kept").count()
+    return one_each(docs, materialize(judged, "judged"), lambda text: F.sha2(F.coalesce(text, F.lit("")), 256))

@@ -1,23 +1,31 @@
 """Near duplicates: a self-join on the Jaccard similarity of word n-grams.
 
-Documents with one set of n-grams form a copy class, and one row stands for each.
-A MinHash LSH forest finds candidates: every tree holds each signature as a path
-of minimum hashes, and two texts meet where their paths share a prefix.  The prefix
-is shortened from the full depth until a pair at the threshold itself meets in some
-tree with the target chance, 1 - (1 - s^depth)^trees at similarity s; more similar
-pairs meet with a higher one.  The depth depends on the threshold alone, never on
-the rows, so no group of copies changes which other pairs are found.  Of nodes with
-the same members one is compared.
-
-Nodes are compared in blocks of bounded size, each pair of blocks one group, with
-exact intersections of the n-gram sets.  A group gives each text's number of links
-and a spanning forest of them, never the pairs; a pair counts in the first tree
-where it meets.  Classes are the connected components, found by spreading the least
-id with tables between rounds.
+Documents with one set of n-grams form a copy class, known by a 128-bit digest of
+the set; one text stands for each.  A MinHash LSH forest finds candidates: every
+tree holds each signature as a path of minimum hashes, and two texts meet where
+their paths share a prefix.  The prefix is shortened from the full depth until a
+pair at the threshold itself meets in some tree with the target chance,
+1 - (1 - s^depth)^trees at similarity s; more similar pairs meet with a higher one.
+The depth depends on the threshold alone, never on the rows, so no group of copies
+changes which other pairs are found.  With exact=True texts meet in the n-grams of
+their prefix filter instead (the |s| - ceil(threshold |s|) + 1 least hashes, of which
+a linked pair shares one), which misses nothing and costs more.
+
+Texts that meet are compared exactly.  The members of a meeting point (a node) are
+dealt into blocks bounded by bytes and rows; a block is compared within and packed
+into one row, and where a node has several blocks the packed rows meet in pairs.  So
+rows grow with the members, not with members times blocks.  A comparison gives each
+text's number of links and a spanning forest of them, never the pairs; a pair counts
+in the least node where it meets.  Of nodes with the same members one is compared.
+Classes are the connected components, found by spreading the least digest with
+tables between rounds.
 
 Texts of fewer than n words have one n-gram, all their words; texts without words,
-null ones included, form one class.  doc_id is taken to be unique; of repeated
-rows each gets a row.  Only doc_id and text are read.
+null ones included, form one class.  Every row gets its own result, by its text: ids
+may be null or repeated, and rows of one id with different texts are different
+documents.  class_id and rep_id are the least id of the class and of the copy class
+(null where no row there has an id); class_key tells classes apart in any case.
+Only doc_id and text are read, so other columns cannot clash.
 """
 
 import math
@@ -26,19 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.network import components
-from .common import bounded, materialize, release, small_batches, words
+from .common import bounded, materialize, one_each, release, small_batches, text_key, words
 
 NGRAM = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 6
 RECALL = 0.9995
-BLOCK = 256  # texts of a block; two blocks are compared in one group
+BLOCK = 1024  # texts of a block
+BLOCK_BYTES = 2 << 20  # of n-gram hashes in a block, about
 CACHE_WORDS = 100_000
+PAIRS = 1 << 21  # pairs listed at a time
 
 M64 = (1 << 64) - 1
 
@@ -107,147 +117,235 @@ def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRE
     return depth
 
 
-def sign(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, copy (128-bit digest of the n-gram set), keys (node of every tree at this depth)."""
+def forest_nodes(s: np.ndarray, perms: tuple[np.ndarray, np.ndarray], trees: int, depth: int) -> np.ndarray:
+    """The text's node in every tree: a hash of the tree's number and the path."""
+    path, node = signature(s, perms).reshape(trees, depth), np.arange(1, trees + 1, dtype=np.uint64)
+    for d in range(depth):
+        node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + path[:, d])
+    return node
 
-    @F.pandas_udf("struct<copy:binary,keys:array<bigint>>")
+
+def prefix_nodes(s: np.ndarray, threshold: float) -> np.ndarray:
+    """The least hashes of a set, of which sets similar by the threshold share at least one."""
+    return s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+
+
+def sign(docs: DataFrame, n: int, threshold: float, trees: int, exact: bool) -> DataFrame:
+    """doc_id, tkey (digest of the text), copy (digest of its n-gram set), size of the set, keys (nodes)."""
+    depth = prefix_depth(trees, threshold=threshold)
+
+    @F.pandas_udf("struct<copy:binary,size:int,keys:array<bigint>>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         perms = _permutations(trees * depth)
         for texts in batches:
-            copies, keys = [], []
+            rows = []
             for t in texts:
                 s = shingles(t, n)
-                copies.append(xxhash.xxh128_digest(s.tobytes()))
-                path, node = signature(s, perms).reshape(trees, depth), np.zeros(trees, np.uint64)
-                for d in range(depth):
-                    node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + path[:, d])
-                keys.append(node.view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"copy": copies, "keys": keys})
+                keys = s[:0] if not len(s) else prefix_nodes(s, threshold) if exact else forest_nodes(s, perms, trees, depth)
+                rows.append((xxhash.xxh128_digest(s.tobytes()), len(s), keys.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["copy", "size", "keys"])
         forget()
 
-    return small_batches(docs).select("doc_id", signed("text").alias("r")).select("doc_id", "r.*")
-
-
-def compare(keys: np.ndarray, sets: list[np.ndarray], first: np.ndarray, tree: int, threshold: float):
-    """Links i < j of one group: all, and whether no earlier tree had them.
-
-    keys: nodes of every tree.
-    first: block of each row; if there are two, only pairs across them count."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    values, at, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count[at] > 1
-    cols = (np.cumsum(count > 1) - 1)[at][shared]
-    rows = np.repeat(np.arange(n), size)[shared]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    width = 2048
-    for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
-        a, b = np.searchsorted(cols, (lo, lo + width))
-        m = np.zeros((n, width), np.float32)
-        m[rows[a:b], cols[a:b] - lo] = 1
-        both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    near = np.triu(both >= threshold * union - 1e-6, 1)
-    if len(set(first.tolist())) > 1:
-        near &= first[:, None] != first[None, :]
-    i, j = np.nonzero(near)
-    exact = both[i, j].astype(np.float64) / union[i, j] >= threshold
-    i, j = i[exact], j[exact]
-    return i, j, ~(keys[i, :tree] == keys[j, :tree]).any(axis=1)
-
-
-def _forest(ids: list[int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each linked row to the least id of its part of the group."""
-    root = list(range(len(ids)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            lo, hi = (a, b) if ids[a] < ids[b] else (b, a)
-            root[hi] = lo
-    return [(ids[x], ids[find(x)]) for x in range(len(ids)) if find(x) != x]
-
-
-def _nodes(reps: DataFrame) -> DataFrame:
-    """id, tree, key of every text."""
-    return reps.select("id", F.posexplode("keys").alias("tree", "key"))
-
-
-MEMBERS = ("n", "lo", "hi", "sum", "xor")
-
-
-def _shared_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes with two texts or more and a digest of their members; of several with the same members the first tree's."""
-    found = nodes.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
-        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor"),
+    return small_batches(docs).select("doc_id", text_key("text").alias("tkey"), signed("text").alias("r")).select("doc_id", "tkey", "r.*")
+
+
+class Block:
+    """Texts that are compared together: ids (16 bytes each), n-gram sets, nodes and rows of their copy classes."""
+
+    FIELDS = ("ids", "sizes", "grams", "widths", "keys", "copies")
+
+    def __init__(self, ids: list[bytes], sets: list[np.ndarray], keys: list[np.ndarray], copies: np.ndarray):
+        self.ids, self.sets, self.keys, self.copies = ids, sets, keys, copies
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+
+    def packed(self) -> tuple[bytes, ...]:
+        widths = np.array([len(k) for k in self.keys], np.int64)
+        return (
+            b"".join(self.ids), self.sizes.tobytes(), np.concatenate(self.sets).tobytes(), widths.tobytes(),
+            np.concatenate(self.keys).tobytes(), self.copies.tobytes(),
+        )
+
+    @classmethod
+    def unpack(cls, row) -> "Block":
+        sizes, widths = np.frombuffer(row.sizes, np.int64), np.frombuffer(row.widths, np.int64)
+        sets = np.split(np.frombuffer(row.grams, np.uint64), np.cumsum(sizes)[:-1])
+        keys = np.split(np.frombuffer(row.keys, np.int64), np.cumsum(widths)[:-1])
+        return cls([row.ids[i : i + 16] for i in range(0, len(row.ids), 16)], sets, keys, np.frombuffer(row.copies, np.int64))
+
+
+def overlaps(x: Block, y: Block) -> np.ndarray:
+    """How many n-grams each text of x shares with each of y.
+
+    Of n-grams that few texts have the pairs are counted; the others go through a product of matrices."""
+    nx, ny = len(x.sets), len(y.sets)
+    values, at = np.unique(np.concatenate(x.sets + y.sets), return_inverse=True)
+    cut = int(x.sizes.sum())
+    ac, bc = at[:cut], at[cut:]
+    ar, br = np.repeat(np.arange(nx), x.sizes), np.repeat(np.arange(ny), y.sizes)
+    na, nb = np.bincount(ac, minlength=len(values)), np.bincount(bc, minlength=len(values))
+    order = np.argsort(bc, kind="stable")
+    br, start = br[order], np.cumsum(nb) - nb
+    rare = na * nb <= max(nx * ny // 256, 1)
+    counts = np.zeros(nx * ny, np.int64)
+    few = rare[ac] & (nb[ac] > 0)
+    rows, cols = ar[few], ac[few]
+    steps = np.cumsum(nb[cols])
+    lo = 0
+    while lo < len(cols):
+        done = int(steps[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(steps, done + PAIRS, "right")))
+        k = nb[cols[lo:hi]]
+        within = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        right = br[np.repeat(start[cols[lo:hi]], k) + within]
+        counts += np.bincount(np.repeat(rows[lo:hi], k) * ny + right, minlength=nx * ny)
+        lo = hi
+    counts = counts.reshape(nx, ny)
+    many = np.flatnonzero(~rare & (na > 0) & (nb > 0))
+    if len(many):
+        place = np.full(len(values), -1)
+        place[many] = np.arange(len(many))
+        bc = bc[order]
+        pa, pb = place[ac], place[bc]
+        for lo in range(0, len(many), 1024):
+            ma, mb = np.zeros((nx, 1024), np.float32), np.zeros((ny, 1024), np.float32)
+            a, b = (pa >= lo) & (pa < lo + 1024), (pb >= lo) & (pb < lo + 1024)
+            ma[ar[a], pa[a] - lo] = 1
+            mb[br[b], pb[b] - lo] = 1
+            counts += (ma @ mb.T).astype(np.int64)
+    return counts
+
+
+def first_met(x: Block, y: Block, i: np.ndarray, j: np.ndarray, node: int, exact: bool) -> np.ndarray:
+    """Whether node is the least node that the texts of each pair share."""
+    if exact:  # nodes are a set; in a forest there is one of every tree
+        return np.array([np.intersect1d(x.keys[a], y.keys[b])[0] == node for a, b in zip(i.tolist(), j.tolist())], bool)
+    kx, ky = np.stack(x.keys), np.stack(y.keys)
+    first = np.ones(len(i), bool)
+    for t in range(kx.shape[1]):
+        a = kx[i, t]
+        first &= (a != ky[j, t]) | (a >= node)
+    return first
+
+
+def forest(ids: list[bytes], near: np.ndarray) -> dict[bytes, bytes]:
+    """Of each linked text but the least of its part: that least one. near: symmetric."""
+    left, root = near.any(axis=1), {}
+    for r in np.argsort(np.array(ids)).tolist():
+        if not left[r]:
+            continue
+        left[r] = False
+        front = np.array([r])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            root.update((ids[v], ids[r]) for v in front.tolist())
+    return root
+
+
+def compare(x: Block, y: Block | None, node: int, threshold: float, exact: bool = False) -> list[tuple]:
+    """(id, root, n_links, n_linked_docs) of the linked texts of one block, or of pairs across two."""
+    other = y or x
+    both = overlaps(x, other)
+    i, j = np.nonzero(both)
+    if y is None:
+        i, j = i[i < j], j[i < j]
+    shared = both[i, j]
+    near = shared / (x.sizes[i] + other.sizes[j] - shared) >= threshold
+    i, j = i[near], j[near]
+    if not len(i):
+        return []
+    new = first_met(x, other, i, j, node, exact)
+    at = len(x.ids) if y else 0
+    ids, copies = (x.ids + y.ids, np.concatenate([x.copies, y.copies])) if y else (x.ids, x.copies)
+    square = np.zeros((len(ids), len(ids)), bool)
+    square[i, j + at] = square[j + at, i] = True
+    roots = forest(ids, square)
+    a, b = np.concatenate([i[new], j[new] + at]), np.concatenate([j[new] + at, i[new]])
+    count = np.bincount(a, minlength=len(ids))
+    docs = np.bincount(a, weights=copies[b].astype(float), minlength=len(ids)).astype(np.int64)
+    return [(v, roots.get(v), c, d) for v, c, d in zip(ids, count.tolist(), docs.tolist()) if c or v in roots]
+
+
+FOUND = "id binary, root binary, n_links long, n_linked_docs long"
+PACKED = ", ".join(f"{c} binary" for c in Block.FIELDS)
+
+
+def _node_plan(reps: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """key and number of blocks of the nodes to compare: those of two texts or more, of several with the same members the least."""
+    met = reps.select("id", "size", F.explode("keys").alias("key")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     ).where("n > 1")
-    return found.groupBy(*MEMBERS).agg(F.min(F.struct("tree", "key")).alias("b")).select("b.*", *MEMBERS)
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("grams") * 8 / block_bytes)).cast("int")
+    return met.groupBy("n", "grams", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", blocks.alias("nb"))
 
 
-def _compare_nodes(nodes: DataFrame, chosen: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """id, root (a linked text of lower id or null), n_links, n_linked_docs: partial results of the chosen nodes."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    members = nodes.join(chosen.select("tree", "key", "n"), ["tree", "key"]).select(
-        "id", "tree", "key", blocks.alias("nb"), F.pmod(F.xxhash64("id", "key"), blocks).cast("int").alias("own")
-    )
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "id", "tree", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-    )
-    grouped = spread.join(sets, "id").repartition("tree", "key", "x", "y").sortWithinPartitions("tree", "key", "x", "y", "id")
-    names = ["id", "root", "n_links", "n_linked_docs"]
-
-    def result(group: list) -> list:
-        if len(group) < 2 or (group[0].x != group[0].y and len({g.own for g in group}) < 2):
-            return []
-        ids, keys = [g.id for g in group], np.stack([g.keys for g in group])
-        i, j, new = compare(keys, [np.frombuffer(g.grams, np.uint64) for g in group], np.array([g.own for g in group]), group[0].tree, threshold)
-        if not len(i):
-            return []
-        roots = dict(_forest(ids, i, j))
-        i, j = i[new], j[new]
-        count, docs_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        copies = np.array([g.copies for g in group])
-        np.add.at(count, i, 1), np.add.at(count, j, 1)
-        np.add.at(docs_of, i, copies[j]), np.add.at(docs_of, j, copies[i])
-        return [(v, roots.get(v), int(c), int(d)) for v, c, d in zip(ids, count, docs_of) if c or v in roots]
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, at, out = [], None, []
+def _within(members: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """Results within each block (id is given), and the blocks of nodes with several, packed (id is null)."""
+    names = ["id", "root", "n_links", "n_linked_docs", "key", "own", "nb", *Block.FIELDS]
+
+    def block_of(rows: list) -> Block:
+        return Block(
+            [bytes(r.id) for r in rows], [np.frombuffer(r.grams, np.uint64) for r in rows], [r.keys for r in rows], np.array([r.copies for r in rows], np.int64)
+        )
+
+    def results(rows: list) -> tuple[list, pd.DataFrame | None]:
+        first, b = rows[0], block_of(rows)
+        out = [(*r, first.key, first.own, first.nb, *[None] * 6) for r in compare(b, None, first.key, threshold, exact)] if len(rows) > 1 else []
+        packed = pd.DataFrame([(None, None, 0, 0, first.key, first.own, first.nb, *b.packed())], columns=names) if first.nb > 1 else None
+        return out, packed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, at, out = [], None, []
         for b in batches:
             for row in b.itertuples(index=False):
-                here = (row.tree, row.key, row.x, row.y)
-                if here != at:
-                    out += result(group) if group else []
-                    group, at = [], here
-                group.append(row)
+                here = (row.key, row.own)
+                if here != at and rows:
+                    got, packed = results(rows)
+                    out += got
+                    if packed is not None:
+                        yield packed
+                    rows = []
+                at = here
+                rows.append(row)
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=names).astype({"root": "Int64"})
+                yield pd.DataFrame(out, columns=names)
                 out = []
-        out += result(group) if group else []
-        yield pd.DataFrame(out, columns=names).astype({"root": "Int64"})
+        if rows:
+            got, packed = results(rows)
+            out += got
+            if packed is not None:
+                yield packed
+        if out:
+            yield pd.DataFrame(out, columns=names)
         release()
 
-    kinds = "id long, root long, n_links long, n_linked_docs long"
-    return materialize(grouped.mapInPandas(verify, kinds), "links")
+    dealt = members.repartition("key", "own").sortWithinPartitions("key", "own", "id")
+    return dealt.mapInPandas(run, f"{FOUND}, key long, own int, nb int, {PACKED}")
+
+
+def _across(blocks: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """Results of each pair of blocks of one node."""
 
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pair.itertuples(index=False), key=lambda r: r.own)
+        out = compare(Block.unpack(rows[0]), Block.unpack(rows[1]), rows[0].key, threshold, exact) if len(rows) == 2 else []
+        return pd.DataFrame(out, columns=["id", "root", "n_links", "n_linked_docs"])
 
-def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int = BLOCK) -> DataFrame:
-    """id, root, n_links, n_linked_docs: partial results per text and group.
+    others = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: o != F.col("own"))
+    spread = blocks.withColumn("other", F.explode(others)).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    return spread.select("key", "x", "y", "own", *Block.FIELDS).groupBy("key", "x", "y").applyInPandas(run, FOUND)
 
-    reps: id, keys (node of every tree), copies (rows of the copy class)."""
-    nodes = _nodes(reps)
-    chosen = materialize(_shared_nodes(nodes), "nodes")
-    wanted = materialize(nodes.join(chosen.select("tree", "key"), ["tree", "key"]).select("id").distinct(), "candidates")
+
+def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, exact: bool, block: int, block_bytes: int) -> DataFrame:
+    """id, root (a linked text or null), n_links, n_linked_docs: partial results per text and block.
+
+    reps: id, row (doc_id and tkey of a text), size, keys, copies."""
+    plan = _node_plan(reps, block, block_bytes)
+    own = F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int").alias("own")
+    places = reps.select("id", F.explode("keys").alias("key")).join(plan, "key").select("id", F.struct("key", own, "nb").alias("at"))
+    met = places.groupBy("id").agg(F.collect_list("at").alias("nodes"))  # as many as the text has nodes
+    wanted = materialize(met.join(reps.select("id", "row", "keys", "copies"), "id"), "candidates")
 
     @F.pandas_udf("binary")
     def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -255,45 +353,66 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, block: int
             yield pd.Series([shingles(t, n).tobytes() for t in texts])
         forget()
 
-    grams = (
-        docs.select(F.col("doc_id").alias("id"), "text").join(bounded(wanted), "id", "left_semi")
-        .select("id", set_of("text").alias("grams")).dropDuplicates(["id"])
+    row = wanted.select(F.col("row.doc_id").alias("their_id"), F.col("row.tkey").alias("their_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("their_id")) & (F.col("tkey") == F.col("their_key"))
+    texts = docs.select("doc_id", text_key("text").alias("tkey"), "text").join(bounded(row), same, "left_semi")
+    grams = texts.select("tkey", set_of("text").alias("grams")).dropDuplicates(["tkey"])  # of equal texts: the same
+    sets = grams.join(wanted.withColumn("tkey", F.col("row.tkey")), "tkey")
+    members = sets.select("id", "grams", "keys", "copies", F.inline("nodes"))
+    found = materialize(_within(members, threshold, exact), "compared")
+    across = materialize(_across(found.where("id is null"), threshold, exact), "compared-blocks")
+    return found.where("id is not null").select(*across.columns).unionByName(across)
+
+
+def _linked(docs: DataFrame, threshold: float, n: int, trees: int, exact: bool, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tkey, copy), and facts of the copy classes of two rows or more or with links."""
+    signed = materialize(sign(docs, n, threshold, trees, exact), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    reps = materialize(
+        signed.groupBy(F.col("copy").alias("id")).agg(
+            F.min(row).alias("row"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"),
+            F.first("size").alias("size"), F.first("keys").alias("keys"),  # alike in all rows of the class
+        ), "reps",
+    )
+    found = links(docs, reps, threshold, n, exact, block, block_bytes)
+    sums = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("linked"))
+    facts = reps.select("id", "rep_id", "copies").join(sums, "id", "left").where("copies > 1 or n_links is not null")
+    facts = materialize(facts.join(components(found), "id", "left").withColumn("class_key", F.coalesce("class_id", "id")).drop("class_id"), "facts")
+    least = facts.groupBy("class_key").agg(F.min("rep_id").alias("class_id"))
+    facts = facts.join(least, "class_key").select(
+        F.col("id").alias("copy"), "class_key", "class_id", "rep_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_linked_docs"),
     )
-    sets = materialize(grams.join(reps, "id"), "gram-sets")  # id, grams, keys, copies
-    return _compare_nodes(_nodes(sets), chosen, sets, threshold, block)
+    return signed.select("doc_id", "tkey", "copy"), materialize(facts, "class-facts")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, exact: bool = False, block: int = BLOCK, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """doc_id, class_id (least doc_id of its component), rep_id (of its copy class), n_links (texts linked to it),
-    n_linked_docs (documents linked to it, copies included) of every row."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").alias("given"), "text")
-    signed = materialize(sign(rows, n, trees, prefix_depth(trees, threshold=threshold)), "signed")
-    reps = signed.groupBy("copy").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc_id").alias("keys")
+    n_linked_docs (documents linked to it, copies included), class_key of every row."""
+    rows, facts = _linked(docs, threshold, n, trees, exact, block, block_bytes)
+    out = rows.join(bounded(facts), "copy", "left")
+    alone = F.col("class_key").isNull()
+
+    def known(c: str, otherwise: Column) -> Column:
+        return F.when(alone, otherwise).otherwise(F.col(c)).alias(c)
+
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "doc_id", known("class_id", F.col("doc_id")), known("rep_id", F.col("doc_id")), known("n_links", zero), known("n_linked_docs", zero),
+        F.lower(F.hex(F.coalesce("class_key", "copy"))).alias("class_key"),
     )
-    reps = materialize(reps, "reps")
-    found = links(rows, reps.select("id", "keys", "copies"), threshold, n, block)
-    classes = components(found)
-    sums = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("linked"))
-    facts = reps.select("copy", "id", "copies").join(sums, "id", "left").join(classes, "id", "left").select(
-        "copy", F.col("id").alias("rep_id"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_linked_docs"),
-    )
-    out = signed.select("doc_id", "copy").join(facts, "copy")
-    return out.select(F.expr("nullif(doc_id, -1)").alias("doc_id"), "class_id", "rep_id", "n_links", "n_linked_docs")
-
-
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document, the least doc_id, of each class of near duplicates.
-
-    Where ids are null or repeated, rows get keys in the order of doc_id, nulls last, and go by these."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if odd.isEmpty():
-        gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-        gone = materialize(gone, "near-copies")
-        return docs.join(bounded(gone), "doc_id", "left_anti")
-    keyed = materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), threshold)
-    gone = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__row")), "near-copies")
-    return keyed.join(bounded(gone), "__row", "left_anti").select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """docs with one document of each class of near duplicates: that of the least doc_id (nulls last, ties by the digest of the text).
+
+    Rows go by doc_id and text; of rows alike in both that with the least JSON text stays."""
+    rows, facts = _linked(docs, threshold, NGRAM, TREES, exact, BLOCK, BLOCK_BYTES)
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    many = rows.join(bounded(facts.select("copy", "class_key")), "copy").groupBy("class_key", member.alias("row")).count()
+    many = materialize(many, "class-rows")
+    stays = many.groupBy("class_key").agg(F.min("row").alias("best"))
+    judged = materialize(many.join(bounded(stays), "class_key").select("row.doc_id", "row.tkey", "count", (F.col("row") == F.col("best")).alias("kept")), "judged")
+    return one_each(docs, judged)
