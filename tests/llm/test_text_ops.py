@@ -94,15 +94,68 @@ def test_pieces_equal_the_library(spark, odd_docs, no_docs):
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = ["", " ", "  a  b ", "abc", "a\nb\n\n c", "é 汉字 😀", "x" * 300, " lead", "trail  ", "1,000.50 % <s> </s> <unk> <0x41>", "\t tab \r\n"]
     got = spiece.Codec(path).encode(texts)
-    assert [np.frombuffer(i, "<u4").tolist() for i, _ in got] == lib.encode(texts)
-    assert all(ok for _, ok in got)
-    assert spiece.Codec(path).decode([i for i, _ in got]) == texts
+    assert [np.frombuffer(i, "<u4").tolist() for i, *_ in got] == lib.encode(texts)
+    assert all(same and back for _, same, back in got)
+    assert spiece.Codec(path).decode([i for i, *_ in got]) == texts
+    marked = spiece.Codec(path).encode(["a ▁b c", "plain"])
+    assert [r[1:] for r in marked] == [(True, False), (True, True)]  # a marker in the text decodes to a blank
+    small = spiece.Codec(path)
+    spiece.CACHE_CUTS, kept = 3, spiece.CACHE_CUTS
+    try:
+        for t in texts * 2:
+            assert np.frombuffer(small.encode([t])[0][0], "<u4").tolist() == lib.encode(t)
+    finally:
+        spiece.CACHE_CUTS = kept
     rows = spiece.round_trips(odd_docs).collect()
     assert len(rows) == 10 and all(r.parity and r.round_trip for r in rows)
     assert spiece.round_trips(no_docs).count() == 0
     assert [*odd_docs.columns] == [c for c in spiece.decode_documents(spiece.encode_documents(odd_docs)).columns if c not in ("parity", "round_trip", "decoded")]
 
 
+def _message(*given):
+    """A protocol buffer message of (number, value): ints, floats, bytes."""
+    out = b""
+
+    def varint(v):
+        parts = []
+        while v > 0x7F:
+            parts.append(v & 0x7F | 0x80)
+            v >>= 7
+        return bytes([*parts, v])
+
+    for number, v in given:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def test_unigram_model_equals_the_library(tmp_path):
+    import sentencepiece
+
+    rules = dict(spiece.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    charsmap = dict(spiece.fields(rules))[2]
+    words_ = ["▁", "▁the", "▁a", "▁cat", "at", "s", "the", "c", "a", "t", "h", "e", "▁th", "b", "1", ".", "ab", "<", ">"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("<sep>", 0.0, 4), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    pieces += [(w, -2.0 - 0.37 * k, 1) for k, w in enumerate(words_)]
+    proto = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, kind)))) for p, s, kind in pieces)
+    proto += _message((2, _message((3, 1), (35, 1), (40, 0), (41, 1), (42, 2), (43, 2**64 - 1))))
+    proto += _message((3, _message((1, b"nmt_nfkc"), (2, charsmap), (3, 1), (4, 1), (5, 1))))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(proto)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the cats", "a <s> b", "the<sep>cat", "", "   ", "  the   cat ", "ﬁ ① é 漢 😀", "ＡＢ ab", "tab\tand\nline", "cat cat</s>", "<sep>", "zzz qqq"]
+    got = spiece.Codec(path).encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i, *_ in got] == lib.encode(texts)
+    assert all(same for _, same, _ in got)
+    assert not spiece.Codec(path).encode(["<0x41> x"])[0][1]  # the name of a byte piece, in a text of unknown characters: told, not hidden
+    assert [got[0][2], got[5][2]] == [True, False]  # this model trims blanks
+
+
 # ---- decontamination ----
 def naive_hits(text, items, window=10):
     ws = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]

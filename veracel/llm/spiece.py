@@ -7,8 +7,8 @@ scores, or merges in the order of their scores) and byte fallback.
 
 Merges never cross into a blank marker when no piece has one after another
 character (checked), so a text is cut before its markers; workers encode each
-distinct cut once, in multithreaded batches, and check it against the
-sentencepiece library.
+distinct cut once, check it against the sentencepiece library and decode it again.
+Other models encode and decode whole texts, in multithreaded batches.
 
 Null and empty texts have no ids.  Repeated rows each get their own row; other
 columns pass through unread.
@@ -29,7 +29,8 @@ from .common import release, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-CACHE_CUTS = 150_000
+CACHE_CUTS = 150_000  # of each of two generations
+JOINED = 500  # new cuts in one string
 SLICE = 256
 
 
@@ -93,13 +94,24 @@ class PieceModel:
         ]
         return [(left, right) for *_, left, right in sorted(found)]
 
+    def vocabulary(self) -> list[tuple[str, float]]:
+        """Pieces and scores for a unigram model, where a text matches normal and user pieces only, user ones always."""
+        scores = [s for _, s, kind in self.pieces if kind == NORMAL] or [0.0]
+        return [
+            (p, s) if kind == NORMAL
+            else (p, len(p.encode()) * max(scores) - 0.1) if kind == USER
+            else (p, min(scores) - 1000) if kind == BYTE  # found by its name in a fallback, so the name must stay
+            else (f" {p}", s)  # blanks have become markers by then
+            for p, s, kind in self.pieces
+        ]
+
     def tokenizer(self, prefix: bool = True):
         """The tokenizers pipeline; prefix=False leaves out the marker before the text."""
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         unk = self.pieces[self.unk][0]
         if self.unigram:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unk, byte_fallback=self.byte_fallback)
+            model = models.Unigram(self.vocabulary(), unk_id=self.unk, byte_fallback=self.byte_fallback)
         else:
             model = models.BPE(self.ids, self.merges(), unk_token=unk, fuse_unk=True, byte_fallback=self.byte_fallback)
         tok = Tokenizer(model)
@@ -115,7 +127,12 @@ class PieceModel:
 
 
 class Codec:
-    """Encodes and decodes texts; verified: cuts that were checked, failed: those that differ."""
+    """Encodes and decodes texts, and checks both: parity with the sentencepiece library, and that ids decode to the text.
+
+    Where a model can be cut, each distinct cut is encoded, checked and decoded once: ids and text of a whole are those of
+    its cuts one after the other.  New cuts go through both libraries many at a time, in one string; a string that
+    differs anywhere is gone through again cut by cut.  The cuts of two generations are kept, so when the cache is full
+    those in use stay."""
 
     def __init__(self, path: str, verify: bool = True):
         # within a Spark task the library's own threads share the task's cores
@@ -123,8 +140,11 @@ class Codec:
         self.model = PieceModel(path)
         self.cut = self.model.cuttable and self.model.dummy_prefix
         self.tok = self.model.tokenizer(prefix=not self.cut)  # a cut brings its own marker
+        self.starts = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.cuts: dict[str, bytes] = {}
-        self.bad: set[str] = set()
+        self.old: dict[str, bytes] = {}
+        self.unlike: set[str] = set()  # ids differ from the library's
+        self.lossy: set[str] = set()  # ids decode to another text
         self.reference = None
         if verify:
             import sentencepiece
@@ -132,32 +152,54 @@ class Codec:
             self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def _learn(self, cuts: list[str]) -> None:
-        """Encode new cuts; each begins with a blank, so the pipeline's own marker comes from it."""
-        for cut, e in zip(cuts, self.tok.encode_batch(cuts, add_special_tokens=False)):
-            self.cuts[cut] = np.array(e.ids, "<u4").tobytes()
-        if self.reference is not None:
-            theirs = self.reference.encode([c[1:] for c in cuts], num_threads=1)  # the library puts the marker back
-            for cut, ids in zip(cuts, theirs):
-                if len(cut) > 1 and self.cuts[cut] != np.array(ids, "<u4").tobytes():
-                    self.bad.add(cut)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """(ids as little-endian 32-bit, whether all parts passed the checks) of each text."""
+        plain = [c for c in cuts if len(c) > 1 and c[1] != " " and MARK not in c]
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
+            whole = "".join(some)
+            ids = np.array(self.tok.encode(whole, add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            alike = self.reference is None or np.array_equal(ids, self.reference.encode(whole[1:], num_threads=1))
+            if len(at) != len(some) or not alike or self.tok.decode(ids.tolist(), skip_special_tokens=False) != whole:
+                self._learn_singly(some)
+                continue
+            data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+            self.cuts.update(zip(some, map(data.__getitem__, map(slice, (at * 4).tolist(), ends))))
+        plain = set(plain)
+        self._learn_singly([c for c in cuts if c not in plain])
+
+    def _learn_singly(self, cuts: list[str]) -> None:
+        if not cuts:
+            return
+        got = [e.ids for e in self.tok.encode_batch(cuts, add_special_tokens=False)]
+        back = self.tok.decode_batch(got, skip_special_tokens=False)
+        # the library puts the marker back; the cut that is nothing but a blank has no equal there
+        theirs = self.reference.encode([c[1:] for c in cuts], num_threads=1) if self.reference is not None else got
+        for cut, ids, text, other in zip(cuts, got, back, theirs):
+            self.cuts[cut] = np.array(ids, "<u4").tobytes()
+            if text != cut:
+                self.lossy.add(cut)
+            if ids != other and len(cut) > 1:
+                self.unlike.add(cut)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
+        """(ids as little-endian 32-bit, parity, round trip) of each text."""
         texts = [t or "" for t in texts]
         if not self.cut:
-            got = self.tok.encode_batch(texts, add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() if t else b"" for e, t in zip(got, texts)]
-            if self.reference is None:
-                return [(i, True) for i in ids]
-            theirs = self.reference.encode(texts, num_threads=1)
-            return [(i, i == np.array(r, "<u4").tobytes()) for i, r in zip(ids, theirs)]
+            got = [e.ids if t else [] for e, t in zip(self.tok.encode_batch(texts, add_special_tokens=False), texts)]
+            theirs = self.reference.encode(texts, num_threads=1) if self.reference is not None else got
+            back = self.tok.decode_batch(got, skip_special_tokens=False)
+            return [(np.array(i, "<u4").tobytes(), i == r, t == b) for i, r, t, b in zip(got, theirs, texts, back)]
         parts = [CUT.findall(" " + t) if t else [] for t in texts]
         if len(self.cuts) > CACHE_CUTS:
-            self.cuts, self.bad = {}, set()
-        if new := list({c for p in parts for c in p if c not in self.cuts}):
-            self._learn(new)
+            self.old, self.cuts = self.cuts, {}
+        new = set().union(*parts).difference(self.cuts)
+        if again := new & self.old.keys():
+            self.cuts.update((c, self.old[c]) for c in again)
+            new -= again
+        if new:
+            self._learn(list(new))
         of = self.cuts.__getitem__
-        return [(b"".join(map(of, p)), not self.bad or self.bad.isdisjoint(p)) for p in parts]
+        return [(b"".join(map(of, p)), self.unlike.isdisjoint(p), self.lossy.isdisjoint(p)) for p in parts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         got = [np.frombuffer(b, "<u4").tolist() for b in ids]
@@ -192,10 +234,8 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, verify: boo
         c = codec(path, verify)
         for batch in batches:
             rows = []
-            for texts in slices([t or "" for t in batch]):
-                got = c.encode(texts)
-                back = c.decode([i for i, _ in got])
-                rows += [(i, ok, t == r) for t, (i, ok), r in zip(texts, got, back)]
+            for texts in slices(batch.tolist()):
+                rows += c.encode(texts)
             yield pd.DataFrame(rows, columns=["ids", "parity", "round_trip"])
         release()
 
