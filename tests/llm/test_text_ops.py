@@ -232,6 +232,38 @@ def test_whole_articles_of_nested_layouts(spark):
     assert got[99] == f"{part(9, 1).strip()}\n\n{part(9, 2).strip()}"
 
 
+#: Hand-labelled pages: markup, and the blocks that make up the article.
+BODY = ("The first paragraph of the article says a good deal about rivers and the stones in them.", "A second one goes on, with more on <b>water</b> and <i>light</i>.")
+PLAIN = tuple(re.sub("<.*?>", "", p) for p in BODY)
+LABELLED = {
+    "class words on the article": (f'<div id="content" class="share-enabled"><h1>Head</h1><p>{BODY[0]}</p><p>{BODY[1]}</p></div><div class="footer">Foot of the page</div>', ["Head", *PLAIN]),
+    "search result": (f'<nav><a href=/>Home</a></nav><article class="post search-result"><p>{BODY[0]}<p>{BODY[1]}</article><aside>Side</aside>', [*PLAIN]),
+    "headline above the body": (f'<div class="topbar">Site</div><h1>Head</h1><p>Lead in.</p><div class="body"><p>{BODY[0]}</p><p>{BODY[1]}</p></div><p class="legal">All rights reserved</p>', ["Head", "Lead in.", *PLAIN]),
+    "marks on other elements": (
+        f'<main><h1>Head</h1><p class="advert">Buy now<p>{BODY[0]} <span class="ad">Sponsored by <span>us</span> now</span>Tail.</p><blockquote class="comment"><p>I disagree</p></blockquote>'
+        f'<ul><li>One<li class="cookie-notice">We use <b>cookies</b><li>Two</ul><p hidden>Unseen</p><div style="display: none">Nor this</div><p class="related">More<p>{BODY[1]}</main>',
+        ["Head", PLAIN[0] + " Tail.", "One", "Two", PLAIN[1]],
+    ),
+    "quoted and formulas": (f'<article><h1>Head</h1><blockquote>{BODY[0]}</blockquote><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><object data=x>{BODY[1]}</object></article>', ["Head", PLAIN[0], "So x=2.", PLAIN[1]]),
+    "page in a form": (f'<form id="aspnetForm"><div class="menu"><a href=1>One</a> <a href=2>Two</a></div><div class=text><p>{BODY[0]}</p><p>{BODY[1]}</p></div></form>', [*PLAIN]),
+    "table layout": (f'<table><tr><td class="sidebar"><ul><li>Menu</ul></td><td><h1>Head</h1><p>{BODY[0]}<p>{BODY[1]}</td></tr></table>', ["Head", *PLAIN]),
+    "nothing but chrome": ('<nav><a href=/>Home</a></nav><footer>Foot</footer><div class="sidebar">Side of the page</div>', []),
+}
+
+
+def test_labelled_pages(spark):
+    rows = [(100 * k + i, f"http://site{k}.example/{i}", f"<html><body>{page}</body></html>") for k, (page, _) in enumerate(LABELLED.values()) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    right = said = wanted = 0
+    for k, (name, (_, want)) in enumerate(LABELLED.items()):
+        for i in range(3):
+            text = got[100 * k + i]
+            blocks = text.split("\n\n") if text else []
+            right, said, wanted = right + len(set(blocks) & set(want)), said + len(blocks), wanted + len(want)
+            assert blocks == want, name
+    print(f"labelled pages: recall {right / wanted:.2f}, precision {right / said:.2f}")
+
+
 def test_broken_pages_do_not_crash():
     for page in ("<", "<a", "<!--", "<script>x", "<p", "a < b > c", "</div></div>", '<a href="x', "<" * 1000, "<div" * 1000 + ">", "&#99999999; &bogus;", "<textarea>", "<![CDATA[x]]>"):
         html_text.extract(page, "body")

@@ -7,7 +7,12 @@ scores up per host and path; the path with the most votes is the host's, and eve
 page is read again for what stands in containers on that path.  A page without
 that path uses its own best container.  Either is widened to the whole article of the
 page: to the article or main element around it, to parents with text of their own
-beside it (headings, introductions), and until it holds nearly all running text.
+beside it (headings, introductions), and until it holds nearly all running text; the
+main heading before it comes along, with what stands between.
+
+Elements that do not belong to an article (by tag, by words in class, id or role, or
+hidden) are left out, whatever element it is, but never the one that holds the page's
+running text: where next to nothing stands outside them, the largest one stays.
 
 Null and empty pages give the empty text.  Pages with a null url vote under the
 empty host.  Ties go to the longer, then the first path.  Repeated rows each get
@@ -18,6 +23,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,53 +33,106 @@ from .common import bounded, materialize, small_batches
 from .url_filter import host_of
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Elements of HTML by what they do here.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "select"}
 CHROME = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "fieldset"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "table", "tbody", "tr", "td", "center", "ul", "ol", "dl"} | CHROME
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "blockquote", "pre", "figure", "figcaption", "address", "th", "caption", "hr", "summary", "details", "legend", "option"}
-NOISE_WORDS = {
-    "nav", "navbar", "navigation", "menu", "sidebar", "side", "footer", "masthead", "topbar", "ad", "ads", "advert", "adverts",
-    "advertisement", "advertising", "sponsored", "sponsor", "promo", "promotion", "banner", "cookie", "cookies", "consent", "notice",
-    "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "comment",
-    "comments", "respond", "discussion", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget",
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ENDED_BY = {"p": BLOCKS | CONTAINERS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
+AD_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo"}
+NOISE_WORDS = AD_WORDS | {
+    "nav", "navbar", "navigation", "menu", "sidebar", "side", "footer", "masthead", "topbar", "promotion", "banner", "cookie", "cookies",
+    "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social",
+    "comment", "comments", "respond", "discussion", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget",
     "toolbar", "skip", "legal", "disclaimer", "gdpr", "contentinfo", "complementary", "alert",
 }
 NEARLY = 0.9  # of a page's running text, held by its article
+PASSAGE = 100  # characters of running text that may be an article
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
-def _noisy(tag: str, marks: list[str]) -> bool:
-    return tag in CHROME or any(w in NOISE_WORDS for m in marks for w in WORD.findall(m.lower()))
+class Block(NamedTuple):
+    path: str  # of its containers
+    text: str
+    linked: int  # characters in links
+    tag: str
+
+
+class _Open(NamedTuple):
+    """An open element: every container, and other elements that are marked as noise."""
+
+    tag: str
+    path: str
+    marks: tuple[int, ...]  # marked elements around and including it
+    container: bool
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if TELLING.search(rest) else {}
+
+
+def _marked(tag: str, given: dict[str, str], in_article: bool) -> bool:
+    """Whether tag and attributes say that an element is not of the article, or unseen."""
+    if tag in CHROME or (tag == "header" and not in_article) or "hidden" in given or UNSEEN.search(given.get("style", "")):
+        return True
+    said = {w for k in ("class", "id", "role") for w in WORD.findall(given.get(k, "").lower())}
+    return not said.isdisjoint(NOISE_WORDS if tag in CONTAINERS or tag in BLOCKS else AD_WORDS) or "hidden" in given.get("class", "").lower().split()
+
 
+def _noise(kept: int, total: int, in_article: bool, mass: list[int], tags: list[str]) -> set[int]:
+    """Which marked elements are noise: all, unless next to nothing of the page's running text stands outside them and
+    no article or main element holds any; then marks go from the largest element, for as long as it holds most of the text."""
+    noise = set(range(len(mass)))
+    may = sorted((i for i in noise if tags[i] not in CHROME - {"form", "fieldset"}), key=lambda i: -mass[i])
+    while may and not in_article and kept < (1 - NEARLY) * total and mass[may[0]] >= max(total / 2, PASSAGE):
+        noise.discard(may.pop(0))
+    return noise
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, text, linked characters) of each block outside chrome, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, noisy
-    parts: list[str] = []
-    linked, in_link, pos, low = 0, 0, 0, None
+
+def blocks(page: str) -> list[Block]:
+    """Blocks of a page outside noise, in page order."""
+    stack = [_Open("", "", (), True)]
+    tags, mass = [], []  # of marked elements: tag, running text
+    nested: list[int] = []  # of the marked elements open that are no containers: elements of their own tag inside
+    done, pieces = [], []
+    in_link, pos, low, block = False, 0, None, ""
     last_gt = page.rfind(">")
 
     def flush():
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            parts.clear()
-            if text and not stack[-1][2]:
-                out.append((stack[-1][1], text, linked))
-        linked = 0
+        if pieces:
+            done.append((stack[-1].path, block, pieces.copy()))
+            pieces.clear()
 
     def say(raw: str):
-        nonlocal linked
-        if raw and not stack[-1][2]:
+        if raw:
             text = entities.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if in_link:
-                linked += len(text)
+            pieces.append((stack[-1].marks, text, in_link))
+            if not in_link:
+                n = len(text) - text.count(" ") if text.isspace() else len(text)
+                for i in stack[-1].marks:
+                    mass[i] += n
+
+    def leave(k: int):
+        """Close the elements above place k of the stack."""
+        for e in stack[k:]:
+            if not e.container:
+                nested.pop()
+        del stack[k:]
+
+    def own_marked(wanted) -> int:
+        """Place of the topmost marked element that is wanted, below the next container; 0 for none."""
+        k = len(stack) - 1
+        while not stack[k].container:
+            if wanted(stack[k].tag):
+                return k
+            k -= 1
+        return 0
 
     while pos < len(page):
         lt = page.find("<", pos)
@@ -102,35 +161,82 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             end = low.find(f"</{tag}", pos)
             pos = page.find(">", end) + 1 if end >= 0 else len(page)
             pos = pos or len(page)
-            if tag in ("textarea", "iframe", "object", "select"):
-                parts.append(" ")
-        elif tag in CONTAINERS:
+            if tag in ("textarea", "iframe", "select"):
+                say(" ")
+            continue
+        if tag in CONTAINERS:
             flush()
-            in_link = 0
+            in_link = False
             if closing:
-                if any(t == tag for t, *_ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif not rest.endswith("/"):
-                marks = [a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)]
-                name = ".".join([tag, *sorted({DIGITS.sub("#", w.lower()) for k, a, b, c in ATTRIBUTE.findall(rest) if k.lower() == "class" for w in (a or b or c).split()})])
-                up = stack[-1]
-                stack.append((tag, f"{up[1]}>{name}" if up[1] else name, up[2] or _noisy(tag, marks) or (tag == "header" and ">article" not in up[1])))
+                if any(e.container and e.tag == tag for e in stack):
+                    k = max(i for i, e in enumerate(stack) if e.container and e.tag == tag)
+                    leave(k)
+                block = ""
         elif tag in BLOCKS:
             flush()
+            block = "" if closing else tag
         elif tag == "br":
-            parts.append(" ")
+            say(" ")
         elif tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
+        if closing:
+            if tag not in CONTAINERS and not stack[-1].container and (k := own_marked(lambda t: t == tag)):
+                at = len(nested) - (len(stack) - k)
+                if nested[at]:
+                    nested[at] -= 1
+                else:
+                    leave(k)
+            continue
+        if not stack[-1].container and (k := own_marked(lambda t: tag in ENDED_BY.get(t, ()))):
+            leave(k)
+        if rest.endswith("/") or tag in VOID:
+            continue
+        given, up = _attributes(rest), stack[-1]
+        if tag not in CONTAINERS and not given:
+            if not up.container and (k := own_marked(lambda t: t == tag)):
+                nested[len(nested) - (len(stack) - k)] += 1
+            continue
+        marked = _marked(tag, given, ">article" in up.path)
+        if tag in CONTAINERS:
+            name = ".".join([tag, *sorted({DIGITS.sub("#", w) for w in given.get("class", "").lower().split()})])
+            path = f"{up.path}>{name}" if up.path else name
+        elif marked:
+            path = up.path
+            nested.append(0)
+        else:
+            if not up.container and (k := own_marked(lambda t: t == tag)):
+                nested[len(nested) - (len(stack) - k)] += 1
+            continue
+        marks = up.marks
+        if marked:
+            marks = (*marks, len(mass))
+            tags.append(tag), mass.append(0)
+        stack.append(_Open(tag, path, marks, tag in CONTAINERS))
     flush()
+
+    kept = total = 0
+    in_article = False
+    for path, _, said in done:
+        for marks, text, link in said:
+            n = 0 if link or text.isspace() else len(text)
+            total += n
+            if not marks:
+                kept += n
+                in_article = in_article or (n and (">article" in path or ">main" in path))
+    noise = _noise(kept, total, bool(in_article), mass, tags)
+    out = []
+    for path, tag, said in done:
+        own = [(text, link) for marks, text, link in said if not marks or noise.isdisjoint(marks)]
+        if text := " ".join("".join(t for t, _ in own).split()):
+            out.append(Block(path, text, sum(len(t) for t, link in own if link), tag))
     return out
 
 
-def page_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
+def page_scores(found: list[Block]) -> dict[str, float]:
     """Share of the page's running text that stands directly in each container."""
     mass = Counter()
-    for path, text, linked in found:
-        mass[path] += max(0, len(text) - linked)
+    for b in found:
+        mass[b.path] += max(0, len(b.text) - b.linked)
     total = sum(mass.values())
     scores = Counter()
     for path, n in mass.items():
@@ -146,7 +252,7 @@ def best_path(scores: dict[str, float]) -> str:
     return min(scores, key=lambda p: (-round(scores[p], 9), -len(p), p), default="")
 
 
-def widened(path: str, found: list[tuple[str, str, int]]) -> str:
+def widened(path: str, found: list[Block]) -> str:
     """The path, or the ancestor of it that holds the whole article of the page."""
     steps = path.split(">")
     tags = [s.partition(".")[0] for s in steps]
@@ -155,8 +261,8 @@ def widened(path: str, found: list[tuple[str, str, int]]) -> str:
             steps = steps[: tags.index(tag) + 1]
             break
     mass = Counter()
-    for p, text, linked in found:
-        mass[p] += max(0, len(text) - linked)
+    for b in found:
+        mass[b.path] += max(0, len(b.text) - b.linked)
     total = sum(mass.values())
 
     def held(top: str) -> int:
@@ -173,14 +279,21 @@ def widened(path: str, found: list[tuple[str, str, int]]) -> str:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """Blocks of the article around the path, or around the page's own best path, joined by empty lines."""
+    """Blocks of the article around the path, or around the page's own best path, joined by empty lines.
+
+    The last main heading before the article in a container around it belongs to it, and so does what stands there between."""
     found = blocks(page or "")
     if not found:
         return ""
-    inside = lambda top: [t for p, t, _ in found if p == top or p.startswith(top + ">")]
-    if not path or not inside(path):
+    under = lambda p, top: p == top or p.startswith(top + ">")
+    if not path or not any(under(b.path, path) for b in found):
         path = best_path(page_scores(found))
-    return "\n\n".join(inside(widened(path, found)))
+    top = widened(path, found)
+    first = next(i for i, b in enumerate(found) if under(b.path, top))
+    above = [b for b in found[:first] if under(top, b.path)]
+    heads = [i for i, b in enumerate(above) if b.tag == "h1"]
+    lead = above[heads[-1] :] if heads else []
+    return "\n\n".join(b.text for b in [*lead, *(b for b in found[first:] if under(b.path, top))])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
