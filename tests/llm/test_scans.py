@@ -92,6 +92,20 @@ def test_compressed_bytes_in_url_and_escapes():
             assert (a, b) == (2, 2 + len(enc)), (text, a, b)
 
 
+def test_base64_among_other_characters_and_bytes():
+    clear = f"some words and {KEY} and more of them"
+    enc = lambda b: base64.b64encode(b).decode()
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    deflated = raw.compress((clear + " ".join(map(str, range(90)))).encode()) + raw.flush()
+    for body in (enc(clear.encode()), enc(clear.encode("utf-16-le")), enc(clear.encode("utf-16-be")), enc(b"\xff\xfe\x00" + clear.encode() + b"\x80\x81"), enc(gzip.compress(clear.encode())), enc(deflated)):
+        for before, after in (("", ""), ("http://x.example/a/", ""), ("path/to/thing/", "/rest"), ("word", "")):
+            if before == "word" and body == enc(deflated):
+                continue  # no header, no slash before it: nothing tells where it begins
+            text = f"see {before}{body}{after} end"
+            found = [(a, b) for a, b, k in secret_scan.scan(text)["spans"] if k == "access"]
+            assert found and all(4 + len(before) - 2 <= a < b <= 4 + len(before) + len(body) + 1 for a, b in found), (before, body, found)
+
+
 def test_each_layer_has_its_own_bound(monkeypatch):
     monkeypatch.setattr(secret_scan, "MAX_LAYER_CHARS", 3_000)
     text = " ".join(quote(f"{c * 1500}=", safe="") for c in "ghij") + " " + base64.b64encode(f"here is {KEY} ok".encode()).decode()
@@ -164,3 +178,12 @@ def test_patterns_with_half_their_instances_unseen(spark):
     got = {r.doc_id: r.n_found for r in pii.find_personal_data(docs).collect()}
     assert all(got[d] == 1 for d, _ in unseen)
     assert all(got[d] == 0 for d, _ in contrary)
+
+
+def test_patterns_survive_noise_and_long_words(spark):
+    long = "w" * 500
+    seen = [(i, f"{long} my number {long} is +1 (555) 010-22{i:02d} {long} at night") for i in range(12)]
+    unseen = [(100 + i, f"{long} my number {long} is 555-0{i:02d}-4477 {long} at night") for i in range(4)]
+    noise = [(200, f"{long} my number {long} is no7 {long} at night")]
+    got = {r.doc_id: r.n_found for r in pii.find_personal_data(spark.createDataFrame([*seen, *unseen, *noise], "doc_id long, text string")).collect()}
+    assert all(got[d] == 1 for d, _ in unseen) and got[200] == 0

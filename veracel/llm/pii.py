@@ -1,12 +1,12 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
 Base spans (e-mail, IP, card, phone) are the seeds.  Every mention, seed or
-candidate of a looser shape, has two lexical patterns: the two words before it
-and the two words after it.  Spark scores the graph of patterns and instances in
-rounds: a pattern's confidence for a kind is the share of the known ones among its
-instances that are known to be of that kind or contrary to it, where candidates of
-that kind not yet known are unlabelled; an instance's is the noisy-or of its good
-patterns.  Instances that reach the threshold count as known in the next round,
+candidate of a looser shape, has lexical patterns: the word and the two words before it, and those
+after it.  Spark scores the graph of patterns and instances in rounds: a pattern's
+confidence for a kind is the lower Wilson bound of the share of the known ones among
+its instances that are known to be of that kind or contrary to it, where candidates
+of that kind not yet known are unlabelled, so some noise lowers a pattern and does
+not kill it; an instance's is the noisy-or of its best pattern on each side.  Instances that reach the threshold count as known in the next round,
 so they induce further patterns.  Candidate mentions of instances known at the
 end become spans beside the base ones.
 
@@ -45,7 +45,8 @@ LOOSE = (
 OTHER = re.compile(r"(?<!\S)\S*[0-9]\S*")
 
 MIN_SEEDS = 5  # distinct known instances before a pattern counts
-MIN_CONFIDENCE = 0.8  # of patterns, and of instances to become known
+MIN_PATTERN = 0.5  # confidence of patterns that count
+MIN_CONFIDENCE = 0.8  # of instances to become known
 ROUNDS = 3
 
 MENTION = "struct<kind:string,s:int,e:int,inst:string,seed:boolean,left:string,right:string>"
@@ -93,8 +94,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _context(text: str, lo: int, hi: int) -> tuple[str, str]:
-    before, after = text[max(0, lo - 80) : lo].lower().split(), text[hi : hi + 80].lower().split()
+    """The two words before and the two after, of any length."""
     clean = lambda ws: " ".join("0" if DIGIT.search(w) else w for w in ws)
+    near = 80
+    while True:
+        part = text[max(0, lo - near) : lo]
+        before = part.lower().split()
+        if near >= lo or len(before) > 2 or (len(before) == 2 and part[0].isspace()):
+            break
+        near *= 4
+    near = 80
+    while True:
+        part = text[hi : hi + near]
+        after = part.lower().split()
+        if hi + near >= len(text) or len(after) > 2 or (len(after) == 2 and part[-1].isspace()):
+            break
+        near *= 4
     return clean(before[-2:]), clean(after[:2])
 
 
@@ -147,14 +162,21 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select("doc_id", look("text").alias("r")).select("doc_id", "r.*")
 
 
+def wilson(n, of):
+    """Lower bound of a share at one standard error; 1 of 1 is 0.5, 5 of 5 are 0.83, 11 of 12 are 0.8."""
+    p, spread = n / of, F.sqrt(n * (of - n) / (of * of * of) + 1 / (4 * of * of))
+    return (p + 1 / (2 * of) - spread) / (1 + 1 / of)
+
+
 def known_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(inst, kind) believed after scoring the pattern-instance graph; found: inst, kind, seed, left, right."""
+    near = F.array(
+        F.concat(F.lit("l2 "), "left"), F.concat(F.lit("l1 "), F.substring_index("left", " ", -1)),
+        F.concat(F.lit("r2 "), "right"), F.concat(F.lit("r1 "), F.substring_index("right", " ", 1)),
+    )
     edges = materialize(
-        found.select(
-            "inst", "kind", "seed",
-            F.explode(F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"))).alias("pattern"),
-        )
-        .where("length(pattern) > 2")
+        found.select("inst", "kind", "seed", F.explode(near).alias("pattern"))
+        .where("length(pattern) > 3")
         .groupBy("pattern", "inst").agg(F.max("kind").alias("kind"), F.max("seed").alias("seed")),
         "edges",
     )
@@ -169,11 +191,12 @@ def known_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             marked.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= MIN_SEEDS)
             .join(sizes, "pattern").join(same, ["pattern", "kind"])
-            .withColumn("conf", F.col("n") / (F.col("n") + F.col("size") - F.col("same") + 1))
-            .where(F.col("conf") >= MIN_CONFIDENCE)
+            .withColumn("conf", wilson(F.col("n"), F.col("n") + F.col("size") - F.col("same")))
+            .where(F.col("conf") >= MIN_PATTERN)
         )
         fresh = (
             open_edges.join(good.select("pattern", "kind", "conf"), ["pattern", "kind"])
+            .groupBy("inst", "kind", F.substring("pattern", 1, 1).alias("side")).agg(F.max("conf").alias("conf"))
             .groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("p"))
             .where(F.col("p") >= MIN_CONFIDENCE).select("inst", "kind")
         )

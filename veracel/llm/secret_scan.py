@@ -3,8 +3,10 @@
 Every text is layer zero.  A layer is scanned, then each URL-encoded,
 Unicode-escaped, base64 or compressed stretch in it is decoded into a new layer
 whose characters remember which characters of the original text they came from.
-Base64 goes on over line ends and indents, and compressed bytes are unpacked
-whether they came as base64, URL-encoded or escaped.  Layers go through a worklist
+Base64 goes on over line ends and indents and is tried at all four alignments, since a
+path or a word before it looks like more of it; readable stretches (UTF-8, UTF-16)
+among other bytes count, and compressed bytes are unpacked whether they came as
+base64, URL-encoded or escaped (raw deflate as base64 only, at its start or after a slash).  Layers go through a worklist
 until none is new; a layer seen before over the same stretch is not entered again,
 so cycles end.
 
@@ -13,13 +15,13 @@ doc_id and text are read, so other columns cannot clash.
 """
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +48,13 @@ BYTE_ESCAPE = re.compile(r"\\([abfnrtv0\\'\"])")
 BYTES_OF = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00", re.S)
 
+READABLE = rb"[\t\n\r\x20-\x7e]"
+UTF8_RUN = re.compile(rb"(?:" + READABLE + rb"|[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}")
+UTF16LE_RUN = re.compile(rb"(?:" + READABLE + rb"\0){12,}")
+UTF16BE_RUN = re.compile(rb"(?:\0" + READABLE + rb"){12,}")
+#: Bytes that may be deflated without a header: fewer hold no secret.
+LEAST_DEFLATED = 12
+
 #: Decoded characters of one layer beyond which it is counted as oversize
 #: instead of being unpacked (a compression bomb). Each layer has its own bound.
 MAX_LAYER_CHARS = 1 << 26
@@ -140,14 +149,6 @@ def _unpack(data, room: int) -> tuple[bytes, int] | None:
     return out, len(data) - len(d.unused_data)
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        t = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return t if t and sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.95 * len(t) else None
-
-
 def _inflated(data: bytes, room: int) -> bytes:
     """data, decompressed for as long as it is compressed."""
     while (inner := _unpack(data, room)) is not None:
@@ -155,50 +156,70 @@ def _inflated(data: bytes, room: int) -> bytes:
     return data
 
 
-def _base64_layer(text: str, parts: list[tuple[int, int]], room: int):
-    """Layer of the base64 characters of the parts, one for each line."""
-    raw = "".join(text[a:b] for a, b in parts).rstrip("=")
-    if len(raw) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    clear = _inflated(data, room)
-    if (t := _readable(clear)) is None:
-        return None
-    if clear is not data:
-        return t, [parts[0][0]] * len(t), [parts[-1][1]] * len(t)
-    at = range(*parts[0]) if len(parts) == 1 else [i for a, b in parts for i in range(a, b)]
-    return _chars_of(data, [(at[k * 8 // 6], at[(k * 8 + 7) // 6] + 1) for k in range(len(data))])
+def _stretches(data: bytes):
+    """(text, first byte and end of each character) of the readable stretches of bytes: UTF-8, and UTF-16 of ASCII in either order."""
+    for m in UTF8_RUN.finditer(data):
+        text = m[0].decode("utf-8")
+        size = [1] * len(text) if text.isascii() else [len(c.encode("utf-8")) for c in text]
+        ends = [*accumulate(size, initial=m.start())]
+        yield text, ends[:-1], ends[1:]
+    if b"\0" in data:
+        for pattern, skip in ((UTF16LE_RUN, 0), (UTF16BE_RUN, 1)):
+            for m in pattern.finditer(data):
+                text = m[0][skip::2].decode("ascii")
+                yield text, range(m.start(), m.end(), 2), range(m.start() + 2, m.end() + 2, 2)
+
+
+def _unpacked(data: bytes, room: int) -> str | None:
+    """Readable stretches of what compressed bytes hold, apart by newlines: all of it came from all of them."""
+    return "\n".join(t for t, *_ in _stretches(_inflated(data, room))) or None
+
+
+def _base64_layers(text: str, parts: list[tuple[int, int]], room: int):
+    """Layers of the base64 characters of the parts, one for each line; None for oversize ones.
+
+    What stands before base64 in its own alphabet (a path, a word) only shifts it, so each of the four alignments is
+    decoded and its readable stretches and compressed streams are looked for."""
+    at = [i for a, b in parts for i in range(a, b) if text[i] != "="]
+    to = [i + 1 for i in at]
+    to[-1] = parts[-1][1]  # with the padding
+    raw = "".join(text[i] for i in at).replace("-", "+").replace("_", "/")
+    starts = [0, *(m.end() for m in re.finditer("/", raw))]
+    for shift in range(4):
+        body = raw[shift : len(raw) - (len(raw) - shift) % 4] if (len(raw) - shift) % 4 == 1 else raw[shift:]
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        for t, lo, hi in _stretches(data):
+            yield t, [at[shift + k * 8 // 6] for k in lo], [to[shift + (8 * k - 1) // 6] for k in hi]
+        if MAGIC.search(data):
+            yield from _streams(data, [(at[shift + k * 8 // 6], to[shift + (k * 8 + 7) // 6]) for k in range(len(data))], room)
+        view = memoryview(data)
+        for p in starts:  # deflate has no header, so it is tried where base64 may begin
+            k = (p - shift) * 6 // 8
+            if p % 4 != shift or len(data) - k < LEAST_DEFLATED:
+                continue
+            try:
+                d = zlib.decompressobj(-15)
+                out = d.decompress(view[k:], room + 1)
+                if len(out) > room:
+                    yield None
+                elif d.eof and (t := _unpacked(out, room)):
+                    end = to[shift + (8 * (len(data) - len(d.unused_data)) - 1) // 6]
+                    yield t, [at[p]] * len(t), [end] * len(t)
+            except (zlib.error, OverflowError):
+                pass
 
 
 def _base64_runs(text: str):
-    """Lists of (start, end) of lines that may be one base64 text: every run alone, and runs that go on over line ends.
-
-    Words before and after wrapped base64 look like lines of it, so the lines are also tried without the first, without
-    the last, and as each stretch of equal lines with the shorter one after it."""
+    """Lists of (start, end) of lines that may be one base64 text: runs that go on over line ends."""
     done = 0
     for m in BASE64_RUN.finditer(text):
-        yield [m.span()]
         if m.start() < done:
             continue
         lines = [m.span()]
         while text[lines[-1][1] - 1] != "=" and (len(lines) == 1 or lines[-1][1] - lines[-1][0] >= 16) and (n := NEXT_LINE.match(text, lines[-1][1])):
             lines.append(n.span(1))
-        k, done = len(lines), lines[-1][1]
-        if k == 1:
-            continue
-        tried = {(0, k), (1, k), (0, k - 1), (1, k - 1)}
-        width = [len(text[a:b].rstrip("=")) for a, b in lines]
-        i = 0
-        while i < k:
-            j = i + 1
-            while j < k and width[j] == width[i]:
-                j += 1
-            tried |= {(i, j)} | ({(i, j + 1)} if j < k and width[j] < width[i] else set())
-            i = j
-        yield from (lines[a:b] for a, b in sorted(tried) if b - a > 1)
+        done = lines[-1][1]
+        yield lines
 
 
 def _raw_bytes(text: str, lo: int, hi: int, pattern: re.Pattern, bytes_of):
@@ -235,7 +256,7 @@ def _streams(data: bytes, at: list[tuple[int, int]], room: int):
         pos = m.start() + 1
         try:
             got = _unpack(view[m.start() :], room)
-            if got and (t := _readable(_inflated(got[0], room))):
+            if got and (t := _unpacked(got[0], room)):
                 pos = m.start() + got[1]
                 yield t, [at[m.start()][0]] * len(t), [at[pos - 1][1]] * len(t)
         except OverflowError:
@@ -257,11 +278,7 @@ def _children(layer: Layer, room: int):
         if not got[0].isascii():
             yield from _streams(*_raw_bytes(t, 0, len(t), ESCAPED_BYTE, _escaped_byte), room)
     for lines in _base64_runs(t):
-        try:
-            if got := _base64_layer(t, lines, room):
-                yield got
-        except OverflowError:
-            yield None
+        yield from _base64_layers(t, lines, room)
 
 
 def scan(text: str | None) -> dict:
