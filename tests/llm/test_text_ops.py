@@ -177,7 +177,7 @@ def test_automaton_equals_brute_force():
         vocab = [f"w{i}" for i in range(rng.choice([2, 3, 8]))]
         say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
         items = [(str(i), say(rng.choice([0, 1, 3, 4, 5, 6, 9]))) for i in range(rng.randint(1, 6))]
-        auto = decontaminate.Automaton([(i, words(t)) for i, t in items], 4)
+        auto = decontaminate.Automaton([(i, words(t)) for i, t in items], 4).packed()
         for _ in range(5):
             text = say(rng.randint(0, 40))
             hit, seen = auto.scan(words(text))
@@ -198,6 +198,20 @@ def test_decontamination_on_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.hits(no_docs, bench).count() == 0 and decontaminate.hits(odd_docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_shards_equal_one_automaton(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(3)}" for _ in range(n))
+    items = [(i, say(rng.choice([0, 3, 5, 9, 30, 60]))) for i in range(12)]
+    bench = spark.createDataFrame([*items, (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i % 9, say(rng.randint(0, 30)) if i % 7 else None, i) for i in range(60)] + [(90, "not a word of it", 90)], "doc_id long, text string, row long")
+    one = sorted(map(repr, decontaminate.hits(docs, bench, 8).collect()))
+    assert one == sorted(map(repr, decontaminate.hits(docs, bench, 8, shard_words=20).collect()))
+    whole, cut = decontaminate.remove_passages(docs, bench, 8), decontaminate.remove_passages(docs, bench, 8, shard_words=40)
+    assert cut.columns == whole.columns == docs.columns
+    assert {r.row for r in cut.collect()} == {r.row for r in whole.collect()}
+    assert decontaminate.hits(cut, bench, 8).where("contaminated").count() == 0
+
+
 # ---- pages ----
 def test_main_text_by_consensus(spark):
     body = lambda t: f"""<html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>
@@ -286,6 +300,9 @@ def test_records_round_trip(spark, odd_docs, no_docs, tmp_path):
     some = spark.createDataFrame([r for r in index if r.doc_id in (4, 8)])
     got = {r.doc_id: r.ids for r in token_records.read_ids(spark, path, some).collect()}
     assert got[8] == [*tok.encode("short").ids, 1] and set(got) == {4, 8}
+    kept = spark.read.parquet(f"{path}.index").where("doc_id in (4, 8)")
+    through_spark = {r.doc_id: r.ids for r in token_records.read_ids(spark, str(tmp_path / "rec"), kept).collect()}
+    assert through_spark == got
     assert token_records.encode_to_records(no_docs, f"file://{tmp_path}/none").count() == 0
 
 
@@ -304,11 +321,27 @@ def test_damage_is_seen():
 
 def test_words_encode_as_whole_texts_do():
     enc = token_records.Encoder(token_records.default_tokenizer())
-    texts = ["<|endoftext|> A.B. c,,d. e., İ. don't. it's, x'S. ß.́ a.́ \x0b\x0c\x1c z y. q", "", " ", "ABC.\r\nDEF,", "ﬁ. ﬀ, Σ. ΑΣ", "é. É, é", "1.5, 2. a1. 1a.", "a 'll. b's, we'RE."]
+    texts = ["<|endoftext|> A.B. c,,d. e., İ. don't. it's, x'S. ß.́ a.́ \x0b\x0c\x1c z y. q", "", " ", "ABC.\r\nDEF,", "ﬁ. ﬀ, Σ. ΑΣ", "é. É, é", "1.5, 2. a1. 1a.", "a ^ b^ ^^ c|d ~", "a 'll. b's, we'RE."]
     for text, ids in zip(texts, enc.encode(texts)):
         assert np.frombuffer(ids, "<u2").tolist() == [*enc.tok.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(token_records.default_tokenizer()).to_str())
+    assert token_records.by_words(spec)
+    assert not token_records.by_words({**spec, "normalizer": None})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = token_records.Encoder(path)
+    assert not enc.cut
+    texts = ["Two  words.", "", "A b\n C ^ d"]
+    assert [np.frombuffer(i, "<u2").tolist() for i in enc.encode(texts)] == [[*enc.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 # ---- near duplicates ----
 def naive_links(rows, n=5, threshold=0.8):
     sets = {d: frozenset(tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))) if (ws := words(t)) else frozenset() for d, t in rows}

@@ -6,20 +6,20 @@ newline.  The payload is the doc_id (signed 64-bit; the least value for null), t
 width of an id in bytes (one byte), and the zstd-compressed ids.  A masked
 checksum is the checksum rotated right by 15 bits plus 0xa282ead8.
 
-Documents are range-partitioned and sorted by doc_id, encoded, and written by
-Spark's own text writer, whose commit protocol makes retries safe and which
-reaches any store that Spark does; the newline of a record is its line end.  The
-index (file, offset and length of each record, and the ids before it) is a table
-of its own, made by reading the files back.
+Documents are range-partitioned and sorted by doc_id into files of bounded bytes,
+encoded, and written by Spark's own text writer, whose commit protocol makes retries
+safe and which reaches any store that Spark does; the newline of a record is its line
+end.  The index (file, offset and length of each record, and the ids before it) is
+made by reading the files back, and is written beside them (path.index) for shuffled
+reads, which seek where the files are on a mounted folder and else read them whole.
 
 Null and empty texts make a record with the end id alone.  Rows with one doc_id
 follow each other in the order of their texts.  An empty table writes no record.
 """
 
+import json
 import re
 import struct
-import sys
-from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,8 +33,10 @@ from .common import materialize, new_path, small_batches
 END_ID = 1
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
-CACHE_WORDS = 900_000
+CACHE_WORDS = 300_000  # of each of two generations
+JOINED = 500  # new words in one string
 SLICE = 256  # texts cut up at a time
+FILE_BYTES = 64 << 20  # of text in a file, about
 
 #: A-Z to a-z, other ASCII white space of the tokenizer to a blank.
 BLANKS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\r" else b for b in range(256))
@@ -86,39 +88,77 @@ def read_record(data: bytes, at: int, unpack=None) -> tuple[int, int, int | None
     return at, n + 17, None if doc_id == NULL_ID else doc_id, ids
 
 
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) lower-cases and never joins characters across white space."""
+    steps = spec.get("normalizer") or {}
+    steps = steps.get("normalizers", [steps])
+    known = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+    plain = all(n.get("type") in known or (n.get("type") == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in steps)
+    cut = spec.get("pre_tokenizer") or {}
+    first = cut.get("pretokenizers", [cut])[0]
+    apart = first.get("type") in ("Whitespace", "WhitespaceSplit") or (
+        first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and not re.search(r"\\S|\\s(?!\\p)|[. ]", first["pattern"].get("Regex", "."))
+    )
+    return plain and any(n.get("type") == "Lowercase" for n in steps) and apart and not spec.get("post_processor")
+
+
 class Encoder:
-    """Ids of whole texts; distinct words are encoded once, by the library, in batches.
+    """Ids of whole texts; distinct words are encoded once, by the library, many in one string.
 
     Texts are cut at ASCII blanks, after lower-casing A-Z and parting a letter from
     the lone comma or full stop that ends its word.  The tokenizer lower-cases and
-    cuts there itself (tests compare with whole texts), so only the number of
-    distinct words shrinks."""
+    cuts there itself (by_words looks at its file, tests compare with whole texts), so only the number of
+    distinct words shrinks; another tokenizer encodes whole texts.  In a string of new words a mark of one id
+    stands between them; words with that mark are encoded alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width, self.kind = (2, "H") if self.tok.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.width, self.kind = (2, "<u2") if self.tok.get_vocab_size() <= 1 << 16 else (4, "<u4")
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.cut = by_words(json.loads(self.tok.to_str()))
+        self.mark, self.mark_id = next(((c, ids[0]) for c in "^~|" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
 
     def _ids(self, ids: list[int]) -> bytes:
-        out = array(self.kind, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if self.mark and self.mark not in w]
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
+            ids = np.array(self.tok.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, self.kind)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(some) - 1:
+                self._learn_singly(some)
+                continue
+            data, w = ids.tobytes(), self.width
+            begins, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(data)]
+            self.words.update(zip(some, map(data.__getitem__, map(slice, begins, ends))))
+        self._learn_singly([w for w in new if not self.mark or self.mark in w])
+
+    def _learn_singly(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[w] = self._ids(e.ids)
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         return [ids for lo in range(0, len(texts), SLICE) for ids in self._encode(texts[lo : lo + SLICE], end_id)]
 
     def _encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        end = self._ids([end_id])
+        if not self.cut:
+            return [self._ids(e.ids) + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [LONE_STOP.sub(" ", t.encode("utf-8", "surrogatepass").translate(BLANKS).decode("utf-8", "surrogatepass")).split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        known = self.words
-        new = list({w for p in parts for w in p if w not in known})
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = self._ids(e.ids)
-        end, of = self._ids([end_id]), known.__getitem__
+            self.old, self.words = self.words, {}
+        new = set().union(*parts).difference(self.words)
+        if again := new & self.old.keys():
+            self.words.update((w, self.old[w]) for w in again)
+            new -= again
+        if new:
+            self._learn(list(new))
+        of = self.words.__getitem__
         return [b"".join([*map(of, p), end]) for p in parts]
 
 
@@ -135,7 +175,9 @@ def encoder(path: str) -> Encoder:
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
     """Write docs' ids as record files in ascending order of doc_id."""
     tokenizer = tokenizer or default_tokenizer()
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     @F.pandas_udf("binary")
     def framed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -156,7 +198,7 @@ ENTRY = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint,ids_cr
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, length, doc_id, start, n_tokens, ids_crc32 of every record, checksums checked.
 
-    start: ids in all records before, over the files in the order of their names."""
+    start: ids in all records before, over the files in the order of their numbers."""
 
     @F.pandas_udf(f"array<{ENTRY}>")
     def entries(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -174,30 +216,53 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     read = materialize(raw.select(name.alias("file"), F.explode(entries("content")).alias("r")).select("file", "r.*"), "index-entries")
     totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row a file
-    starts = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("first"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
+    starts = totals.select("file", (F.sum("n").over(Window.orderBy(number)) - F.col("n")).alias("first"))
     return read.join(F.broadcast(starts), "file").select(
         "file", "offset", "length", "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
 def read_ids(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """doc_id and ids of the records that index names, in any order: each file is opened once, at the offsets wanted."""
+    """doc_id and ids of the records that index names, in any order: each file is opened once, at the offsets wanted.
+
+    Files of a mounted folder (file:) are read by seeking; others, of FILE_BYTES or so, through Spark."""
+    wanted = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length"))).alias("w"))  # of one file
 
     @F.pandas_udf("array<array<int>>")
     def pick(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for files, offsets in batches:
             yield pd.Series([[read_record(bytes(d), int(o))[3].tolist() for o in at] for d, at in zip(files, offsets)])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    wanted = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id"))).alias("w"))
-    met = raw.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(wanted, "file")
-    got = met.select("w", pick("content", F.col("w.offset")).alias("ids"))
+    folder = path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else None
+
+    @F.pandas_udf("array<array<int>>")
+    def seek(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for files, offsets, lengths in batches:
+            out = []
+            for name, at, sizes in zip(files, offsets, lengths):
+                with open(f"{folder}/{name}", "rb") as f:
+                    rows = []
+                    for o, n in zip(at, sizes):
+                        f.seek(int(o))
+                        rows.append(read_record(f.read(int(n)), 0)[3].tolist())
+                out.append(rows)
+            yield pd.Series(out)
+
+    if folder:
+        got = wanted.select("w", seek("file", F.col("w.offset"), F.col("w.length")).alias("ids"))
+    else:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+        met = raw.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(wanted, "file")
+        got = met.select("w", pick("content", F.col("w.offset")).alias("ids"))
     return got.select(F.explode(F.arrays_zip("w", "ids")).alias("z")).select("z.w.doc_id", "z.ids")
 
 
 def encode_to_records(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Write docs as record files, read them back, and return their index."""
+    """Write docs as record files, read them back, and write their index beside them (path.index); returns the index."""
     spark = docs.sparkSession
     path = path or new_path(spark, "records")
     write_records(docs, path, tokenizer)
-    return build_index(spark, path)
+    index = build_index(spark, path)
+    index.write.parquet(f"{path}.index")
+    return spark.read.schema(index.schema).parquet(f"{path}.index")
