@@ -171,8 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, all_fold
     return train([r.text for r in got], [int(r.quality) for r in got])
 
 
-def score_documents(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; or all columns of docs and score."""
+def _scorer(docs: DataFrame, model: Model):
     spark = small_batches(docs).sparkSession
     shipped = spark.sparkContext.broadcast((model.weight, model.bias))
 
@@ -185,9 +184,18 @@ def score_documents(docs: DataFrame, model: Model, keep_columns: bool = False) -
         del of
         release()
 
-    if keep_columns:
-        return docs.withColumn("__score", score("text"))
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
     held = remainder(F.col("doc_id")) == 0
-    return docs.select("doc_id", held.alias("held_out"), score("text").alias("score")).withColumn(
+    return docs.select("doc_id", held.alias("held_out"), _scorer(docs, model)("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns of any names, without the rows that score below the threshold."""
+    scored = docs.select(F.struct("*").alias("doc"), _scorer(docs, model)("text").alias("score"))
+    return scored.where(F.col("score") >= threshold).select("doc.*")

@@ -11,7 +11,8 @@ distinct cut once, check it against the sentencepiece library and decode it agai
 Other models encode and decode whole texts, in multithreaded batches.
 
 Null and empty texts have no ids.  Repeated rows each get their own row; other
-columns pass through unread.
+columns pass through unread, but those named ids, parity or round_trip, which the
+results replace.
 """
 
 
@@ -239,8 +240,10 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, verify: boo
             yield pd.DataFrame(rows, columns=["ids", "parity", "round_trip"])
         release()
 
-    coded = small_batches(docs).withColumn("__e", encode("text"))
-    return coded.withColumns({c: F.col(f"__e.{c}") for c in ("ids", "parity", "round_trip")}).drop("__e")
+    coded = small_batches(docs).select(F.struct("*").alias("doc"), encode("text").alias("e"))
+    made = {c: F.col("e").getField(c).alias(c) for c in ("ids", "parity", "round_trip")}
+    own = [made.pop(c) if c in made else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return coded.select(*own, *made.values())
 
 
 def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
