@@ -13,7 +13,7 @@ def test_query(spark, name):
     if name in SQL:
         assert got == rows_of_sql(SQL[name], SF)
     else:
-        assert got[0]
+        assert got[1]  # rows; what they hold is tested elsewhere
 
 
 def test_every_sql_has_a_query():

@@ -140,7 +140,7 @@ def bio(prompt: Column, output: Column) -> dict[str, Column]:
         "negative_value_count": F.size(F.filter(values, lambda v: v < 0)).cast("double"), "unit_mention_count": matches(text, UNITS),
         "value_magnitude_range": F.when(F.size(some) >= 2, F.log10(F.array_max(some) / F.array_min(some))).otherwise(0.0),
         "statistical_summary_count": sum((matches(text, "(?i)" + p) for p in STATISTICS), F.lit(0.0)),
-        "out_of_range_count": out_of_range(text),
+        "out_of_range_count": F.when(text.rlike("[0-9]"), out_of_range(text)).otherwise(0.0),
     }
 
 
@@ -164,22 +164,6 @@ def out_of_range(text: Column) -> Column:
     return F.aggregate(pairs, start, step)["n"].cast("double")
 
 
-def entropy_of(words: Column) -> Column:
-    """Shannon entropy in bits of an array's values: log2 n - sum(c log2 c) / n over the counts c of its values."""
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(
-        F.array_sort(words), start,  # equal values stand together
-        lambda s, w: F.struct(
-            w.alias("last"), F.when(s["last"].eqNullSafe(w), s["run"] + 1).otherwise(1).alias("run"),
-            (s["sum"] + F.when(s["last"].eqNullSafe(w), 0.0).otherwise(term(s["run"]))).alias("sum"),
-        ),
-        lambda s: s["sum"] + term(s["run"]),
-    )
-    n = F.size(words)
-    return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
-
-
 # ---- Python functions, where no expression exists ----
 def count_steps(text: str) -> int:
     """Distinct places of step markers, ordinal words and list numbers."""
@@ -290,19 +274,37 @@ def higuchi(signal: np.ndarray, longest: int = 10) -> float:
     return float(np.clip(np.polyfit(x, y, 1)[0], 1.0, 2.0))
 
 
-def _fractal_dimensions(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    from collections import Counter
+FRACTAL = ("hfd_char_dist", "hfd_word_lengths", "hurst_word_lengths", "hurst_sentence_lengths", "shannon_char", "shannon_word", "shannon_bigram", "complexity_index")
+HURST = 0.5  # what the exponent is without its library
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Shannon entropy in bits of values with these counts."""
+    n = counts.sum()
+    return float(np.log2(n) - (counts * np.log2(counts)).sum() / n) if n else 0.0
 
+
+def fractal_vector(text: str | None) -> tuple[float, ...]:
+    """The eight columns of FRACTAL from one pass over a text; fixed values for a blank one."""
+    words = (text or "").split()
+    if not words:
+        return (1.5, 1.5, HURST, HURST, 0.0, 0.0, 0.0, 0.0)
+    chars = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1].astype(float)
+    of: dict[str, int] = {}
+    ids = np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words))
+    word_counts = np.bincount(ids).astype(float)
+    pairs = np.unique(ids[:-1] * len(of) + ids[1:], return_counts=True)[1].astype(float)
+    by_words = higuchi(np.fromiter(map(len, words), float, len(words)))
+    return (higuchi(chars), by_words, HURST, HURST, entropy(chars), entropy(word_counts), entropy(pairs), (by_words - 1) * (1.5 - HURST))
+
+
+def _fractal(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        rows = []
-        for t in texts:
-            counts = Counter(t or "")
-            rows.append((higuchi(np.array([counts[c] for c in sorted(counts)], float)), higuchi(np.array([len(w) for w in (t or "").split()], float))))
-        yield pd.DataFrame(rows, columns=["hfd_char_dist", "hfd_word_lengths"])
+        yield pd.DataFrame([fractal_vector(t) for t in texts], columns=FRACTAL)
 
 
-def fractal_dimensions(text: Column) -> Column:
-    return F.pandas_udf(_fractal_dimensions, "struct<hfd_char_dist:double,hfd_word_lengths:double>")(text)
+def fractal(text: Column) -> Column:
+    return F.pandas_udf(_fractal, "struct<" + ",".join(f"{c}:double" for c in FRACTAL) + ">")(text)
 
 
 def with_features(df: DataFrame, features: dict[str, Column], *keep: str) -> DataFrame:

@@ -128,43 +128,91 @@ def percentile_score(values: DataFrame, baseline: DataFrame, value: str) -> Data
     return scored.select("id", F.when(inside, 1 - F.col("idx") / n).otherwise(off).alias("score"))
 
 
-def isolation_scores(features: DataFrame, columns: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 5) -> DataFrame:
-    """Isolation forest: trees on bounded samples in hash order, scored where the rows are. features: id, columns."""
-    picked = features.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * 8 if trees * 8 > sample else sample)
-    data = np.array([[float(r[c]) for c in columns] for r in picked.collect()])
-    rng = np.random.default_rng(seed)
-    limit = math.ceil(math.log2(max(2, min(sample, len(data)))))
-
-    def grow(x: np.ndarray, depth: int):
-        if depth >= limit or len(x) <= 1 or (x.min(0) == x.max(0)).all():
-            return len(x)
-        f = rng.choice(np.flatnonzero(x.min(0) < x.max(0)))
-        cut = rng.uniform(x[:, f].min(), x[:, f].max())
-        return int(f), float(cut), grow(x[x[:, f] < cut], depth + 1), grow(x[x[:, f] >= cut], depth + 1)
-
-    def usual(n: int) -> float:
-        return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-    forest = [grow(data[rng.choice(len(data), min(sample, len(data)), replace=False)], 0) for _ in range(trees)] if len(data) else []
-    norm = usual(min(sample, len(data))) or 1.0
-
-    def depths(node, x, at, depth, out):
-        if isinstance(node, int):
-            out[at] += depth + usual(node)
-            return
-        f, cut, low, high = node
-        below = x[at, f] < cut
-        depths(low, x, at[below], depth + 1, out), depths(high, x, at[~below], depth + 1, out)
+def _usual(n: int) -> float:
+    """Mean depth of an unsuccessful search among n rows."""
+    return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+
+
+class Forest:
+    """Isolation trees in flat arrays: feature (-1 for a leaf), cut, places of the two sides, depth of a leaf."""
+
+    def __init__(self, data: np.ndarray, trees: int, sample: int, seed: int):
+        rng, n = np.random.default_rng(seed), min(sample, len(data))
+        limit = math.ceil(math.log2(max(2, n)))
+        self.norm, self.trees = _usual(n) or 1.0, []
+        for _ in range(trees if len(data) else 0):
+            feature, cut, low, high, depth = [], [], [], [], []
+            work = [(data[rng.choice(len(data), n, replace=False)], 0, None, None)]
+            while work:
+                x, d, parent, side = work.pop()
+                at = len(feature)
+                if parent is not None:
+                    side[parent] = at
+                wide = np.flatnonzero(x.min(0) < x.max(0))
+                if d >= limit or not len(wide):
+                    feature.append(-1), cut.append(0.0), low.append(at), high.append(at), depth.append(d + _usual(len(x)))
+                    continue
+                f = int(rng.choice(wide))
+                c = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+                feature.append(f), cut.append(c), low.append(0), high.append(0), depth.append(0.0)
+                below = x[:, f] < c
+                work += [(x[~below], d + 1, at, high), (x[below], d + 1, at, low)] if below.any() and not below.all() else [(x, limit, at, high), (x, limit, at, low)]
+            self.trees.append(tuple(np.array(v) for v in (feature, cut, low, high, depth)))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean depth / usual depth) of each row, all rows a level at a time."""
+        total, rows = np.zeros(len(x)), np.arange(len(x))
+        for feature, cut, low, high, depth in self.trees:
+            at = np.zeros(len(x), int)
+            while (going := feature[at] >= 0).any():
+                below = x[rows, np.maximum(feature[at], 0)] < cut[at]
+                at = np.where(going, np.where(below, low[at], high[at]), at)
+            total += depth[at]
+        return 2.0 ** (-total / max(1, len(self.trees)) / self.norm)
+
+
+def fit_forest(features: DataFrame, columns: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 5) -> Forest:
+    """An isolation forest on a bounded sample, the first 8 * trees rows in hash order. features: id, columns."""
+    picked = features.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(trees * 8, sample))
+    return Forest(np.array([[float(r[c]) for c in columns] for r in picked.collect()]), trees, sample, seed)
+
+
+def forest_scores(features: DataFrame, columns: tuple[str, ...], forest: Forest) -> DataFrame:
+    """features with score, by an isolation forest scored where the rows are."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            x, out = np.stack(rows).astype(float), np.zeros(len(rows))
-            for tree in forest:
-                depths(tree, x, np.arange(len(x)), 0, out)
-            yield pd.Series(2.0 ** (-out / max(1, len(forest)) / norm))
+            yield pd.Series(forest.score(np.stack(rows).astype(float)))
+
+    return features.withColumn("score", score(F.array(*[F.col(c).cast("double") for c in columns])))
+
+
+def isolation_scores(features: DataFrame, columns: tuple[str, ...], trees: int = 100, sample: int = 256, seed: int = 5) -> DataFrame:
+    """Isolation forest fitted on a bounded sample of the features and scored on all of them. features: id, columns."""
+    features = materialize(features, "features")  # read by the fit and the scores
+    return forest_scores(features, columns, fit_forest(features, columns, trees, sample, seed)).select("id", "score")
+
+
+def self_distance(features: DataFrame, columns: tuple[str, ...], own: DataFrame, most: int = 1000, seed: int = 7) -> tuple[DataFrame, float]:
+    """features with distance to the nearest of a bounded sample of self rows, the first `most` in hash order, and the self radius.
+
+    own: id, columns. A self row's distance to itself does not count towards the radius."""
+    picked = own.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).collect()
+    x = np.array([[float(r[c]) for c in columns] for r in picked]).reshape(len(picked), len(columns))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if len(x) else np.zeros((0, 0))
+    np.fill_diagonal(d, np.inf)
+    radius = max(0.05, min(2.0, float(np.quantile(d.min(1), 0.95)))) if len(x) > 1 else 0.15
+
+    @F.pandas_udf("double")
+    def nearest_self(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            q, best = np.stack(rows).astype(float), np.full(len(rows), np.inf)
+            for lo in range(0, len(x), 256):
+                best = np.minimum(best, ((q[:, None] - x[None, lo : lo + 256]) ** 2).sum(2).min(1))
+            yield pd.Series(np.sqrt(best))
 
-    return features.select("id", score(F.array(*[F.col(c).cast("double") for c in columns])).alias("score"))
+    return features.withColumn("distance", nearest_self(F.array(*[F.col(c).cast("double") for c in columns]))), radius
 
 
 def reconstruction_error(vectors: DataFrame, k: int = 8) -> DataFrame:

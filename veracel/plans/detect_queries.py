@@ -90,8 +90,8 @@ def gated_pipeline(spark, sf):
     """z-gate on text lengths per domain, then signals, maturation, tier, score and danger modulation, in one plan."""
     s = samples(spark, sf)
     f = text.with_features(s, text.dendritic(F.col("output")), "id", "domain").join(s.select("id", F.length("output").cast("double").alias("size")), "id")
-    w = Window.partitionBy("domain")
-    f = f.withColumns({"m": F.avg("size").over(w), "d": F.stddev_pop("size").over(w)})
+    stats = s.groupBy("domain").agg(F.avg(F.length("output")).alias("m"), F.stddev_pop(F.length("output")).alias("d"))  # a row a domain
+    f = f.join(F.broadcast(stats), "domain")
     cols = {n: F.col(n) for n in text.DENDRITIC}
     sig = D.signals(cols)
     state = D.maturation(sig)

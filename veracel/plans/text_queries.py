@@ -41,16 +41,12 @@ def code_features(spark, sf):
 
 
 def shannon_entropy(spark, sf):
-    words = text.tokens(F.col("output"))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    chars = F.filter(F.split("output", ""), lambda c: c != "")
-    return samples(spark, sf).select("id", F.round(text.entropy_of(chars), 6).alias("shannon_char"), F.round(text.entropy_of(words), 6).alias("shannon_word"), F.round(text.entropy_of(pairs), 6).alias("shannon_bigram"))
+    got = samples(spark, sf).select("id", text.fractal("output").alias("r"))
+    return got.select("id", *[F.round(f"r.{c}", 6).alias(c) for c in ("shannon_char", "shannon_word", "shannon_bigram")])
 
 
 def fractal_features(spark, sf):
-    words = text.tokens(F.col("output"))
-    got = samples(spark, sf).select("id", text.fractal_dimensions("output").alias("r"), F.lit(0.5).alias("hurst"), text.entropy_of(words).alias("shannon_word")).select("id", "r.*", "hurst", "shannon_word")
-    return got.withColumn("complexity_index", (F.col("hfd_word_lengths") - 1) * (1.5 - F.col("hurst")))
+    return samples(spark, sf).select("id", text.fractal("output").alias("r")).select("id", "r.*")
 
 
 def tfidf_terms(spark, sf):
@@ -195,7 +191,8 @@ SQL = {
                CASE WHEN t = '' THEN 0 ELSE chars END::DOUBLE AS text_length FROM c""", "samples"),
     "reasoning_features": with_views(f"""
         WITH a AS (SELECT id, {_PAIR} AS t, length(prompt) + length(output) AS chars FROM samples),
-        b AS (SELECT *, {_T.format('lower(t)')} AS low FROM a), c AS (SELECT *, {_BARE} AS bare FROM b),
+        b AS (SELECT *, {_T.format('lower(t)')} AS low FROM a),
+        c AS (SELECT * EXCLUDE (t), {_BARE} AS bare, regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g') AS t FROM b),
         d AS (SELECT *, {_among(text.PREMISES)} AS p, {_among(text.CONCLUSIONS)} AS e FROM c)
         SELECT id, round(CASE WHEN len(low) > 0 THEN ({_among(text.CONNECTIVES)} + {_n('(?i)' + chr(92) + 'bfollows' + chr(92) + 's+that' + chr(92) + 'b')}) / len(low) ELSE 0 END::DOUBLE, 6) AS connective_density,
                {_n(text.NEGATION)}::DOUBLE AS negation_count,

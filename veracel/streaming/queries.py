@@ -10,20 +10,34 @@ from ..sources.tables import read, responses, with_views
 from .state import alert_stream, ema_stream, health_stream, windowed_events
 
 
-def streamed(df: DataFrame, transform, mode: str = "append", files: int = 1) -> DataFrame:
-    """df written as files, read as a stream, transformed, and drained into a table."""
+SLICES = 4
+
+
+def streamed(df: DataFrame, transform, order: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """df arriving in slices of its order column, each in as many files as Spark writes; the stream is drained after each.
+
+    State is carried from slice to slice in the checkpoint. In update mode the last row of each key counts."""
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    number = F.col(order).cast("double")
+    cuts = sorted(set(df.select(number.alias("x")).approxQuantile("x", [k / SLICES for k in range(1, SLICES)], 0.01)))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")  # a retried epoch replaces itself
-
-    out = transform(stream)
-    query = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(sink).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out/*")
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")  # a retried epoch replaces itself
+
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = F.lit(True) if low is None else number > low
+        if high is not None:
+            inside = inside & F.coalesce(number <= high, F.lit(low is None))  # rows without an order come first
+        df.where(inside).write.mode("append").parquet(f"{base}/in")
+        out = transform(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+        query = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(sink).start()
+        query.awaitTermination()
+    got = spark.read.schema(out.schema.add("epoch", "long")).parquet(f"{base}/out/*")
+    if mode != "update":
+        return got.drop("epoch")
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "epoch").alias("r")).select("r.*")
 
 
 def _rewards(spark, sf):
@@ -33,24 +47,24 @@ def _rewards(spark, sf):
 
 
 def stream_ema(spark, sf):
-    return streamed(_rewards(spark, sf), ema_stream).select("uid", "round", F.round(F.col("ema") + 1e-10, 6).alias("ema"))
+    return streamed(_rewards(spark, sf), ema_stream, "round").select("uid", "round", F.round(F.col("ema") + 1e-10, 6).alias("ema"))
 
 
 def stream_health(spark, sf):
     a = responses(spark, sf).select("uid", F.col("event_id").alias("step"), F.col("score").isNotNull().alias("ok"), "latency")
-    out = streamed(a, health_stream, "update")
+    out = streamed(a, health_stream, "step", "update", ("uid",))
     return out.select("uid", "last_response", "responses", "consecutive_failures", F.round(F.col("mean_latency") + 1e-10, 5).alias("mean_latency"))
 
 
 def stream_alerts(spark, sf):
     a = responses(spark, sf).where("score is null").select(F.lit("failure").alias("kind"), "uid", F.col("day").alias("step"))
-    return streamed(a, alert_stream).select("uid", "step")
+    return streamed(a, alert_stream, "step").select("uid", "step")
 
 
 def stream_windows(spark, sf):
     """Hourly windows that the watermark has closed when the stream ends, all but those at its end."""
     e = read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    out = streamed(e, windowed_events)
+    out = streamed(e, windowed_events, "ts")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
