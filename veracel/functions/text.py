@@ -61,6 +61,11 @@ def pair_text(prompt: Column, output: Column) -> Column:
     return F.concat(F.coalesce(prompt, F.lit("")), F.lit(" "), F.coalesce(output, F.lit("")))
 
 
+def code_from(code: Column, output: Column) -> Column:
+    """Code of a sample: its own, else its output, else nothing."""
+    return F.coalesce(F.nullif(code, F.lit("")), F.nullif(output, F.lit("")), F.lit(""))
+
+
 def unit(flag: Column) -> Column:
     return flag.cast("double")
 

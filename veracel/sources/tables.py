@@ -8,6 +8,7 @@ stakes      orders as monthly stake snapshots
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOMAINS = ("hallucination", "code_security", "reasoning", "bio")
 
@@ -21,6 +22,13 @@ LITERALS = (
 )
 
 
+def values(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small table of literal rows, planned without Python on the executors."""
+    kind = T._parse_datatype_string(schema)
+    made = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
