@@ -133,11 +133,16 @@ def _usual(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
+def _finite(x: np.ndarray) -> np.ndarray:
+    """Features without NaN (0) and beyond a million millions."""
+    return np.clip(np.nan_to_num(x, nan=0.0, posinf=1e12, neginf=-1e12), -1e12, 1e12)
+
+
 class Forest:
     """Isolation trees in flat arrays: feature (-1 for a leaf), cut, places of the two sides, depth of a leaf."""
 
     def __init__(self, data: np.ndarray, trees: int, sample: int, seed: int):
-        rng, n = np.random.default_rng(seed), min(sample, len(data))
+        rng, n, data = np.random.default_rng(seed), min(sample, len(data)), _finite(data)
         limit = math.ceil(math.log2(max(2, n)))
         self.norm, self.trees = _usual(n) or 1.0, []
         for _ in range(trees if len(data) else 0):
@@ -161,7 +166,7 @@ class Forest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean depth / usual depth) of each row, all rows a level at a time."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
+        x, total, rows = _finite(x), np.zeros(len(x)), np.arange(len(x))
         for feature, cut, low, high, depth in self.trees:
             at = np.zeros(len(x), int)
             while (going := feature[at] >= 0).any():
