@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ def sha256_hex(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir)."""
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode, as in tests, one of its own where that is unset."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
