@@ -5,9 +5,12 @@ import json
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import ema, in_order
+
 GENESIS = "0" * 64
 
 # Classes of signatures.
@@ -31,60 +34,135 @@ def record_hash(record: dict) -> str:
 
 
 RECORD = "round_index long, ema_alpha double, scores array<struct<uid:bigint,raw_reward:double,ema_score:double,hotkey:string>>, prev_hash string, hash string, n_scores long"
+ENTRY = "round_index long, ema_alpha double, pos long, n long, body string"
+HEAD = "round_index long, n_scores long, prev_hash string, hash string"
+PIECE_CHARS = 1 << 16
 
 
-def replay(rewards: DataFrame, order: str, alpha: float = 0.1) -> DataFrame:
-    """Round records with EMA scores, sorted by uid and linked by hash. rewards: order, uid, reward.
+def entries(rewards: DataFrame, order: str, alpha: float = 0.1) -> DataFrame:
+    """round_index, ema_alpha, pos, n, body: the scores of each round as canonical JSON, sorted by uid, in pieces.
+
+    rewards: order, uid, reward.  EMA runs per uid; rows are then sorted by round and uid over all tasks, each of
+    which writes its own rows as pieces of about `PIECE_CHARS`.  A reward that is not finite is an error."""
+    return _pieces(_scores(rewards, order, alpha), alpha)
 
-    EMA runs per uid. A record's hash covers the one before it, so linking is one ordered pass, through
-    which records stream a batch at a time; only the hash is carried."""
-    from .history import ema
 
+def _scores(rewards: DataFrame, order: str, alpha: float) -> DataFrame:
     smooth = ema(rewards.select("uid", order, "reward"), order, "reward", "uid", alpha=alpha)
-    score = F.struct("uid", F.col("reward").alias("raw_reward"), F.col("ema").alias("ema_score"), F.concat(F.lit("hk"), F.col("uid").cast("string")).alias("hotkey"))
-    places = rewards.select(order).distinct().select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("round_index"))
-    bodies = smooth.groupBy(order).agg(F.array_sort(F.collect_list(score)).alias("scores"))
-    bodies = bodies.join(F.broadcast(places), order).select(F.col("round_index").cast("long").alias("round_index"), "scores")
+    places = rewards.select(order).distinct().select(order, (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("round_index"))  # a row per round
+    named = smooth.join(places, order)
+    return named.select("round_index", F.col("uid").alias("pos"), "uid", F.col("reward").alias("raw_reward"), F.col("ema").alias("ema_score"), F.concat(F.lit("hk"), F.col("uid").cast("string")).alias("hotkey"))
 
-    def link(batches):
-        prev = GENESIS
+
+def _pieces(scores: DataFrame, alpha: float | None = None) -> DataFrame:
+    """Pieces of the rounds' scores; without alpha it is a column, and a piece with a score that is not finite has no body."""
+    fields = ("uid", "raw_reward", "ema_score", "hotkey")
+
+    def write(batches):
+        at, first, n, body, size = None, 0, 0, [], 0
         for b in batches:
-            rows = []
-            for index, scores in zip(b["round_index"], b["scores"]):
-                record = {"round_index": int(index), "ema_alpha": alpha, "scores": [_plain(s) for s in scores], "prev_hash": prev}
-                digest = record_hash(record)
-                rows.append((record["round_index"], alpha, record["scores"], prev, digest, len(scores)))
-                prev = digest
-            yield pd.DataFrame(rows, columns=["round_index", "ema_alpha", "scores", "prev_hash", "hash", "n_scores"])
+            out = []
+            for r in b.to_pylist():
+                here = (r["round_index"], alpha if alpha is not None else r["ema_alpha"])
+                if n and (here != at or size >= PIECE_CHARS):
+                    out.append((*at, first, n, None if None in body else ",".join(body)))
+                    n, body, size = 0, [], 0
+                if not n:
+                    at, first = here, r["pos"]
+                finite = all(math.isfinite(v) for v in r.values() if isinstance(v, float))
+                text = canonical({k: r[k] for k in fields}) if finite or alpha is not None else None
+                body.append(text)
+                n, size = n + 1, size + len(text or "")
+            yield _batch(out, ENTRY)
+        if n:
+            yield _batch([(*at, first, n, None if None in body else ",".join(body))], ENTRY)
 
-    return bodies.repartition(1).sortWithinPartitions("round_index").mapInPandas(link, RECORD)
+    return scores.repartitionByRange("round_index", "pos").sortWithinPartitions("round_index", "pos").mapInArrow(write, ENTRY)
 
 
-def _plain(score) -> dict:
-    """A score as Python values, whatever Arrow made of it."""
-    return {k: (v.item() if hasattr(v, "item") else v) for k, v in (score if isinstance(score, dict) else score.asDict()).items()}
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=list(names))
 
 
-def verify(log: DataFrame) -> DataFrame:
-    """round_index, ok and why not: each record is hashed where it is, and links are compared with the row before."""
+def _open(index: int, alpha: float, prev: str):
+    """A record's hash up to its scores: keys come in order, so all but the scores stand before them."""
+    return hashlib.sha256(canonical({"ema_alpha": alpha, "prev_hash": prev, "round_index": index})[:-1].encode() + b',"scores":[')
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """round_index, n_scores, prev_hash, hash of rounds linked by hash. rows: entries.
 
-    def digest(batches):
+    A record's hash covers the hash before it ahead of its scores, so by the log's format rounds are hashed one after
+    the other: one ordered pass feeds finished pieces to the hash and holds one of them at a time."""
+
+    def link(batches):
+        prev, at, h, n = GENESIS, None, None, 0
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                scores = [_plain(s) for s in r.scores]
-                bad = any(isinstance(v, float) and not math.isfinite(v) for s in scores for v in s.values())
-                own = "" if bad else record_hash({"round_index": int(r.round_index), "ema_alpha": float(r.ema_alpha), "scores": scores, "prev_hash": r.prev_hash})
-                out.append((int(r.round_index), r.prev_hash, r.hash, own))
-            yield pd.DataFrame(out, columns=["round_index", "prev_hash", "hash", "own"])
-
-    rows = log.select("round_index", "ema_alpha", "scores", "prev_hash", "hash").mapInPandas(digest, "round_index long, prev_hash string, hash string, own string")
+            for index, alpha, count, body in zip(*(b.column(c).to_pylist() for c in ("round_index", "ema_alpha", "n", "body"))):
+                if index != at:
+                    if h is not None:
+                        h.update(b"]}")
+                        out.append((at, n, prev, h.hexdigest()))
+                        prev = h.hexdigest()
+                    at, h, n = index, _open(index, alpha, prev), 0
+                h.update((("," if n else "") + body).encode())
+                n += count
+            yield _batch(out, HEAD)
+        if h is not None:
+            h.update(b"]}")
+            yield _batch([(at, n, prev, h.hexdigest())], HEAD)
+
+    return rows.repartition(1).sortWithinPartitions("round_index", "pos").mapInArrow(link, HEAD)
+
+
+def verified(heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """round_index, ok and why not. Each round is hashed by itself from its pieces and the stored hash before it; then
+    links are compared, one small row per round. heads: round_index, prev_hash, hash; rows: entries."""
+
+    def own(batches):
+        at, h, n, bad = None, None, 0, False
+        for b in batches:
+            out = []
+            for index, alpha, prev, body in zip(*(b.column(c).to_pylist() for c in ("round_index", "ema_alpha", "prev_hash", "body"))):
+                if h is None or index != at:
+                    if h is not None:
+                        h.update(b"]}")
+                        out.append((at, "" if bad else h.hexdigest()))
+                    at, h, n, bad = index, _open(index, alpha, prev), 0, False
+                bad = bad or body is None
+                h.update((("," if n else "") + (body or "")).encode())
+                n += 1
+            yield _batch(out, "round_index long, own string")
+        if h is not None:
+            h.update(b"]}")
+            yield _batch([(at, "" if bad else h.hexdigest())], "round_index long, own string")
+
+    stored = heads.select("round_index", "prev_hash", "hash")
+    pieces = rows.join(stored.select("round_index", "prev_hash"), "round_index").select("round_index", "ema_alpha", "prev_hash", "pos", "body")
+    seen = stored.join(in_order(pieces, ("round_index",), ("pos",), own, "round_index long, own string"), "round_index", "left")
     w = Window.orderBy("round_index")
-    seen = rows.withColumns({"place": F.row_number().over(w) - 1, "before": F.coalesce(F.lag("own").over(w), F.lit(GENESIS))})
-    why = F.when(F.col("round_index") != F.col("place"), "index_gap").when(F.col("own") != F.col("hash"), "hash_mismatch").when(F.col("prev_hash") != F.col("before"), "broken_link")
+    seen = seen.withColumns({"place": F.row_number().over(w) - 1, "before": F.coalesce(F.lag("own").over(w), F.lit(GENESIS))})
+    why = F.when(F.col("round_index") != F.col("place"), "index_gap").when(~F.col("own").eqNullSafe(F.col("hash")), "hash_mismatch").when(F.col("prev_hash") != F.col("before"), "broken_link")
     return seen.select("round_index", why.isNull().alias("ok"), why.alias("reason"))
 
 
+def replay(rewards: DataFrame, order: str, alpha: float = 0.1) -> DataFrame:
+    """Whole round records for a log file, which holds a round in a line, so its scores must fit one row; `entries` and `linked` have no such bound."""
+    scores = _scores(rewards, order, alpha)
+    heads = linked(_pieces(scores, alpha))
+    bodies = scores.groupBy("round_index").agg(F.array_sort(F.collect_list(F.struct("uid", "raw_reward", "ema_score", "hotkey"))).alias("scores"))
+    return heads.join(bodies, "round_index").select("round_index", F.lit(alpha).alias("ema_alpha"), "scores", "prev_hash", "hash", "n_scores")
+
+
+def verify(log: DataFrame) -> DataFrame:
+    """round_index, ok and why not, of whole round records; a record without scores counts as one with a wrong hash."""
+    each = log.select("round_index", "ema_alpha", F.posexplode("scores").alias("pos", "s")).select("round_index", "ema_alpha", F.col("pos").cast("long").alias("pos"), "s.uid", "s.raw_reward", "s.ema_score", "s.hotkey")
+    return verified(log, _pieces(each))
+
+
 def assert_intact(log: DataFrame) -> None:
     bad = verify(log).where("not ok").orderBy("round_index").first()
     if bad:

@@ -1,25 +1,53 @@
 """Rolling history: EMA, trajectories and their monitors, rotation, alert cooldown, health."""
 
+import hashlib
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 
-def ordered(df: DataFrame, order: str, value: str, *keys: str) -> DataFrame:
-    """keys, steps: each key's (order, value) pairs in order. A key's history is bounded by its number of rounds."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v"))))
-    return df.groupBy(*keys).agg(pairs.alias("steps"))
+
+def in_order(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold, schema: str) -> DataFrame:
+    """The rows of each key pass through `fold`, an iterator of Arrow batches, sorted by keys and order.
+
+    Only what fold carries is held, so a key of any size costs one task time but no memory."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)
+
+
+def _keyed(batch: pa.RecordBatch, keys: tuple[str, ...], value: str):
+    return zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column(value).to_pylist())
 
 
 def ema(df: DataFrame, order: str, value: str, *keys: str, alpha: float = 0.1) -> DataFrame:
-    """keys, order, value, ema after each step from 0; NaN counts as 0."""
-    fold = lambda a, x: F.concat(a, F.array(F.struct(x["at"].alias("at"), x["v"].alias("v"), (alpha * F.nanvl(x["v"], F.lit(0.0)) + (1 - alpha) * F.coalesce(F.try_element_at(a, F.lit(-1))["ema"], F.lit(0.0))).alias("ema"))))
-    kinds = dict(df.dtypes)
-    empty = F.array().cast(f"array<struct<at:{kinds[order]},v:double,ema:double>>")
-    rows = ordered(df.withColumn(value, F.col(value).cast("double")), order, value, *keys)
-    return rows.select(*keys, F.explode(F.aggregate("steps", empty, fold)).alias("s")).select(*keys, F.col("s.at").alias(order), F.col("s.v").alias(value), "s.ema")
+    """keys, order, value, ema after each step from 0; null and NaN count as 0."""
+
+    def fold(batches):
+        last, now = None, 0.0
+        for b in batches:
+            out = []
+            for key, v in _keyed(b, keys, value):
+                if key != last:
+                    last, now = key, 0.0
+                now = alpha * (0.0 if v is None or v != v else v) + (1 - alpha) * now
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "ema"])
+
+    rows = df.select(*keys, order, F.col(value).cast("double").alias(value))
+    return in_order(rows, keys, (order, value), fold, ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("ema", "double")]))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with each row's place from 0 by `order` (no ties): ranges of it are numbered by themselves, then shifted by the rows before them."""
+    dealt = materialize(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "numbered")
+    held = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
+    before = held.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    here = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + here).drop("__part", "__before")
 
 
 def last_n(df: DataFrame, n: int, order: str, *keys: str) -> DataFrame:
@@ -73,11 +101,46 @@ def excluded_ids(history: DataFrame, key: str, order: str, item: str, window: in
 
 
 def cooled_alerts(alerts: DataFrame, cooldown: int, *keys: str) -> DataFrame:
-    """Alerts of each key more than `cooldown` steps after the last one let through. alerts: keys, step."""
-    steps = alerts.groupBy(*keys).agg(F.array_sort(F.collect_set("step")).alias("steps"))
-    start = F.array().cast("array<bigint>")
-    fold = lambda a, s: F.when((F.size(a) == 0) | (s - F.try_element_at(a, F.lit(-1)) > cooldown), F.concat(a, F.array(s))).otherwise(a)
-    return steps.select(*keys, F.explode(F.aggregate("steps", start, fold)).alias("step"))
+    """Alerts of each key more than `cooldown` steps after the last one let through; repeats count once. alerts: keys, step."""
+
+    def fold(batches):
+        now, last = None, None
+        for b in batches:
+            passed = []
+            for key, s in _keyed(b, keys, "step"):
+                if key != now:
+                    now, last = key, None
+                passed.append(last is None or s - last > cooldown)
+                last = s if passed[-1] else last
+            yield b.filter(pa.array(passed, pa.bool_()))
+
+    rows = alerts.where(F.col("step").isNotNull()).select(*keys, F.col("step").cast("long").alias("step"))
+    return in_order(rows, keys, ("step",), fold, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+
+
+def digests(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """key, SHA-256 of its lines in order joined by commas, and how many. The hash takes lines as they come; none are gathered."""
+
+    def fold(batches):
+        now, h, n, kind = None, None, 0, None
+        done = []
+        for b in batches:
+            kind = b.schema.field(key).type
+            for k, x in zip(b.column(key).to_pylist(), b.column(line).to_pylist()):
+                if h is None or k != now:
+                    if h is not None:
+                        done.append((now, h.hexdigest(), n))
+                    now, h, n = k, hashlib.sha256(), 0
+                h.update(f",{x}".encode() if n else x.encode())
+                n += 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (kind, pa.string(), pa.int64()))], names=[key, "digest", "n"])
+                done = []
+        if h is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([h.hexdigest()]), pa.array([n], pa.int64())], names=[key, "digest", "n"])
+
+    rows = lines.where(F.col(line).isNotNull()).select(key, line)
+    return in_order(rows, (key,), (line,), fold, f"`{key}` {dict(lines.dtypes)[key]}, digest string, n long")
 
 
 def admitted_calls(calls: DataFrame, limit: int, window: float, key: str) -> DataFrame:

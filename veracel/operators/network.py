@@ -9,9 +9,20 @@ from ..sources.shared import materialize
 
 
 def similar_pairs(scores: DataFrame, least: float = 0.99, shared: int = 3, *keys: str) -> DataFrame:
-    """a < b with the cosine of their scores over shared samples. scores: keys, uid, sid, score."""
-    other = scores.select(*keys, "sid", F.col("uid").alias("b"), F.col("score").alias("y"))
-    met = scores.select(*keys, "sid", F.col("uid").alias("a"), F.col("score").alias("x")).join(other, [*keys, "sid"]).where("a < b")
+    """a < b with the cosine of their scores over shared samples, at least `shared` of them. scores: keys, uid, sid, score.
+
+    Two uids that share so many samples share one that is not among the `shared` - 1 most frequent of either, so
+    pairs are found over those alone: a sample that everyone answered brings no pairs. All their samples count then."""
+    mine = scores.select(*keys, F.col("uid").alias("a"), "sid", F.col("score").alias("x"))
+    other = scores.select(*keys, F.col("uid").alias("b"), "sid", F.col("score").alias("y"))
+    if shared > 1:
+        often = scores.groupBy(*keys, "sid").agg(F.count(F.lit(1)).alias("often"))
+        rank = F.row_number().over(Window.partitionBy(*keys, "uid").orderBy(F.desc("often"), "sid"))
+        rare = scores.select(*keys, "uid", "sid").join(often, [*keys, "sid"]).withColumn("rank", rank).where(F.col("rank") >= shared)
+        mates = rare.select(*keys, "sid", F.col("uid").alias("a")).join(rare.select(*keys, "sid", F.col("uid").alias("b")), [*keys, "sid"]).where("a < b")
+        met = mates.select(*keys, "a", "b").distinct().join(mine, [*keys, "a"]).join(other, [*keys, "b", "sid"])
+    else:
+        met = mine.join(other, [*keys, "sid"]).where("a < b")
     sums = met.groupBy(*keys, "a", "b").agg(
         F.count(F.lit(1)).alias("shared"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy")
     ).where(F.col("shared") >= shared)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars, text
 from ..operators import chain as C
 from ..operators import detect as D
+from ..operators import history as H
+from ..sources.shared import materialize
 from ..sources.tables import domain_of, manifest, read, responses, samples, with_views
 from .metric_queries import _graded
 from .network_queries import _rewards, r6
@@ -158,19 +160,18 @@ def syndromes(spark, sf):
 
 def chain_replay(spark, sf):
     """Audit log of all rounds: hashes linked in order, EMA per uid."""
-    log = C.replay(_rewards(spark, sf), "round")
-    return log.select("round_index", "n_scores", "prev_hash", "hash")
+    return C.linked(C.entries(_rewards(spark, sf), "round"))
 
 
 def chain_verify(spark, sf):
-    log = C.replay(_rewards(spark, sf), "round")
-    return C.verify(log)
+    rows = materialize(C.entries(_rewards(spark, sf), "round"), "entries")
+    return C.verified(C.linked(rows), rows)
 
 
 def log_digests(spark, sf):
     """SHA-256 of the sorted answers of each round, as canonical text."""
-    r = responses(spark, sf).select("round", F.concat_ws(":", F.col("uid").cast("string"), F.col("sid").cast("string"), F.col("event_id").cast("string")).alias("line"))
-    return r.groupBy("round").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    line = F.concat_ws(":", F.col("uid").cast("string"), F.col("sid").cast("string"), F.col("event_id").cast("string"))
+    return H.digests(responses(spark, sf).select("round", line.alias("line")), "round", "line")
 
 
 def adaptive_weights(spark, sf):

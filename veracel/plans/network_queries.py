@@ -245,7 +245,7 @@ def next_ids(spark, sf):
 
 def random_peers(spark, sf):
     """Two other uids for each uid: hashed steps around the ring of all uids, so that no uid meets every other."""
-    ring = responses(spark, sf).select("uid").distinct().withColumn("at", F.row_number().over(Window.orderBy("uid")) - 1)
+    ring = H.numbered(responses(spark, sf).select("uid").distinct(), "uid", "at")
     n = ring.count()
     step = hash_int(F.concat(F.lit("peer:"), F.col("uid").cast("string"))) % max(1, n - 2) + 1
     each = ring.select("uid", F.explode(F.array(F.pmod(F.col("at") + step, F.lit(n)), F.pmod(F.col("at") + step + 1, F.lit(n)))).alias("at"))

@@ -6,6 +6,7 @@ compare the two."""
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +16,21 @@ EMA_OUT = "uid long, round long, reward double, ema double"
 
 
 def ema_stream(rewards: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """EMA of each uid's rewards in order of round; rounds must not come back later. rewards: uid, round, reward."""
+    """EMA of each uid's rewards in order of round; rounds must not come back later. rewards: uid, round, reward.
+
+    A batch holds a row per uid and round, of which two numbers are kept to put them in order."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else 0.0
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("round").itertuples(index=False):
-            reward = 0.0 if r.reward != r.reward else float(r.reward)
-            now = alpha * reward + (1 - alpha) * now
-            rows.append((key[0], int(r.round), float(r.reward), now))
+        parts = [(f["round"].to_numpy(), f["reward"].to_numpy(float)) for f in frames]
+        rounds, rewards = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(rounds, kind="stable")
+        smooth = []
+        for r in np.nan_to_num(rewards[order], nan=0.0, posinf=np.inf, neginf=-np.inf).tolist():
+            now = alpha * r + (1 - alpha) * now
+            smooth.append(now)
         state.update((now,))
-        yield pd.DataFrame(rows, columns=["uid", "round", "reward", "ema"])
+        yield pd.DataFrame({"uid": key[0], "round": rounds[order], "reward": rewards[order], "ema": smooth})
 
     return rewards.groupBy("uid").applyInPandasWithState(step, EMA_OUT, "ema double", "append", GroupStateTimeout.NoTimeout)
 
@@ -34,16 +39,26 @@ HEALTH = "last_response long, responses long, consecutive_failures long, mean_la
 
 
 def health_stream(answers: DataFrame) -> DataFrame:
-    """Each uid's health after a batch. answers: uid, step, ok, latency."""
+    """Each uid's health after a batch. answers: uid, step, ok, latency.
+
+    Frames are folded one by one in whatever order they come: of a batch only the steps of failures after its last
+    success so far are kept."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n, failed, mean = state.get if state.exists else (0, 0, 0, 0.0)
-        for r in pd.concat(list(frames)).sort_values("step").itertuples(index=False):
-            if r.ok:
-                n, failed, last = n + 1, 0, int(r.step)
-                mean += (float(r.latency) - mean) / n
-            else:
-                failed += 1
+        newest, open_steps = None, np.empty(0, np.int64)
+        for f in frames:
+            ok, steps = f["ok"].to_numpy(bool), f["step"].to_numpy(np.int64)
+            if ok.any():
+                newest = int(steps[ok].max()) if newest is None else max(newest, int(steps[ok].max()))
+                n += int(ok.sum())
+                mean += float((f["latency"].to_numpy(float)[ok] - mean).sum()) / n
+            open_steps = np.concatenate([open_steps, steps[~ok]])
+            if newest is not None:
+                open_steps = open_steps[open_steps > newest]
+        if newest is not None:
+            last, failed = newest, 0
+        failed += len(open_steps)
         state.update((last, n, failed, mean))
         yield pd.DataFrame([(key[0], last, n, failed, mean)], columns=["uid", "last_response", "responses", "consecutive_failures", "mean_latency"])
 
@@ -51,11 +66,14 @@ def health_stream(answers: DataFrame) -> DataFrame:
 
 
 def alert_stream(alerts: DataFrame, cooldown: int = 10) -> DataFrame:
-    """Alerts let through: over `cooldown` steps after the key's last one. alerts: kind, uid, step."""
+    """Alerts let through: over `cooldown` steps after the key's last one. alerts: kind, uid, step. Of a batch the different steps are kept."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, rows = (state.get[0] if state.exists else None), []
-        for s in sorted(int(x) for f in frames for x in f["step"]):
+        steps = np.empty(0, np.int64)
+        for f in frames:
+            steps = np.union1d(steps, f["step"].to_numpy(np.int64))
+        for s in steps.tolist():
             if last is None or s - last > cooldown:
                 last = s
                 rows.append((key[0], key[1], s))
