@@ -12,15 +12,21 @@ def similar_pairs(scores: DataFrame, least: float = 0.99, shared: int = 3, *keys
     """a < b with the cosine of their scores over shared samples, at least `shared` of them. scores: keys, uid, sid, score.
 
     Two uids that share so many samples share one that is not among the `shared` - 1 most frequent of either, so
-    pairs are found over those alone: a sample that everyone answered brings no pairs. All their samples count then."""
+    pairs are found over those alone: a sample that everyone answered brings no pairs.  What they share among the
+    few frequent ones of either is then looked up."""
     mine = scores.select(*keys, F.col("uid").alias("a"), "sid", F.col("score").alias("x"))
     other = scores.select(*keys, F.col("uid").alias("b"), "sid", F.col("score").alias("y"))
     if shared > 1:
         often = scores.groupBy(*keys, "sid").agg(F.count(F.lit(1)).alias("often"))
         rank = F.row_number().over(Window.partitionBy(*keys, "uid").orderBy(F.desc("often"), "sid"))
-        rare = scores.select(*keys, "uid", "sid").join(often, [*keys, "sid"]).withColumn("rank", rank).where(F.col("rank") >= shared)
-        mates = rare.select(*keys, "sid", F.col("uid").alias("a")).join(rare.select(*keys, "sid", F.col("uid").alias("b")), [*keys, "sid"]).where("a < b")
-        met = mates.select(*keys, "a", "b").distinct().join(mine, [*keys, "a"]).join(other, [*keys, "b", "sid"])
+        ranked = scores.join(often, [*keys, "sid"]).withColumn("rare", rank >= shared).drop("often")
+        mine, other = (ranked.select(*keys, F.col("uid").alias(u), "sid", F.col("score").alias(v), "rare") for u, v in (("a", "x"), ("b", "y")))
+        rows = [*keys, "a", "b", "x", "y"]
+        met = mine.where("rare").drop("rare").join(other.where("rare").drop("rare"), [*keys, "sid"]).where("a < b").select(rows)
+        pairs = met.select(*keys, "a", "b").distinct()
+        of_a = pairs.join(mine.where("not rare").drop("rare"), [*keys, "a"]).join(other, [*keys, "b", "sid"]).select(rows)
+        of_b = pairs.join(other.where("not rare").drop("rare"), [*keys, "b"]).join(mine.where("rare"), [*keys, "a", "sid"]).select(rows)
+        met = met.unionByName(of_a).unionByName(of_b)
     else:
         met = mine.join(other, [*keys, "sid"]).where("a < b")
     sums = met.groupBy(*keys, "a", "b").agg(
