@@ -33,6 +33,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all cores by key where the scan has fewer tasks than twice the cores (a small file is one task
+    whatever its work); a table of many files or splits is left as it is read, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores, key)
+
+
 def domain_of(doc_id) -> F.Column:
     return F.element_at(F.array(*map(F.lit, DOMAINS)), (doc_id % 4 + 1).cast("int"))
 
@@ -42,7 +49,7 @@ def literals(spark: SparkSession) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.col("doc_id").alias("id"), F.lit("").alias("prompt"), F.coalesce("text", F.lit("")).alias("output"), domain_of(F.col("doc_id")).alias("domain")
     )
     return docs.unionByName(literals(spark))
