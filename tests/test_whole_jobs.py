@@ -12,7 +12,7 @@ from veracel.operators import history as H
 from veracel.operators import network as N
 from veracel.plans import network_queries as NQ
 from veracel.plans.registry import QUERIES
-from veracel.sources.tables import read, responses
+from veracel.sources.tables import read, responses, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,11 @@ def test_folds_on_odd_keys(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {tuple(r) for r in H.digests(lines, "k", "line").collect()} == {(None, sha("a,b"), 2), (2, sha("c"), 1)}
     assert sorted((r.x, r.at) for r in H.numbered(spark.range(0, 5000, 7).withColumnRenamed("id", "x"), "x", "at").collect()) == [(x, i) for i, x in enumerate(range(0, 5000, 7))]
+
+
+def test_spread_keeps_rows(spark):
+    rows = spark.createDataFrame([(None, "x"), (1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
+    few, many = rows.coalesce(1), rows.repartition(64)
+    assert sorted(map(str, spread(few, "doc_id").collect())) == sorted(map(str, rows.collect()))
+    assert spread(few, "doc_id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert spread(many, "doc_id") is many and spread(few.limit(0), "doc_id").count() == 0
