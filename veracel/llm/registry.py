@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, pii, quality, secret_scan, spiece, token_records, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, periodic, pii, prefix_trie, quality, secret_scan, spiece, token_records, url_filter
 from .common import input_table as table
 
 
@@ -46,11 +46,23 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(table(spark, sf_dir, "documents"), edit=periodic.repeat_tail)
+
+
+def op12_byte_bpe(spark, sf_dir):
+    return byte_bpe.coded_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_url_filter, op3_personal_data, op4_exact_dedup, op5_quality, op6_sentencepiece,
-        op7_decontaminate, op8_html_text, op9_token_records, op10_jaccard_join,
+        op7_decontaminate, op8_html_text, op9_token_records, op10_jaccard_join, op11_periodic_runs, op12_byte_bpe, op13_prefix_trie,
     )
 }
 
@@ -96,4 +108,27 @@ SQL = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN pos ON pos.r = dw.r LEFT JOIN its ON its.r = dw.r
     """,
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE tb(i, k, v) AS (
+          SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+          UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::BIGINT, v >> 1) ELSE v >> 1 END FROM tb WHERE k < 8),
+        own AS (
+          SELECT conv_id::BIGINT AS c, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS s
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+        st(c, p, v) AS (
+          SELECT c, 0, 4294967295::BIGINT FROM own
+          UNION ALL SELECT st.c, p + 1, xor(tb.v, st.v >> 8) FROM st JOIN tb ON tb.k = 8 AND tb.i = xor(st.v, ascii(substr(st.c::VARCHAR, p + 1, 1))::BIGINT) & 255 WHERE p < length(st.c::VARCHAR)),
+        h AS (SELECT c, xor(v, 4294967295::BIGINT) % 4 AS h FROM st WHERE p = length(c::VARCHAR)),
+        conv AS (SELECT own.c, list_concat(coalesce(base.s, [])[1 : h], own.s[h + 1 :]) AS s FROM own JOIN h ON h.c = own.c LEFT JOIN own base ON base.c = own.c - own.c % 20),
+        pre AS (SELECT c, s[1 : d] AS k, d, d = len(s) AS e FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM conv)),
+        node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (e), '')) AS ends FROM pre GROUP BY k, d),
+        kid AS (SELECT k[1 : d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+        val AS (SELECT node.k, node.d, kid.n IS NULL AS leaf, CASE WHEN node.d > 0 THEN (node.n - 1) * len(regexp_extract_all(node.k[node.d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+                FROM node LEFT JOIN kid ON kid.d = node.d AND kid.k = node.k),
+        sub AS (SELECT k[1 : a] AS k, a AS d, count(*) FILTER (leaf) AS leaves, sum(w) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM val) GROUP BY ALL)
+        SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, CAST(coalesce(kid.n, 0) AS BIGINT) AS n_children,
+               CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+        FROM node JOIN sub ON sub.d = node.d AND sub.k = node.k LEFT JOIN kid ON kid.d = node.d AND kid.k = node.k
+        LEFT JOIN node up ON up.d = node.d - 1 AND up.k = node.k[1 : node.d - 1]
+    """,
 }
