@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -151,6 +152,40 @@ def test_long_runs_stay_linear():
         pii.base_spans(t), pii.mentions(t, [])
 
 
+def test_long_tokens_beside_marks_stay_linear():
+    """A million characters without a blank beside an @, an [at], digits and colons."""
+    n = 1_000_000
+    for t in ("a@b.cc " + "a" * n, "a" * n + "@", "a" * n + "[at]" + "a" * n, "1" * n + "@x", ":" * n + "@", "(at)" * (n // 4), "a@" * (n // 2), "@a." * (n // 3), "+1(" * (n // 3), "[at]a[dot]" * (n // 10), "a@b.cc;" * 10_000):
+        start = time.perf_counter()
+        pii.mentions(t, pii.base_spans(t))
+        assert time.perf_counter() - start < 10, t[:12]
+
+
+def test_loose_emails_equal_the_plain_pattern():
+    plain, rng = re.compile(r"[\w.+-]+(?:@|\x20?[\[(]at[\])]\x20?)[\w-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[\w-]+)+"), random.Random(6)
+    bits = ["a", "b.c", "@", " [at] ", "(at)", "[at]", "[dot]", " (dot) ", ".", "-", "+", " ", "é", "_", "x"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert list(pii.loose_emails(t)) == [m.span() for m in plain.finditer(t)], t
+
+
+def test_precision_of_contexts_on_a_planted_table(spark):
+    """Identifiers in loose shapes behind four telling contexts, and the same shapes behind words that tell nothing."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    telling = ("call me at", "write to my", "mobile is now", "reached under number")
+    rows, planted = [], set()
+    for i in range(160):
+        lead = telling[i % 4]
+        number = f"+1 (555) 01{i % 10}-{1000 + i}" if i % 3 else f"555-0{i % 90 + 10}-{1000 + i}"
+        rows.append((i, f"{word()} {lead} {number} {word()}"))
+        if not i % 3:
+            planted.add(i)
+    rows += [(1000 + i, f"{word()} {word()} {word()} 555-2{i % 90 + 10}-{3000 + i} {word()}") for i in range(200)]
+    found = {r.doc_id for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("n_found > 0").collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found - planted) <= 0.05 * len(found)
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     seeds = [(i, f"please reach {w} desk at user{i}@mail{i}.example.com thanks {w}") for i, w in enumerate("ab cd ef gh ij kl mn op qr st uv wx".split())]
     seeds = [(i, t.replace(t.split()[2] + " desk at", "my desk at")) for i, t in seeds]

@@ -278,6 +278,30 @@ def test_labelled_pages(spark):
     print(f"labelled pages: recall {right / wanted:.2f}, precision {right / said:.2f}")
 
 
+LONGER = "words of the text that say a good deal about rivers and stones."
+#: Names that parts of articles have too, and what stays of the page.
+NAMES = {
+    '<article><h2 id="search-algorithms">Search algorithms</h2><p>{x}</article>': ["Search algorithms", "{x}"],
+    '<article><h2 id="related-work">Related work</h2><p>{x}</article>': ["Related work", "{x}"],
+    '<article><p>{x}<section id="discussion"><h2>Discussion</h2><p>{x}</section></article>': ["{x}", "Discussion", "{x}"],
+    '<article><p>{x}<div class="side-by-side">Left and right</div></article>': ["{x}", "Left and right"],
+    '<article><p>{x}<div class="elementor-widget-text">Some</div></article>': ["{x}", "Some"],
+    '<article><p>{x}<div class="wp-block-widget">Some</div></article>': ["{x}", "Some"],
+    '<main><p class="legal">All of this is law.</main>': ["All of this is law."],
+    '<article><p>{x}<div class="related"><a href=1>One more</a> <a href=2>Another</a></div><section class="comments"><p>{x}</section></article>': ["{x}"],
+    '<article><h1>Head</h1><p>{x}<aside>Side</aside><div class="search-box"><a href=1>Find</a></div><p>{x}</article>': ["Head", "{x}", "{x}"],
+    '<main><div class="toolbar"><a href=1>Print</a></div><h1>Head</h1><div class="legal-text"><p>{x}<p>{x}</div></main>': ["Head", "{x}", "{x}"],
+    '<div class="skip"><a href=1>Skip</a></div><div class="post"><h1>Head</h1><p>{x}<p>{x}</div><div class="footer">{x}</div>': ["Head", "{x}", "{x}"],
+    '<article class="comments-open"><div class="recommended-reading"><p>{x}</div></article>': ["{x}"],
+}
+
+
+@pytest.mark.parametrize("page", NAMES)
+def test_names_alone_drop_no_part_of_an_article(page):
+    got = html_text.extract(f"<html><body><nav>Home</nav>{page.format(x=LONGER)}<footer>Foot</footer></body></html>", None)
+    assert got == "\n\n".join(NAMES[page]).format(x=LONGER)
+
+
 def test_broken_pages_do_not_crash():
     for page in ("<", "<a", "<!--", "<script>x", "<p", "a < b > c", "</div></div>", '<a href="x', "<" * 1000, "<div" * 1000 + ">", "&#99999999; &bogus;", "<textarea>", "<![CDATA[x]]>"):
         html_text.extract(page, "body")

@@ -11,8 +11,10 @@ beside it (headings, introductions), and until it holds nearly all running text;
 main heading before it comes along, with what stands between.
 
 Elements that do not belong to an article (by tag, by words in class, id or role, or
-hidden) are left out, whatever element it is, but never the one that holds the page's
-running text: where next to nothing stands outside them, the largest one stays.
+hidden) are left out, whatever element it is.  Names of headings are not read, and words
+that name parts of articles too (related, discussion, widget) count only where the element
+holds links for the most part or next to no text.  Never left out is the one that
+holds the page's running text: where next to nothing stands outside them, the largest one stays.
 
 Null and empty pages give the empty text.  Pages with a null url vote under the
 empty host.  Ties go to the longer, then the first path.  Repeated rows each get
@@ -46,11 +48,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ENDED_BY = {"p": BLOCKS | CONTAINERS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 AD_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo"}
 NOISE_WORDS = AD_WORDS | {
-    "nav", "navbar", "navigation", "menu", "sidebar", "side", "footer", "masthead", "topbar", "promotion", "banner", "cookie", "cookies",
-    "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social",
-    "comment", "comments", "respond", "discussion", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget",
-    "toolbar", "skip", "legal", "disclaimer", "gdpr", "contentinfo", "complementary", "alert",
+    "nav", "navbar", "navigation", "menu", "sidebar", "footer", "masthead", "topbar", "promotion", "banner", "cookie", "cookies",
+    "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social",
+    "comment", "comments", "respond", "breadcrumb", "breadcrumbs", "pagination", "pager", "gdpr", "contentinfo", "complementary",
 }
+# Words that name parts of articles too: they count only beside a second sign.
+WEAK_WORDS = {"side", "search", "discussion", "related", "recommended", "widget", "toolbar", "skip", "legal", "disclaimer", "alert"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SHORT = 40  # characters of running text of an element that a weak word names as a whole
 NEARLY = 0.9  # of a page's running text, held by its article
 PASSAGE = 100  # characters of running text that may be an article
 WORD = re.compile(r"[a-z]+")
@@ -77,18 +82,34 @@ def _attributes(rest: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if TELLING.search(rest) else {}
 
 
-def _marked(tag: str, given: dict[str, str], in_article: bool) -> bool:
-    """Whether tag and attributes say that an element is not of the article, or unseen."""
+SURE, MAYBE, NAMED = 3, 2, 1  # a mark of its own; a weak word in a longer name; a weak word as the whole name
+
+
+def _mark(tag: str, given: dict[str, str], in_article: bool) -> int:
+    """What tag and attributes say of an element: 0, or how sure it is that it is not of the article, or unseen.
+
+    Names of headings are made from their words and never read, but for adverts."""
     if tag in CHROME or (tag == "header" and not in_article) or "hidden" in given or UNSEEN.search(given.get("style", "")):
-        return True
-    said = {w for k in ("class", "id", "role") for w in WORD.findall(given.get(k, "").lower())}
-    return not said.isdisjoint(NOISE_WORDS if tag in CONTAINERS or tag in BLOCKS else AD_WORDS) or "hidden" in given.get("class", "").lower().split()
+        return SURE
+    names = [n for k in ("class", "id", "role") for n in given.get(k, "").lower().split()]
+    said = set(names) if tag in ("html", "body", "main", "article") else {w for n in names for w in WORD.findall(n)}
+    plain = tag not in HEADINGS and (tag in CONTAINERS or tag in BLOCKS)
+    if not said.isdisjoint(NOISE_WORDS if plain else AD_WORDS) or "hidden" in given.get("class", "").lower().split():
+        return SURE
+    if not plain or said.isdisjoint(WEAK_WORDS):
+        return 0
+    return NAMED if not WEAK_WORDS.isdisjoint(names) else MAYBE
+
+
+def _confirmed(mark: int, mass: int, linked: int) -> bool:
+    """Whether a second sign stands beside a weak word: most of the text is links, or there is next to none."""
+    return mark == SURE or linked >= max(mass, 1) or (mark == NAMED and mass < SHORT)
 
 
-def _noise(kept: int, total: int, in_article: bool, mass: list[int], tags: list[str]) -> set[int]:
-    """Which marked elements are noise: all, unless next to nothing of the page's running text stands outside them and
+def _noise(kept: int, total: int, in_article: bool, mass: list[int], tags: list[str], noise: set[int]) -> set[int]:
+    """Which of the elements whose marks hold are noise: all, unless next to nothing of the page's running text stands outside them and
     no article or main element holds any; then marks go from the largest element, for as long as it holds most of the text."""
-    noise = set(range(len(mass)))
+    noise = set(noise)
     may = sorted((i for i in noise if tags[i] not in CHROME - {"form", "fieldset"}), key=lambda i: -mass[i])
     while may and not in_article and kept < (1 - NEARLY) * total and mass[may[0]] >= max(total / 2, PASSAGE):
         noise.discard(may.pop(0))
@@ -98,7 +119,7 @@ def _noise(kept: int, total: int, in_article: bool, mass: list[int], tags: list[
 def blocks(page: str) -> list[Block]:
     """Blocks of a page outside noise, in page order."""
     stack = [_Open("", "", (), True)]
-    tags, mass = [], []  # of marked elements: tag, running text
+    tags, mass, linked, sure = [], [], [], []  # of marked elements: tag, running text, text in links, how sure the mark is
     nested: list[int] = []  # of the marked elements open that are no containers: elements of their own tag inside
     done, pieces = [], []
     in_link, pos, low, block = False, 0, None, ""
@@ -113,10 +134,10 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append((stack[-1].marks, text, in_link))
-            if not in_link:
-                n = len(text) - text.count(" ") if text.isspace() else len(text)
-                for i in stack[-1].marks:
-                    mass[i] += n
+            n = len(text) - text.count(" ") if text.isspace() else len(text)
+            to = linked if in_link else mass
+            for i in stack[-1].marks:
+                to[i] += n
 
     def leave(k: int):
         """Close the elements above place k of the stack."""
@@ -196,7 +217,7 @@ def blocks(page: str) -> list[Block]:
             if not up.container and (k := own_marked(lambda t: t == tag)):
                 nested[len(nested) - (len(stack) - k)] += 1
             continue
-        marked = _marked(tag, given, ">article" in up.path)
+        marked = _mark(tag, given, ">article" in up.path)
         if tag in CONTAINERS:
             name = ".".join([tag, *sorted({DIGITS.sub("#", w) for w in given.get("class", "").lower().split()})])
             path = f"{up.path}>{name}" if up.path else name
@@ -210,20 +231,29 @@ def blocks(page: str) -> list[Block]:
         marks = up.marks
         if marked:
             marks = (*marks, len(mass))
-            tags.append(tag), mass.append(0)
+            tags.append(tag), mass.append(0), linked.append(0), sure.append(marked)
         stack.append(_Open(tag, path, marks, tag in CONTAINERS))
     flush()
 
-    kept = total = 0
-    in_article = False
-    for path, _, said in done:
-        for marks, text, link in said:
-            n = 0 if link or text.isspace() else len(text)
-            total += n
-            if not marks:
-                kept += n
-                in_article = in_article or (n and (">article" in path or ">main" in path))
-    noise = _noise(kept, total, bool(in_article), mass, tags)
+    def standing(holds: set[int]) -> tuple[int, int, bool]:
+        """Running text outside the marks that hold, all running text, and whether an article or main element has some of the former."""
+        kept = total = 0
+        in_article = False
+        for path, _, said in done:
+            for marks, text, link in said:
+                n = 0 if link or text.isspace() else len(text)
+                total += n
+                if n and holds.isdisjoint(marks):
+                    kept += n
+                    in_article = in_article or ">article" in path or ">main" in path
+        return kept, total, in_article
+
+    holds = {i for i in range(len(mass)) if _confirmed(sure[i], mass[i], linked[i])}
+    kept, total, in_article = standing(holds)
+    if not kept and any(sure[i] != SURE for i in holds):  # weak words do not empty a page
+        holds = {i for i in holds if sure[i] == SURE}
+        kept, total, in_article = standing(holds)
+    noise = _noise(kept, total, in_article, mass, tags, holds)
     out = []
     for path, tag, said in done:
         own = [(text, link) for marks, text, link in said if not marks or noise.isdisjoint(marks)]

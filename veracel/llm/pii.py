@@ -10,7 +10,7 @@ not kill it; an instance's is the noisy-or of its best pattern on each side.  In
 so they induce further patterns.  Candidate mentions of instances known at the
 end become spans beside the base ones.
 
-Null and empty texts have no spans.  Repeated rows each get their own row, and
+Very long texts are read whole, in time in proportion to their length.  Null and empty texts have no spans.  Repeated rows each get their own row, and
 one instance counts once for a pattern however often it is repeated.  Only doc_id
 and text are read, so other columns cannot clash.
 """
@@ -37,13 +37,16 @@ DIGIT = re.compile(r"[0-9]")
 
 # Looser shapes of identifiers that only a good pattern makes believable.
 LOOSE = (
-    ("email", re.compile(r"[\w.+-]+(?:@|\x20?[\[(]at[\])]\x20?)[\w-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[\w-]+)+")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("phone", re.compile(r"(?<![\w+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?!\w)")),
     ("card", re.compile(r"(?<![\w-])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![\w-])")),
 )
+LOOSE_AT = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
+LOOSE_LOCAL = re.compile(r"[\w.+-]*+")  # from its end backwards
+LOOSE_DOMAIN = re.compile(r"[\w-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[\w-]++)+")
 OTHER = re.compile(r"(?<!\S)\S*[0-9]\S*")
 
+WORD_CHARS, NEAR = 256, 1280
 MIN_SEEDS = 5  # distinct known instances before a pattern counts
 MIN_PATTERN = 0.5  # confidence of patterns that count
 MIN_CONFIDENCE = 0.8  # of instances to become known
@@ -93,24 +96,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (ORDER[s[2]], s[0], s[1]))
 
 
+def loose_emails(text: str):
+    """Leftmost non-overlapping matches of local part, @ or [at], and parts of a domain between dots or [dot], found from each
+    @ or [at] outwards so that long runs cost no more than their length."""
+    end = last = 0  # a local part begins after the match or the @ before it
+    at = LOOSE_AT.search(text)
+    while at:
+        start = at.start() - LOOSE_LOCAL.match(text[last : at.start()][::-1]).end()
+        m = LOOSE_DOMAIN.match(text, at.end()) if start < at.start() else None
+        end = m.end() if m else end
+        if m:
+            yield start, end
+        last = max(end, at.end())
+        at = LOOSE_AT.search(text, last)
+
+
 def _context(text: str, lo: int, hi: int) -> tuple[str, str]:
-    """The two words before and the two after, of any length."""
-    clean = lambda ws: " ".join("0" if DIGIT.search(w) else w for w in ws)
+    """The two words before and the two after.  Of words longer than WORD_CHARS the nearest characters stand for the word, and
+    words further off than NEAR characters are not looked for, so that a text without blanks costs no more than its length."""
+    clean = lambda ws, cut: " ".join("0" if DIGIT.search(w) else w[cut] for w in ws)
     near = 80
     while True:
         part = text[max(0, lo - near) : lo]
         before = part.lower().split()
-        if near >= lo or len(before) > 2 or (len(before) == 2 and part[0].isspace()):
+        if near >= min(lo, NEAR) or len(before) > 2 or (len(before) == 2 and part[0].isspace()):
             break
         near *= 4
     near = 80
     while True:
         part = text[hi : hi + near]
         after = part.lower().split()
-        if hi + near >= len(text) or len(after) > 2 or (len(after) == 2 and part[-1].isspace()):
+        if near >= min(len(text) - hi, NEAR) or len(after) > 2 or (len(after) == 2 and part[-1].isspace()):
             break
         near *= 4
-    return clean(before[-2:]), clean(after[:2])
+    return clean(before[-2:], slice(-WORD_CHARS, None)), clean(after[:2], slice(WORD_CHARS))
 
 
 def mentions(text: str, base) -> list[dict]:
@@ -124,10 +143,9 @@ def mentions(text: str, base) -> list[dict]:
 
     if not (DIGIT.search(text) or "@" in text or "at]" in text or "at)" in text):
         return []
-    for kind, shape in LOOSE:
-        if kind == "email" and "@" not in text and "at]" not in text and "at)" not in text:
-            continue
-        new = [(m.start(), m.end()) for m in shape.finditer(text)]
+    shapes = [("email", loose_emails), *((kind, shape.finditer) for kind, shape in LOOSE)]
+    for kind, find in shapes:
+        new = [m if kind == "email" else m.span() for m in find(text)]
         for a, b in new:
             if free(a, b):
                 found.append((a, b, kind, False))
