@@ -91,14 +91,14 @@ def _open(index: int, alpha: float, prev: str):
     return hashlib.sha256(canonical({"ema_alpha": alpha, "prev_hash": prev, "round_index": index})[:-1].encode() + b',"scores":[')
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """round_index, n_scores, prev_hash, hash of rounds linked by hash. rows: entries.
+def linked(rows: DataFrame, prev_hash: str = GENESIS) -> DataFrame:
+    """round_index, n_scores, prev_hash, hash of rounds linked by hash, the first one to prev_hash. rows: entries.
 
     A record's hash covers the hash before it ahead of its scores, so by the log's format rounds are hashed one after
     the other: one ordered pass feeds finished pieces to the hash and holds one of them at a time."""
 
     def link(batches):
-        prev, at, h, n = GENESIS, None, None, 0
+        prev, at, h, n = prev_hash, None, None, 0
         for b in batches:
             out = []
             for index, alpha, count, body in zip(*(b.column(c).to_pylist() for c in ("round_index", "ema_alpha", "n", "body"))):
@@ -118,8 +118,8 @@ def linked(rows: DataFrame) -> DataFrame:
     return rows.repartition(1).sortWithinPartitions("round_index", "pos").mapInArrow(link, HEAD)
 
 
-def verified(heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """round_index, ok and why not. Each round is hashed by itself from its pieces and the stored hash before it; then
+def verified(heads: DataFrame, rows: DataFrame, first: int = 0, prev_hash: str = GENESIS) -> DataFrame:
+    """round_index, ok and why not, of rounds from `first` on that go on from prev_hash. Each round is hashed by itself from its pieces and the stored hash before it; then
     links are compared, one small row per round. heads: round_index, prev_hash, hash; rows: entries."""
 
     def own(batches):
@@ -144,7 +144,7 @@ def verified(heads: DataFrame, rows: DataFrame) -> DataFrame:
     pieces = rows.join(stored.select("round_index", "prev_hash"), "round_index").select("round_index", "ema_alpha", "prev_hash", "pos", "body")
     seen = stored.join(in_order(pieces, ("round_index",), ("pos",), own, "round_index long, own string"), "round_index", "left")
     w = Window.orderBy("round_index")
-    seen = seen.withColumns({"place": F.row_number().over(w) - 1, "before": F.coalesce(F.lag("own").over(w), F.lit(GENESIS))})
+    seen = seen.withColumns({"place": F.row_number().over(w) - 1 + first, "before": F.coalesce(F.lag("own").over(w), F.lit(prev_hash))})
     why = F.when(F.col("round_index") != F.col("place"), "index_gap").when(~F.col("own").eqNullSafe(F.col("hash")), "hash_mismatch").when(F.col("prev_hash") != F.col("before"), "broken_link")
     return seen.select("round_index", why.isNull().alias("ok"), why.alias("reason"))
 
@@ -157,10 +157,10 @@ def replay(rewards: DataFrame, order: str, alpha: float = 0.1) -> DataFrame:
     return heads.join(bodies, "round_index").select("round_index", F.lit(alpha).alias("ema_alpha"), "scores", "prev_hash", "hash", "n_scores")
 
 
-def verify(log: DataFrame) -> DataFrame:
+def verify(log: DataFrame, first: int = 0, prev_hash: str = GENESIS) -> DataFrame:
     """round_index, ok and why not, of whole round records; a record without scores counts as one with a wrong hash."""
     each = log.select("round_index", "ema_alpha", F.posexplode("scores").alias("pos", "s")).select("round_index", "ema_alpha", F.col("pos").cast("long").alias("pos"), "s.uid", "s.raw_reward", "s.ema_score", "s.hotkey")
-    return verified(log, _pieces(each))
+    return verified(log, _pieces(each), first, prev_hash)
 
 
 def assert_intact(log: DataFrame) -> None:

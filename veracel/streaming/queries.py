@@ -5,9 +5,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import materialize, shared_dir
 from ..sources.tables import read, responses, with_views
-from .state import alert_stream, ema_stream, health_stream, windowed_events
+from . import feedback, linked_log
+from .state import alert_stream, ema_stream, health_stream, session_stream, windowed_events
 
 
 SLICES = 4
@@ -68,11 +69,64 @@ def stream_windows(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ema, stream_health, stream_alerts, stream_windows)}
+def stream_sessions(spark, sf):
+    """Each user's sessions that the watermark has closed when the stream ends."""
+    e = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    s = streamed(e, session_stream, "ts")
+    return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "n", F.round("total", 2).alias("total"))
+
+
+def graded_rows(spark, sf) -> DataFrame:
+    """Graded answers as feedback: uid, hotkey (a new one every third round), step, score, x, outcome."""
+    from ..plans.metric_queries import _graded
+
+    g = _graded(spark, sf).where("valid")
+    hotkey = F.concat_ws("-", F.lit("hk"), F.col("uid").cast("string"), F.floor(F.col("round") / 3).cast("string"))
+    x = F.array("score", "confidence", 1 - F.col("score"))
+    return g.select("uid", hotkey.alias("hotkey"), F.col("event_id").alias("step"), "score", x.alias("x"), F.when(F.col("flagged") == F.col("actual"), 1.0).otherwise(-1.0).alias("outcome"))
+
+
+def _feedback(df: DataFrame) -> DataFrame:
+    return df.select("uid", "hotkey", "step", "n", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("ema", "recent", "w0", "w1", "w2")])
+
+
+def stream_feedback(spark, sf):
+    """Smoothed score, mean of the last 50 and adaptive weights of each (uid, hotkey) after every graded answer, as state of a stream."""
+    with feedback.with_provider(spark):
+        return _feedback(streamed(materialize(graded_rows(spark, sf), "graded"), feedback.feedback_stream, "step"))
+
+
+def feedback_states(spark, sf):
+    """The same from the table."""
+    return _feedback(feedback.batch_feedback(graded_rows(spark, sf)))
+
+
+def appended_log(spark, sf):
+    """The audit log of all rounds, appended from a stream in slices of rounds, and whether every record links."""
+    from ..operators import chain
+
+    scores = materialize(chain._scores(_rewards(spark, sf), "round", 0.1), "scores").select("round_index", "uid", "raw_reward", "ema_score", "hotkey")
+    base = f"{shared_dir(spark)}/logs/{uuid.uuid4().hex}"
+    log = linked_log.LinkedLog(spark, f"{base}/log")
+    last = scores.agg(F.max("round_index")).first()[0]
+    for k in range(SLICES):
+        low, high = (last + 1) * k // SLICES, (last + 1) * (k + 1) // SLICES
+        scores.where(F.col("round_index").between(low, high - 1)).write.mode("append").parquet(f"{base}/in")
+        linked_log.append_scores(spark.readStream.schema(scores.schema).parquet(f"{base}/in"), log, f"{base}/state").awaitTermination()
+    rows = log.read(chain.RECORD)
+    return rows.select("round_index", "n_scores", "prev_hash", "hash").join(log.verify(chain.RECORD), "round_index").select("round_index", "n_scores", "prev_hash", "hash", "ok")
+
+
+QUERIES = {f.__name__: f for f in (stream_ema, stream_health, stream_alerts, stream_windows, stream_sessions, stream_feedback, feedback_states, appended_log)}
 
 from ..plans.network_queries import SQL as _NET  # noqa: E402
 
 SQL = {
+    "stream_sessions": """
+        WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n, round(sum(value), 2) AS total
+        FROM s, l GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= min(wm)""",
     "stream_ema": _NET["ema_scores"],
     "stream_alerts": _NET["alert_cooldown"],
     "stream_health": with_views("""

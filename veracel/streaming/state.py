@@ -88,3 +88,15 @@ def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     """Counts and sums per event-time window and type; rows later than the watermark are dropped."""
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user, closed once the watermark is past their end; events later than the watermark are dropped and
+    counted (late_rows). events: user_id, ts, value."""
+    w = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("ts").alias("last"))
+
+
+def late_rows(query) -> int:
+    """Rows that a query's state operators dropped as too late, over its batches so far."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
