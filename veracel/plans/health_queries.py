@@ -19,7 +19,7 @@ INACTIVE, DEREGISTER, STALE = 10, 50, 5
 def caller_gate(spark, sf):
     """Each caller's admission and priority: unknown ones and those without stake are rejected, else the stake is the priority."""
     calls = read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"))
-    known = stakes(spark, sf).where("step % 2 = 0").groupBy("uid").agg(F.round(F.sum("stake"), 2).alias("stake"))
+    known = stakes(spark, sf).groupBy("uid").agg(F.round(F.sum("stake"), 2).alias("stake"))
     met = calls.join(known, calls.user_id == known.uid, "left")
     status = F.when(F.col("user_id").isNull(), "missing_caller").when(F.col("uid").isNull(), "unrecognized").when(F.col("stake") <= 0, "insufficient_stake").otherwise("recognized")
     return met.select("user_id", "calls", status.alias("status"), (status != "recognized").alias("rejected"), F.coalesce("stake", F.lit(0.0)).alias("priority"))
@@ -123,7 +123,7 @@ _STALE = """x AS (SELECT uid, event_id, score AS v, lag(score) OVER w AS a, lag(
 
 SQL = {
     "caller_gate": with_views("""
-        WITH c AS (SELECT user_id, count(*) AS calls FROM events GROUP BY user_id), k AS (SELECT uid, round(sum(stake), 2) AS stake FROM stakes WHERE step % 2 = 0 GROUP BY uid),
+        WITH c AS (SELECT user_id, count(*) AS calls FROM events GROUP BY user_id), k AS (SELECT uid, round(sum(stake), 2) AS stake FROM stakes GROUP BY uid),
         s AS (SELECT user_id, calls, CASE WHEN user_id IS NULL THEN 'missing_caller' WHEN uid IS NULL THEN 'unrecognized' WHEN stake <= 0 THEN 'insufficient_stake' ELSE 'recognized' END AS status, coalesce(stake, 0.0) AS priority FROM c LEFT JOIN k ON uid = user_id)
         SELECT user_id, calls, status, status <> 'recognized' AS rejected, priority FROM s""", "stakes"),
     "rotation_ema": _g(f"""WITH RECURSIVE {_rw('round', 'uid')}, h AS (SELECT uid, round, arg_min(event_type, event_id) AS hotkey FROM responses JOIN events USING (event_id) GROUP BY uid, round),

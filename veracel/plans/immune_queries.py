@@ -103,7 +103,7 @@ def pack_features(s: DataFrame, domain: str) -> DataFrame:
 
 def pack_scores(spark, sf):
     """Every sample scored by its domain's pack: an isolation forest over the domain's features, fitted on its normal labelled samples."""
-    s, parts = samples(spark, sf), []
+    s, parts = materialize(samples(spark, sf), "samples"), []
     for domain in DOMAINS:
         f = materialize(pack_features(s, domain), f"pack-{domain}")
         parts.append(_ranked(f, PACKS[domain], spark, sf).withColumn("domain", F.lit(domain)))

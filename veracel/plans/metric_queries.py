@@ -122,6 +122,17 @@ def kl_of_rounds(spark, sf):
     return r6(M.kl_divergence(r.where("round = 0"), r.where("round = 1"), "score"), "kl")
 
 
+def kl_by_round(spark, sf):
+    """Divergence of each round's scores from those of the round before it."""
+    r = responses(spark, sf).where("score between 0 and 1")
+    counts = r.groupBy("round", F.least(F.floor(F.col("score") * 20), F.lit(19)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    rounds = counts.groupBy("round").agg(F.sum("n").alias("all")).withColumn("before", F.lag("round").over(Window.orderBy("round")))  # a row a round
+    bins = rounds.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    p = bins.join(counts, ["round", "bin"], "left").select("round", "before", "bin", (F.coalesce("n", F.lit(0)) / F.col("all") + 1e-10).alias("p"))
+    q = p.select(F.col("round").alias("before"), "bin", F.col("p").alias("q"))
+    return p.join(q, ["before", "bin"]).groupBy("round").agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))), 6).alias("kl"))
+
+
 def multiband_grid(spark, sf):
     """Reward plus 0.05 coverage of every (low, high, confidence) on a grid; review counts as flagged.
 
@@ -162,10 +173,18 @@ def ensemble_combinations(spark, sf):
     """Mean score of every combination of event types as scorers per (sid, round), graded."""
     g = _graded(spark, sf).where("valid")
     kinds = g.join(read(spark, sf, "events").select("event_id", "event_type"), "event_id")
-    masks = spark.range(1, 16).select(F.col("id").alias("combo"))
-    bit = F.element_at(F.create_map(F.lit("signup"), F.lit(1), F.lit("click"), F.lit(2), F.lit("view"), F.lit(4), F.lit("purchase"), F.lit(8)), F.col("event_type"))
-    means = kinds.crossJoin(F.broadcast(masks)).where(F.col("combo").bitwiseAND(bit.cast("long")) != 0).groupBy("combo", "sid", "actual").agg(F.avg("score").alias("s"))
-    out = M.rates(means.groupBy("combo").agg(*M.confusion(F.round("s", 9) >= 0.5, F.col("actual"))))
+    names = ("signup", "click", "view", "purchase")
+    per = kinds.groupBy("sid", "actual").agg(
+        *[F.sum(F.when(F.col("event_type") == k, F.col("score"))).alias(f"s{i}") for i, k in enumerate(names)], *[F.count_if(F.col("event_type") == k).alias(f"n{i}") for i, k in enumerate(names)]
+    )
+    made = []
+    for combo in range(1, 16):  # each combination is four counts of one pass over the samples
+        of = [i for i in range(4) if combo >> i & 1]
+        n = sum((F.col(f"n{i}") for i in of), F.lit(0))
+        flagged = F.round(sum((F.coalesce(f"s{i}", F.lit(0.0)) for i in of), F.lit(0.0)) / F.nullif(n, F.lit(0)), 9) >= 0.5
+        made += [F.count_if(c).alias(f"{k}{combo}") for k, c in zip(("tp", "fp", "fn", "tn"), (flagged & F.col("actual"), flagged & ~F.col("actual"), ~flagged & F.col("actual"), ~flagged & ~F.col("actual")))]
+    each = [F.struct(F.lit(combo).cast("long").alias("combo"), *[F.col(f"{k}{combo}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for combo in range(1, 16)]
+    out = M.rates(per.agg(*made).select(F.inline(F.array(*each))).where("tp + fp + fn + tn > 0"))
     return out.select("combo", "tp", "fp", "fn", "tn", F.round("f1", 6).alias("f1"))
 
 
@@ -201,7 +220,7 @@ def mean_median_aggregation(spark, sf):
 QUERIES = {f.__name__: f for f in (
     validate_responses, policy_decisions, request_gate, partition_honeypots, score_payload, confusion_by_domain, round_rewards, top_uids_by_reward,
     calibration_by_uid, stability_by_uid, hardened_rewards, composite_rewards, score_quality, reliability_bins, best_thresholds, global_threshold,
-    kl_of_rounds, multiband_grid, policy_overlays, score_surfaces, ensemble_combinations, reward_spread, flip_counts, quality_gates, mean_median_aggregation,
+    kl_of_rounds, kl_by_round, multiband_grid, policy_overlays, score_surfaces, ensemble_combinations, reward_spread, flip_counts, quality_gates, mean_median_aggregation,
 )}
 
 _G = """g AS (SELECT r.*, m.truth = 'anomalous' AS actual, m.is_honeypot, score IS NOT NULL AND score BETWEEN 0 AND 1 AS valid,
@@ -281,6 +300,11 @@ SQL = {
     "reliability_bins": _g("SELECT CAST(least(floor(score * 5), 4) AS BIGINT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(actual::INT::DOUBLE), 6) AS share FROM g WHERE valid GROUP BY 1"),
     "best_thresholds": _search("domain"),
     "global_threshold": _search("'all'"),
+    "kl_by_round": with_views("""
+        WITH r AS (SELECT round, CAST(least(floor(score * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM responses WHERE score BETWEEN 0 AND 1 GROUP BY ALL),
+        a AS (SELECT round, sum(n) AS every, lag(round) OVER (ORDER BY round) AS before FROM r GROUP BY round),
+        p AS (SELECT a.round, before, i AS bin, coalesce(n, 0) / every + 1e-10 AS p FROM a CROSS JOIN range(20) t(i) LEFT JOIN r ON r.round = a.round AND r.bin = i)
+        SELECT p.round, round(sum(p.p * ln(p.p / q.p)), 6) AS kl FROM p JOIN p q ON q.round = p.before AND q.bin = p.bin GROUP BY p.round""", "responses"),
     "kl_of_rounds": with_views("""
         WITH h AS (SELECT i AS bin, count(*) FILTER (round = 0) AS a, count(*) FILTER (round = 1) AS b FROM range(20) t(i) LEFT JOIN responses ON score IS NOT NULL AND least(floor(score * 20), 19) = i GROUP BY i),
         p AS (SELECT a / sum(a) OVER () + 1e-10 AS p, b / sum(b) OVER () + 1e-10 AS q FROM h) SELECT round(sum(p * ln(p / q)), 6) AS kl FROM p""", "responses"),

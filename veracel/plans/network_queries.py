@@ -148,6 +148,12 @@ def replica_divergence(spark, sf):
     return r6(H.replica_divergence(t, other, "day", "score", "uid"), "gap")
 
 
+def replica_gaps(spark, sf):
+    """Uids whose daily means of two columns, the score and the confidence, come apart: two replicas over the same rows."""
+    r = _scores(spark, sf).groupBy("uid", "day").agg(F.round(F.avg("score"), 6).alias("score"), F.round(F.avg("confidence"), 6).alias("other"))
+    return r6(H.replica_divergence(r.select("uid", "day", "score"), r.select("uid", "day", F.col("other").alias("score")), "day", "score", "uid"), "gap")
+
+
 def convergence_counts(spark, sf):
     o = oscillation_events(spark, sf).select(F.lit("oscillation").alias("event"))
     m = metastable_events(spark, sf).select(F.lit("metastability").alias("event"))
@@ -210,9 +216,10 @@ def round_samples(spark, sf):
     """Per round 16 regular samples and 4 honeypots in hash order."""
     rounds = responses(spark, sf).select("round").distinct()
     key = F.sha2(F.concat_ws(":", F.col("sid").cast("string"), F.col("round").cast("string")), 256)
-    w = Window.partitionBy("round", "is_honeypot").orderBy(key, "sid")
-    picked = manifest(spark, sf).crossJoin(F.broadcast(rounds)).withColumn("k", F.row_number().over(w))
-    return picked.where(F.col("k") <= F.when(F.col("is_honeypot"), 4).otherwise(16)).select("round", "sid", "is_honeypot")
+    w = Window.partitionBy("round").orderBy("key", "sid")
+    keyed = manifest(spark, sf).join(F.broadcast(rounds)).withColumn("key", key)
+    best = lambda pot, n: keyed.where(F.col("is_honeypot") == pot).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)  # noqa: E731  each task keeps its own n before the shuffle
+    return best(True, 4).unionByName(best(False, 16)).select("round", "sid", "is_honeypot")
 
 
 def miner_challenge(spark, sf):
@@ -327,7 +334,7 @@ def synthetic_responses(spark, sf):
 QUERIES = {f.__name__: f for f in (
     collusion_pairs, collusion_groups, collusion_penalty, rank_agreement, judge_outliers, capped_weights, emitted_weights, weight_audit, processed_weights,
     snapshot_changes, coordinated_drops, diversity_bonus, population_diversity, subnet_health, trust_score, api_health, ema_scores, trajectories,
-    oscillation_events, metastable_events, replica_divergence, convergence_counts, stale_scores, failure_runs, mean_latency, history_window,
+    oscillation_events, metastable_events, replica_divergence, replica_gaps, convergence_counts, stale_scores, failure_runs, mean_latency, history_window,
     telemetry_percentiles, feedback_signals, alert_cooldown, rate_limit, rotation_exclusions, unseen_samples, round_samples, miner_challenge, dataset_refresh,
     paired_bootstrap, next_ids, random_peers, orphans, labelled_semi, hotkey_differences, hotkey_changes, right_wins_merge, duplicate_ids, schema_validation,
     balance_by_source, synthetic_responses,
@@ -390,6 +397,7 @@ SQL = {
     "trajectories": with_views(f"WITH {_T} SELECT uid, min(day) AS day_start, max(day) AS day_end, count(*) AS n FROM l GROUP BY uid", "responses"),
     "oscillation_events": with_views(f"WITH {_T}, {_OSC} SELECT * FROM osc", "responses"),
     "metastable_events": with_views(f"WITH {_T}, {_META} SELECT uid, n, {_r('variance', 'variance')}, {_r('median', 'median')} FROM meta", "responses"),
+    "replica_gaps": with_views(f"WITH r AS (SELECT uid, day, round(avg(score), 6) AS a, round(avg(confidence), 6) AS b FROM responses WHERE score IS NOT NULL GROUP BY uid, day) SELECT uid, {_r('max(abs(a - b))', 'gap')} FROM r GROUP BY uid HAVING max(abs(a - b)) > 0.05", "responses"),
     "replica_divergence": with_views(f"WITH {_T}, {_GAP} SELECT uid, {_r('gap', 'gap')} FROM gap", "responses"),
     "convergence_counts": with_views(f"WITH {_T}, {_OSC}, {_META}, {_GAP}, u AS (SELECT 'oscillation' AS event FROM osc UNION ALL SELECT 'metastability' FROM meta UNION ALL SELECT 'convergence_failure' FROM gap) SELECT event, count(*) AS n FROM u GROUP BY event", "responses"),
     "stale_scores": with_views("""WITH r AS (SELECT uid, event_id, round(score, 1) AS v FROM responses WHERE score IS NOT NULL), x AS (SELECT uid, event_id, v, lag(v) OVER w AS a, lag(v, 2) OVER w AS b FROM r WINDOW w AS (PARTITION BY uid ORDER BY event_id))

@@ -95,7 +95,10 @@ def generated_samples(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", domain_of(F.col("doc_id")).alias("domain"))
     h = lambda tag: hash_int(F.concat(F.lit(tag), F.col("doc_id").cast("string"))) % 100
     bad, level = h("label:") < 50, h("difficulty:")
-    n = F.row_number().over(Window.partitionBy("domain").orderBy("doc_id"))
+    d = H.numbered(d.withColumn("place", F.struct("domain", "doc_id")), "place", "n")  # over all domains, in ranges
+    first = d.groupBy("domain").agg(F.min("n").alias("first"))  # a row a domain
+    d = d.join(F.broadcast(first), "domain")
+    n = F.col("n") - F.col("first") + 1
     code = F.when(F.col("domain") == "hallucination", "hall").when(F.col("domain") == "code_security", "cs").when(F.col("domain") == "reasoning", "rea").otherwise("bio")
     return d.select(
         "doc_id", F.concat(F.lit("eval-"), code, F.lit("-"), F.format_string("%03d", n)).alias("id"), F.when(bad, "anomalous").otherwise("normal").alias("truth"),
