@@ -152,3 +152,23 @@ def kl_divergence(p: DataFrame, q: DataFrame, score: str, bins: int = 20, eps: f
         return spine.select("bin", (F.coalesce("n", F.lit(0)) / F.sum(F.coalesce("n", F.lit(0))).over(every) + eps).alias(name))
 
     return density(p, "p").join(density(q, "q"), "bin").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
+
+
+MODES = ("global_threshold", "domain_thresholds", "operator_multiband")
+
+
+def resolved_policy(config: dict) -> dict:
+    """mode, high, low and min_confidence of a configuration of dotted keys.
+
+    Each setting comes from policy.*, else validator.policy.*.  Where none is given, an old reward.decision_threshold stands
+    for both thresholds without a band.  Missing thresholds have defaults; outside the band the low one is the high one."""
+    given = {k: next((config[p + k] for p in ("policy.", "validator.policy.") if config.get(p + k) is not None), None) for k in ("mode", "high_threshold", "low_threshold", "min_confidence")}
+    old = config.get("reward.decision_threshold")
+    if old is not None and all(v is None for v in given.values()):
+        return {"mode": MODES[0], "high": float(old), "low": float(old), "min_confidence": 0.0}
+    mode = (given["mode"] or MODES[2]).lower()
+    mode = mode if mode in MODES else MODES[2]
+    banded = mode == MODES[2]
+    pick = lambda k, default: float(default if given[k] is None else given[k])
+    high = pick("high_threshold", POLICY["high"])
+    return {"mode": mode, "high": high, "low": pick("low_threshold", POLICY["low"] if banded else high), "min_confidence": pick("min_confidence", POLICY["min_confidence"] if banded else 0.0)}
