@@ -1,5 +1,6 @@
 """Exact dedup, classifier, piece codec, decontamination, URL filter, HTML, records, near duplicates."""
 
+import math
 import random
 import re
 import struct
@@ -69,6 +70,81 @@ def test_drop_duplicates_keeps_one_row_each(odd_docs, no_docs):
 
 
 # ---- classifier ----
+def plain_features(text):
+    """Bucket to share by the definition, a code point at a time."""
+    m64 = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ (h >> 33)) * 0xFF51AFD7ED558CCD) & m64
+        return h ^ (h >> 29)
+
+    found, words = Counter(), text.split()
+    for w in words:
+        codes, whole, power = [ord(c) for c in f"<{w}>"], 0, 1
+        for c in codes:
+            power = power * 0x9E3779B97F4A7C15 & m64
+            whole = (whole + mix(c) * power) & m64
+        found[mix(whole) % quality.BUCKETS] += 1
+        for n in quality.NGRAMS:
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c in codes[i : i + n]:
+                    h = mix((h * 0x9E3779B97F4A7C15 + c) & m64)
+                found[h % quality.BUCKETS] += 1
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    if again:
+        found[quality.REPEAT] += again
+    total = sum(found.values())
+    return {b: n / total for b, n in found.items()}
+
+
+CLASSED = [("clear prose about rivers", 1), ("zz zz zz !!", 0), ("more clear prose, on stones", 1), ("buy buy now", 0), ("a river and its stones", 1), ("été ß 汉字 😀", 1), ("", 0)]
+
+
+def test_classifier_features_and_scores_equal_a_plain_forward_pass():
+    model = quality.train([t for t, _ in CLASSED], [y for _, y in CLASSED], epochs=4)
+    texts = [t for t, _ in CLASSED] + ["unseen words here", "river river", "x" * 3000]
+    for t, score in zip(texts, model.scorer()(texts)):
+        want = plain_features(t)
+        buckets, shares = quality.text_features(t)
+        assert dict(zip(buckets.tolist(), shares.tolist())) == pytest.approx(want, rel=1e-5)
+        z = model.bias + sum(share * float(model.weight[b]) for b, share in want.items())
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_classifier_training_equals_plain_descent():
+    """The same starts, order and steps, with a dictionary of vectors and no arrays."""
+    texts, labels, epochs, seed = [t for t, _ in CLASSED], [y for _, y in CLASSED], 3, 7
+    rng = np.random.default_rng(seed)
+    start = (rng.random((quality.BUCKETS, quality.DIM), dtype=np.float32) - 0.5) / quality.DIM
+    vectors, layer, bias = {}, [[0.0] * quality.DIM for _ in range(2)], [0.0, 0.0]
+    rows = [plain_features(t) for t in texts]
+    for r in rows:
+        vectors |= {b: start[b].astype(float).tolist() for b in r}
+    cost = [len(labels) / (2 * labels.count(c)) for c in (0, 1)]
+    step, steps = 0, epochs * len(rows)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)).tolist():
+            r, y = rows[i], labels[i]
+            rate = quality.RATE * (1 - step / steps)
+            step += 1
+            hidden = [sum(s * vectors[b][d] for b, s in r.items()) for d in range(quality.DIM)]
+            z = [sum(a * b for a, b in zip(layer[c], hidden)) + bias[c] for c in (0, 1)]
+            e = [math.exp(v - max(z)) for v in z]
+            g = [(e[c] / sum(e) - (c == y)) * rate * cost[y] for c in (0, 1)]
+            back = [sum(layer[c][d] * g[c] for c in (0, 1)) for d in range(quality.DIM)]
+            for c in (0, 1):
+                layer[c] = [w - g[c] * h for w, h in zip(layer[c], hidden)]
+                bias[c] -= g[c]
+            for b, s in r.items():
+                vectors[b] = [v - s * len(r) ** 0.5 * k for v, k in zip(vectors[b], back)]
+    model = quality.train(texts, labels, epochs, seed)
+    toward = [a - b for a, b in zip(layer[1], layer[0])]
+    for b, v in vectors.items():
+        assert float(model.weight[b]) == pytest.approx(sum(x * t for x, t in zip(v, toward)), abs=2e-4)
+    assert model.bias == pytest.approx(bias[1] - bias[0] + math.log(labels.count(1) / labels.count(0)), abs=1e-4)
+
+
 def test_classifier_learns_and_scores_all(spark, odd_docs, no_docs):
     rng = random.Random(4)
     good, bad = "river stone walked gently morning light".split(), "BUY!! $$$ c1ick xxzz |||".split()

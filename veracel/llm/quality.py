@@ -5,7 +5,8 @@ n-grams, and of its word pairs of one word twice (one mark for all of them), has
 into a fixed number of buckets; a linear layer and a softmax give
 the class.  Vectors and layer are trained together by numpy stochastic gradient
 descent on a bounded sample of labelled rows (MAX_TRAIN rows, the first in the
-order of a hash of doc_id).  The layer is linear in the mean, so after training
+order of a hash of doc_id).  Texts are hashed where they are; the driver gets the
+buckets of each row and their shares, BUCKETS of eight bytes at most however long the text.  The layer is linear in the mean, so after training
 each word adds one number to a document's score, and a whole text costs one
 table lookup a word.
 
@@ -121,13 +122,16 @@ class Model:
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Embeddings and a two-class softmax layer by stochastic gradient descent."""
+    return train_rows([text_features(t) for t in texts], labels, epochs, seed)
+
+
+def train_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Embeddings and a two-class softmax layer by stochastic gradient descent over rows of buckets and shares."""
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    rows = [text_features(t) for t in texts]
     counts = np.bincount(labels, minlength=2)
     cost = (len(labels) / (2 * np.maximum(counts, 1))).astype(np.float32)  # both classes weigh the same
     steps, step = epochs * len(rows), 0
@@ -167,8 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, all_fold
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).drop("other")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    got = sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)
-    return train([r.text for r in got], [int(r.quality) for r in got])
+
+    @F.pandas_udf("struct<buckets:binary,shares:binary>")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        got = map(text_features, texts)
+        return pd.DataFrame([(b.astype(np.int32).tobytes(), s.tobytes()) for b, s in got], columns=["buckets", "shares"])
+
+    hashed = small_batches(rows).select("doc_id", "quality", features("text").alias("f"))
+    got = sorted(((r.doc_id, int(r.quality), np.frombuffer(r.f.buckets, np.int32), np.frombuffer(r.f.shares, np.float32)) for r in hashed.toLocalIterator()), key=lambda r: r[0])
+    return train_rows([r[2:] for r in got], [r[1] for r in got])
 
 
 def _scorer(docs: DataFrame, model: Model):

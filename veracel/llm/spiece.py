@@ -7,7 +7,7 @@ scores, or merges in the order of their scores) and byte fallback.
 
 Merges never cross into a blank marker when no piece has one after another
 character (checked), so a text is cut before its markers; workers encode each
-distinct cut once, check it against the sentencepiece library and decode it again.
+distinct cut once, in multithreaded batches, check it against the sentencepiece library and decode it again.
 Other models encode and decode whole texts, in multithreaded batches.
 
 Null and empty texts have no ids.  Repeated rows each get their own row; other
@@ -20,6 +20,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CACHE_CUTS = 150_000  # of each of two generations
 JOINED = 500  # new cuts in one string
 SLICE = 256
+LONGEST_KEPT = 256  # characters of a cut that is kept, so the kept cuts are bounded in bytes
+SAMPLED = 64  # one text in so many is checked as a whole too
 
 
 def default_model() -> str:
@@ -132,7 +135,8 @@ class Codec:
 
     Where a model can be cut, each distinct cut is encoded, checked and decoded once: ids and text of a whole are those of
     its cuts one after the other.  New cuts go through both libraries many at a time, in one string; a string that
-    differs anywhere is gone through again cut by cut.  The cuts of two generations are kept, so when the cache is full
+    differs anywhere is gone through again cut by cut.  One text in SAMPLED, by the CRC-32 of its bytes, is compared and
+    decoded as a whole besides.  The cuts of two generations are kept, so when the cache is full
     those in use stay."""
 
     def __init__(self, path: str, verify: bool = True):
@@ -154,13 +158,14 @@ class Codec:
 
     def _learn(self, cuts: list[str]) -> None:
         plain = [c for c in cuts if len(c) > 1 and c[1] != " " and MARK not in c]
-        for lo in range(0, len(plain), JOINED):
-            some = plain[lo : lo + JOINED]
-            whole = "".join(some)
-            ids = np.array(self.tok.encode(whole, add_special_tokens=False).ids, "<u4")
+        joined = [plain[lo : lo + JOINED] for lo in range(0, len(plain), JOINED)]
+        wholes = ["".join(some) for some in joined]
+        got = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(wholes, add_special_tokens=False)] if wholes else []
+        back = self.tok.decode_batch([i.tolist() for i in got], skip_special_tokens=False) if wholes else []
+        for some, whole, ids, text in zip(joined, wholes, got, back):
             at = np.flatnonzero(self.starts[ids])
             alike = self.reference is None or np.array_equal(ids, self.reference.encode(whole[1:], num_threads=1))
-            if len(at) != len(some) or not alike or self.tok.decode(ids.tolist(), skip_special_tokens=False) != whole:
+            if len(at) != len(some) or not alike or text != whole:
                 self._learn_singly(some)
                 continue
             data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
@@ -200,7 +205,16 @@ class Codec:
         if new:
             self._learn(list(new))
         of = self.cuts.__getitem__
-        return [(b"".join(map(of, p)), self.unlike.isdisjoint(p), self.lossy.isdisjoint(p)) for p in parts]
+        out = [(b"".join(map(of, p)), self.unlike.isdisjoint(p), self.lossy.isdisjoint(p)) for p in parts]
+        for c in [c for c in new if len(c) > LONGEST_KEPT]:
+            del self.cuts[c]
+        return [self._whole(t, r) if crc32(t.encode("utf-8", "surrogatepass")) % SAMPLED == 0 else r for t, r in zip(texts, out)]
+
+    def _whole(self, text: str, row: tuple[bytes, bool, bool]) -> tuple[bytes, bool, bool]:
+        """A row whose whole text is compared with the library's ids, and whose whole ids are decoded."""
+        ids = np.frombuffer(row[0], "<u4")
+        alike = self.reference is None or np.array_equal(ids, self.reference.encode(text, num_threads=1))
+        return row[0], alike, self.decode([row[0]])[0] == text if text else True
 
     def decode(self, ids: list[bytes]) -> list[str]:
         got = [np.frombuffer(b, "<u4").tolist() for b in ids]
