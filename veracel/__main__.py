@@ -1,4 +1,4 @@
-"""Batch entry points: python -m veracel list | run QUERY... | check-log PATH | settings FILE."""
+"""Batch entry points: python -m veracel list | run QUERY... | check-log PATH | settings FILE | check-settings FILE..."""
 
 import argparse
 import json
@@ -6,6 +6,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .operators import settings_rules
 from .operators.metrics import resolved_policy
 from .plans import registry
 from .sources import files
@@ -37,6 +38,14 @@ def check_log(args) -> int:
     return 1 if bad else 0
 
 
+def check_settings(args) -> int:
+    """What is wrong with settings files, an issue a line; 1 if any of them is an error."""
+    told = settings_rules.issues(settings_rules.documents(session("veracel-settings"), args.file)).orderBy("artifact", "section", "key").collect()
+    for r in told:
+        print(json.dumps(r.asDict()))
+    return 1 if any(r.level == "error" for r in told) else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="veracel", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -50,6 +59,8 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("path")
     s = sub.add_parser("settings", help="the settings of a file, and the policy that follows")
     s.add_argument("file")
+    k = sub.add_parser("check-settings", help="what is wrong with settings files")
+    k.add_argument("file", nargs="+")
     args = p.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.QUERIES)))
@@ -58,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         got = files.read_settings(args.file)
         print(json.dumps({"settings": got, "policy": resolved_policy(got)}, indent=2, default=str))
         return 0
-    return run(args) if args.command == "run" else check_log(args)
+    return {"run": run, "check-log": check_log, "check-settings": check_settings}[args.command](args)
 
 
 if __name__ == "__main__":

@@ -177,13 +177,22 @@ def coordinated_drops(rewards: DataFrame, share: float = 0.3, drop: float = 0.5)
     return g.withColumn("attack", F.col("fell") > share * F.col("n"))
 
 
-def diversity(vectors: DataFrame, *keys: str) -> DataFrame:
-    """1 - the largest cosine with any other uid; 0.5 without a peer or norm. vectors: keys, uid, pos, value."""
+def diversity(vectors: DataFrame, *keys: str, min_history: int = 0, min_uids: int = 0) -> DataFrame:
+    """1 - the largest cosine with any other uid; 0.5 without a peer or norm. vectors: keys, uid, pos, value.
+
+    Uids with fewer than min_history values are no peers and get 0.5; where there are fewer than min_uids of them in all, everyone does."""
+    uids = vectors.groupBy(*keys, "uid").agg(F.sum(F.col("value") * F.col("value")).alias("norm"), F.count(F.lit(1)).alias("history"))
+    if min_history:
+        vectors = vectors.join(uids.where(F.col("history") >= min_history).select(*keys, "uid"), [*keys, "uid"], "left_semi")
     pairs = similar_pairs(vectors.select(*keys, "uid", F.col("pos").alias("sid"), F.col("value").alias("score")), -2.0, 1, *keys)
     both = pairs.select(*keys, F.col("a").alias("uid"), "cosine").unionByName(pairs.select(*keys, F.col("b").alias("uid"), "cosine"))
     best = both.groupBy(*keys, "uid").agg(F.max("cosine").alias("top"))
-    uids = vectors.groupBy(*keys, "uid").agg(F.sum(F.col("value") * F.col("value")).alias("norm"))
-    bonus = F.when(F.col("top").isNull() | (F.col("norm") == 0), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.lit(0.0), "top"))))
+    neutral = F.col("top").isNull() | (F.col("norm") == 0)
+    if min_uids:
+        population = uids.groupBy(*keys).agg(F.count(F.lit(1)).alias("population"))
+        uids = uids.join(population, list(keys)) if keys else uids.crossJoin(F.broadcast(population))  # one row without keys
+        neutral = neutral | (F.col("population") < min_uids)
+    bonus = F.when(neutral, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.lit(0.0), "top"))))
     return uids.join(best, [*keys, "uid"], "left").select(*keys, "uid", bonus.alias("diversity"))
 
 
