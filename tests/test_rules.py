@@ -145,3 +145,23 @@ def test_check_settings_entry_point(tmp_path):
     (tmp_path / "a.toml").write_text("[validator.rotation]\nwindow = 0\n")
     done = subprocess.run([sys.executable, "-m", "veracel", "check-settings", str(tmp_path / "a.toml")], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
     assert done.returncode == 1 and json.loads(done.stdout.strip().splitlines()[-1])["key"] == "window"
+
+
+def test_trust_answers(spark):
+    r = spark.createDataFrame([(0, 1, 0.2, None, "b"), (0, 2, 0.8, 1.0, "a"), (0, 3, None, 1.0, "c"), (0, 4, 0.4, 0.0, "b"), (0, 5, 0.9, 0.9, "z"), (1, 3, None, None, "a"), (2, 6, 0.2, 0.5, None), (2, 7, 0.4, 0.7, "q")], "q long, uid long, score double, confidence double, type string")
+    w = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, 9.0), (4, 4.0), (5, 0.5), (6, 0.0), (7, 0.0)], "uid long, weight double")
+    got = {x.q: x for x in N.trust_answers(r, w, 4, "q").collect()}
+    assert (got[0].n, got[0].types, [a.uid for a in got[0].answers]) == (3, ["a", "b"], [4, 1, 2])
+    assert got[0].score == pytest.approx((4 * 0.4 + 3 * 0.2 + 0.8) / 8) and got[0].confidence == pytest.approx((0 + 1.5 + 1) / 8)
+    assert (got[1].score, got[1].confidence, got[1].n, got[1].types, got[1].answers) == (0.5, 0.0, 0, [], [])
+    assert (got[2].score, got[2].confidence, got[2].types) == (pytest.approx(0.3), pytest.approx(0.6), ["q"])
+    assert {x.q: (x.score, x.n) for x in N.trust_score(r, w, 4, "q").collect()} == {q: (x.score, x.n) for q, x in got.items()}
+
+
+def test_call_statuses(spark):
+    calls = [("a", t) for t in (0.0, 1.0, 2.0, 3.0, 10.0, 10.5)] + [(None, 1.0)] * 2 + [("x", 1.0)] * 5 + [("b", 7.0)]
+    table = spark.createDataFrame(calls, "caller string, t double")
+    known = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("idle",)], "caller string")
+    got = {tuple(r) for r in N.call_statuses(table, known, 2, 10.0).select("caller", "status", "calls").collect()}
+    assert got == {("a", "admitted", 3), ("a", "limited", 3), (None, "missing_caller", 2), ("x", "unregistered", 5), ("b", "admitted", 1)}
+    assert N.call_statuses(table.limit(0), known).count() == 0

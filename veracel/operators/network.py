@@ -2,10 +2,11 @@
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
+from .history import admitted_calls
 
 
 def similar_pairs(scores: DataFrame, least: float = 0.99, shared: int = 3, *keys: str) -> DataFrame:
@@ -196,14 +197,44 @@ def diversity(vectors: DataFrame, *keys: str, min_history: int = 0, min_uids: in
     return uids.join(best, [*keys, "uid"], "left").select(*keys, "uid", bonus.alias("diversity"))
 
 
+def _asked(responses: DataFrame, weights: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The answers of the k heaviest uids of each request."""
+    top = Window.partitionBy(*keys).orderBy(F.desc("weight"), "uid")
+    return responses.join(weights, "uid").withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
+
+
+def _trusted() -> list[Column]:
+    """score, confidence, n of a request's answers by weight."""
+    ok = F.col("score").isNotNull()
+    w, c = F.when(ok, F.col("weight")), F.coalesce("confidence", F.lit(0.5))
+    mean = lambda x: F.when(F.sum(w) > 0, F.sum(w * x) / F.when(F.sum(w) > 0, F.sum(w))).otherwise(F.avg(F.when(ok, x)))
+    return [F.coalesce(mean(F.col("score")), F.lit(0.5)).alias("score"), F.when(F.count_if(ok) > 0, mean(c)).otherwise(0.0).alias("confidence"), F.count_if(ok).alias("n")]
+
+
 def trust_score(responses: DataFrame, weights: DataFrame, k: int, *keys: str) -> DataFrame:
     """Weighted mean of the answers of the k heaviest uids; equal weights if theirs sum to 0; (0.5, 0, 0) without answers.
 
     responses: keys, uid, score, confidence; weights: uid, weight."""
-    top = Window.partitionBy(*keys).orderBy(F.desc("weight"), "uid")
-    picked = responses.join(weights, "uid").withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
+    return _asked(responses, weights, k, *keys).groupBy(*keys).agg(*_trusted())
+
+
+def trust_answers(responses: DataFrame, weights: DataFrame, k: int, *keys: str) -> DataFrame:
+    """trust_score with the types of anomaly that were told (distinct, sorted) and the answers themselves, the heaviest uid's first.
+
+    responses: keys, uid, score, confidence, type.  Both lists hold k entries at most; an answer without score is in neither."""
     ok = F.col("score").isNotNull()
-    w, c = F.when(ok, F.col("weight")), F.coalesce("confidence", F.lit(0.5))
-    mean = lambda x: F.when(F.sum(w) > 0, F.sum(w * x) / F.when(F.sum(w) > 0, F.sum(w))).otherwise(F.avg(F.when(ok, x)))
-    g = picked.groupBy(*keys).agg(mean(F.col("score")).alias("score"), mean(c).alias("confidence"), F.count_if(ok).alias("n"))
-    return g.select(*keys, F.coalesce("score", F.lit(0.5)).alias("score"), F.when(F.col("n") > 0, F.col("confidence")).otherwise(0.0).alias("confidence"), "n")
+    types = F.array_sort(F.collect_set(F.when(ok, F.col("type"))))
+    told = F.array_sort(F.collect_list(F.when(ok, F.struct("place", "uid", "weight", "score", "confidence", "type"))))
+    return _asked(responses, weights, k, *keys).groupBy(*keys).agg(*_trusted(), types.alias("types"), told.alias("answers"))
+
+
+def call_statuses(calls: DataFrame, registered: DataFrame, most: int = 60, seconds: float = 60.0) -> DataFrame:
+    """caller, status, calls: how the calls of each caller are met.  calls: caller, t (seconds); registered: caller.
+
+    A call without caller is `missing_caller`; one of a caller that is not registered is `unregistered` and counts for
+    no limit; of the others, at most `most` within any `seconds` are `admitted`, the rest `limited`."""
+    known = calls.join(registered.select("caller").distinct().withColumn("known", F.lit(True)), "caller", "left")
+    met = admitted_calls(known.where("known").select("caller", "t"), most, seconds, "caller").toDF("caller", "admitted", "limited")
+    passed = met.unpivot(["caller"], ["admitted", "limited"], "status", "calls").where("calls > 0")
+    why = F.when(F.col("caller").isNull(), "missing_caller").otherwise("unregistered")
+    return passed.unionByName(known.where("known is null").groupBy("caller", why.alias("status")).agg(F.count(F.lit(1)).alias("calls")))

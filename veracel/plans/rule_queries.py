@@ -7,10 +7,11 @@ from ..operators import metrics as M
 from ..operators import network as N
 from ..operators import rounds as R
 from ..operators import sample_rules, settings_rules
-from ..sources.tables import domain_of, read, responses, with_views
+from ..sources.tables import domain_of, read, responses, stakes, with_views
 from . import vector_queries as V
 from .metric_queries import _ECE, _g, _graded, _rewards as _rw
-from .network_queries import _trajectory
+from .network_queries import SQL as _NETWORK
+from .network_queries import _trajectory, ema_scores, r6
 
 # Scores that a uid needs for a diversity of its own, and uids that there must be.
 MIN_HISTORY, MIN_UIDS = 10, 8
@@ -65,7 +66,22 @@ def text_attributions(spark, sf):
     return R.keep_best(V.text_vectors(spark, sf), 5, "weight", "term", "id")
 
 
-QUERIES = {f.__name__: f for f in (settings_issues, sample_issues, history_rewards, text_attributions)}
+def trust_answers(spark, sf):
+    """Per sample and round, the trust in the answers of the five uids with the highest EMA of rewards, the kinds they told and who they are."""
+    kinds = responses(spark, sf).join(read(spark, sf, "events").select("event_id", F.col("event_type").alias("type")), "event_id")
+    w = ema_scores(spark, sf).groupBy("uid").agg(F.max_by("ema", "round").alias("weight"))
+    t = N.trust_answers(kinds.select("sid", "uid", "round", "score", "confidence", "type"), w, 5, "sid", "round")
+    said = F.array_join(F.transform("answers", lambda a: a["uid"].cast("string")), ",")
+    return r6(t.select("sid", "round", "score", "confidence", "n", F.array_join("types", ",").alias("types"), said.alias("uids")), "score", "confidence")
+
+
+def call_statuses(spark, sf):
+    """How the calls of each user are met: those with a stake may call three times a day."""
+    calls = read(spark, sf, "events").select(F.col("user_id").alias("caller"), F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01', ts)").alias("t"))
+    return N.call_statuses(calls, stakes(spark, sf).select(F.col("uid").alias("caller")), 3, 86400.0)
+
+
+QUERIES = {f.__name__: f for f in (settings_issues, sample_issues, history_rewards, text_attributions, trust_answers, call_statuses)}
 
 _r = lambda x, as_: f"round(({x})::DOUBLE + 1e-10, 6) AS {as_}"
 _told = lambda level, section, key, message, bad: f"{{'level': '{level}', 'section': '{section}', 'key': '{key}', 'message': '{message}', 'bad': {bad}}}"
@@ -97,4 +113,11 @@ SQL = {
         SELECT rb.uid, {_r('CASE WHEN failed THEN 0 ELSE greatest(0, least(1, 0.7 * rb.reward + 0.1 * coalesce(1 - ece, 1) + 0.1 * coalesce(s, 1) + 0.1 * coalesce(d, 0.5))) END', 'reward')}
         FROM rb LEFT JOIN ece ON ece.uid = rb.uid LEFT JOIN sy ON sy.uid = rb.uid LEFT JOIN dv ON dv.uid = rb.uid"""),
     "text_attributions": f"SELECT id, term, weight FROM ({V.SQL['text_vectors']}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 5",
+    "trust_answers": f"""
+        WITH e AS ({_NETWORK['ema_scores']}), w AS (SELECT uid, arg_max(ema, round) AS weight FROM e GROUP BY uid), r AS ({with_views('SELECT * FROM responses', 'responses')}),
+        p AS (SELECT r.*, event_type, weight, row_number() OVER (PARTITION BY sid, round ORDER BY weight DESC, r.uid) AS k FROM r JOIN w ON w.uid = r.uid JOIN events v ON v.event_id = r.event_id),
+        g AS (SELECT sid, round, count(score) AS n, sum(weight) FILTER (score IS NOT NULL) AS sw, sum(weight * score) AS ws, sum(weight * coalesce(confidence, 0.5)) FILTER (score IS NOT NULL) AS wc, avg(score) AS ms,
+              avg(coalesce(confidence, 0.5)) FILTER (score IS NOT NULL) AS mc, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (score IS NOT NULL), '') AS types,
+              coalesce(string_agg(uid::VARCHAR, ',' ORDER BY k) FILTER (score IS NOT NULL), '') AS uids FROM p WHERE k <= 5 GROUP BY ALL)
+        SELECT sid, round, {_r('CASE WHEN n = 0 THEN 0.5 WHEN sw > 0 THEN ws / sw ELSE ms END', 'score')}, {_r('CASE WHEN n = 0 THEN 0 WHEN sw > 0 THEN wc / sw ELSE mc END', 'confidence')}, n, types, uids FROM g""",
 }
