@@ -165,3 +165,39 @@ def test_call_statuses(spark):
     got = {tuple(r) for r in N.call_statuses(table, known, 2, 10.0).select("caller", "status", "calls").collect()}
     assert got == {("a", "admitted", 3), ("a", "limited", 3), (None, "missing_caller", 2), ("x", "unregistered", 5), ("b", "admitted", 1)}
     assert N.call_statuses(table.limit(0), known).count() == 0
+
+
+ROUND = "round_index long, uids array<long>, rewards array<double>, hotkeys array<string>, ema_scores array<double>"
+
+
+def test_rounds_given_as_lists_are_recorded(spark, tmp_path):
+    from veracel.operators import chain
+    from veracel.streaming import linked_log as L
+
+    rounds = [(0, [2, 1], [0.5, 0.25], ["b", "a"], None), (1, [1, 2], [0.0, 1.0], ["a", "b"], [0.1, 0.9])]
+    log = L.LinkedLog(spark, str(tmp_path / "log"))
+    for r in rounds:  # two appends
+        log.append(L.linked_scores(L.recorded_scores(spark.createDataFrame([r], ROUND)), log.head()))
+    prev = chain.GENESIS
+    for i, uids, raw, keys, ema in rounds:
+        scores = sorted(({"uid": u, "raw_reward": x, "ema_score": e, "hotkey": k} for u, x, k, e in zip(uids, raw, keys, ema or raw)), key=lambda s: s["uid"])
+        prev = chain.record_hash({"round_index": i, "ema_alpha": 0.1, "prev_hash": prev, "scores": scores})
+    assert log.head().hash == prev and log.verify(chain.RECORD).where("not ok").count() == 0
+
+
+@pytest.mark.parametrize("change,reason", [
+    ({"round_index": None}, "no_round"), ({"uids": None}, "missing_list"), ({"hotkeys": None}, "missing_list"), ({"rewards": [0.5]}, "lengths_differ"), ({"hotkeys": ["a"]}, "lengths_differ"),
+    ({"ema_scores": [0.1, 0.2, 0.3]}, "lengths_differ"), ({"uids": [1, None]}, "missing_key"), ({"hotkeys": ["a", None]}, "missing_key"), ({"rewards": [0.5, math.nan]}, "reward_not_finite"),
+    ({"rewards": [0.5, None]}, "reward_not_finite"), ({"rewards": [-math.inf, 1.0]}, "reward_not_finite"), ({"ema_scores": [0.1, math.inf]}, "ema_not_finite"), ({}, None), ({"ema_scores": None}, None),
+])
+def test_rounds_that_cannot_be_recorded(spark, change, reason):
+    from veracel.streaming import linked_log as L
+
+    good = {"round_index": 3, "uids": [1, 2], "rewards": [0.5, 1.0], "hotkeys": ["a", "b"], "ema_scores": [0.1, 0.2]}
+    table = spark.createDataFrame([tuple({**good, **change}.values())], ROUND)
+    assert L.checked_rounds(table).first().reason == reason
+    if reason:
+        with pytest.raises(L.IntegrityError, match=reason):
+            L.recorded_scores(table)
+    else:
+        assert L.recorded_scores(table).count() == 2

@@ -119,6 +119,29 @@ def linked_scores(scores: DataFrame, head: Head, alpha: float = 0.1) -> DataFram
     return heads.join(bodies, "round_index").select("round_index", F.lit(alpha).alias("ema_alpha"), "scores", "prev_hash", "hash", "n_scores")
 
 
+def checked_rounds(rounds: DataFrame) -> DataFrame:
+    """rounds with reason: why a round cannot be recorded, else null.
+
+    rounds: round_index, uids, rewards, hotkeys, ema_scores (lists of one length; ema_scores may be null as a whole)."""
+    lengths = [F.size(c) != F.size("uids") for c in ("rewards", "hotkeys")] + [F.col("ema_scores").isNotNull() & (F.size("ema_scores") != F.size("uids"))]
+    odd = lambda c: F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    missing = lambda c: F.exists(c, lambda v: v.isNull())
+    why = F.when(F.col("round_index").isNull(), "no_round").when(F.col("uids").isNull() | F.col("rewards").isNull() | F.col("hotkeys").isNull(), "missing_list")
+    why = why.when(lengths[0] | lengths[1] | lengths[2], "lengths_differ").when(missing("uids") | missing("hotkeys"), "missing_key")
+    return rounds.withColumn("reason", why.when(odd("rewards"), "reward_not_finite").when(F.coalesce(odd("ema_scores"), F.lit(False)), "ema_not_finite"))
+
+
+def recorded_scores(rounds: DataFrame) -> DataFrame:
+    """round_index, uid, raw_reward, ema_score, hotkey of rounds given as lists, ready for linked_scores; without ema_scores the EMA is the raw reward.
+
+    A round that cannot be recorded raises, before anything is written."""
+    bad = checked_rounds(rounds).where("reason is not null").orderBy("round_index").first()
+    if bad:
+        raise IntegrityError(f"round {bad.round_index}: {bad.reason}")
+    each = F.arrays_zip(F.col("uids").alias("uid"), F.col("rewards").alias("raw_reward"), F.coalesce("ema_scores", "rewards").alias("ema_score"), F.col("hotkeys").alias("hotkey"))
+    return rounds.select("round_index", F.inline(each))
+
+
 def append_scores(stream: DataFrame, log: LinkedLog, checkpoint: str, alpha: float = 0.1):
     """Append the whole rounds of each micro-batch of a stream of scores; returns the query, run until the input is drained."""
 
