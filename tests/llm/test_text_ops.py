@@ -510,6 +510,36 @@ def test_prefix_depth_meets_the_recall():
     assert jaccard_join.recall_at(d) >= jaccard_join.RECALL > jaccard_join.recall_at(d + 1)
 
 
+def test_paths_end_where_the_estimate_is_met():
+    rng = np.random.default_rng(3)
+    trees, floor = jaccard_join.TREES, jaccard_join.prefix_depth() - jaccard_join.SLACK
+    perms = jaccard_join._permutations(trees * jaccard_join.DEPTH)
+    how = (perms, trees, jaccard_join.THRESHOLD, jaccard_join.RECALL, floor)
+    for n, keep, more in ((45, 40, 5), (50, 40, 0), (40, 40, 10), (4, 4, 1)):  # pairs at the threshold
+        one = [rng.integers(0, 1 << 63, n + more, np.uint64) for _ in range(1500)]
+        two = [np.sort(np.concatenate([s[:n][rng.permutation(n)[:keep]], s[n:]])) for s in one]
+        one = [np.sort(s[:n]) for s in one]
+        met = [
+            any(x[min(len(x), len(y)) - 1] == y[min(len(x), len(y)) - 1] for x, y in zip(a, b))
+            for a, b in zip(jaccard_join.paths(one, *how), jaccard_join.paths(two, *how))
+        ]
+        assert np.mean(met) >= 0.999
+    sets = [np.sort(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 3, 5, 20, 20, 300, 9000)]
+    signed = [jaccard_join.signature(s, perms) for s in sets]
+    for s, (least, who) in zip(sets, signed):  # against one minimum at a time
+        for t in range(0, len(least), 17):
+            h = s * perms[0][t] + perms[1][t]
+            h ^= h >> np.uint64(31)
+            assert (least[t], who[t]) == (h.min(), s[h.argmin()])
+    least, who = (np.stack(x).reshape(len(sets), trees, -1) for x in zip(*signed))
+    chance = jaccard_join.chances(np.array([len(s) for s in sets]), least, who, jaccard_join.THRESHOLD)
+    ends = jaccard_join.stops(chance, jaccard_join.RECALL, floor)
+    assert (ends[:2] == jaccard_join.DEPTH).all()  # three n-grams or fewer: only copies are as similar
+    for k, e in enumerate(ends):
+        missed = [np.prod([1 - chance[c, k, t, d - 1] for t, d in enumerate(e)]) for c in range(3)]
+        assert max(missed) <= 1 - jaccard_join.RECALL + 1e-9 or (e == floor).all()
+
+
 def test_copy_groups_do_not_hide_pairs_at_the_threshold(spark):
     rng = random.Random(8)
     say = lambda k: [f"{rng.getrandbits(40):x}" for _ in range(k)]

@@ -2,19 +2,21 @@
 
 Documents with one set of n-grams form a copy class, known by a 128-bit digest of
 the set; one text stands for each.  A MinHash LSH forest finds candidates: every
-tree holds each signature as a path of minimum hashes, and two texts meet where
-their paths share a prefix.  The prefix is shortened from the full depth until a
-pair at the threshold itself meets in some tree with the target chance,
-1 - (1 - s^depth)^trees at similarity s; more similar pairs meet with a higher one.
-The depth depends on the threshold alone, never on the rows, so no group of copies
-changes which other pairs are found.  With exact=True texts meet in the n-grams of
+tree is a sorted prefix trie of the signatures, in which a text is a path of minimum
+hashes.  Each text starts with its whole path in every tree and shortens it, tree by
+tree and level by level, until its own estimate of the recall reaches the target
+(see stops).  A node where some text's shortened path ends is cut: all texts below
+it meet there, and each text meets others once in a tree, at the highest cut above
+its own end.  The estimate of a text rests on its own n-grams, never on the links
+found or on other texts, so no group of copies changes which other pairs are found.
+With exact=True texts meet in the n-grams of
 their prefix filter instead (the |s| - ceil(threshold |s|) + 1 least hashes, of which
 a linked pair shares one), which misses nothing and costs more.
 
 Texts that meet are compared exactly.  The members of a meeting point (a node) are
 dealt into blocks bounded by bytes and rows; a block is compared within and packed
-into one row, and where a node has several blocks the packed rows meet in pairs.  So
-rows grow with the members, not with members times blocks.  A comparison gives each
+into one row, and where a node has several blocks the packed rows meet in tiles of
+TILE by TILE.  So rows grow with the members, and bytes with members times blocks / TILE.  A comparison gives each
 text's number of links and a spanning forest of them, never the pairs; a pair counts
 in the least node where it meets.  Of nodes with the same members one is compared.
 Classes are the connected components, found by spreading the least digest with
@@ -42,11 +44,13 @@ from .common import bounded, materialize, one_each, release, small_batches, text
 
 NGRAM = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 20
 DEPTH = 6
-RECALL = 0.9995
+RECALL = 0.9999
+SLACK = 1  # levels that a text may go beyond the depth that suffices on average
 BLOCK = 1024  # texts of a block
 BLOCK_BYTES = 2 << 20  # of n-gram hashes in a block, about
+TILE = 4  # blocks on each side of a comparison across blocks
 CACHE_WORDS = 100_000
 PAIRS = 1 << 21  # pairs listed at a time
 
@@ -94,15 +98,19 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, M64, count, np.uint64, endpoint=True) | np.uint64(1), rng.integers(0, M64, count, np.uint64, endpoint=True)
 
 
-def signature(s: np.ndarray, perms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Minimum hash of a set under each permutation."""
-    out = np.full(len(perms[0]), M64, np.uint64)
+def signature(s: np.ndarray, perms: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum hash of a set under each permutation, and the member that has it."""
+    out, who = np.full(len(perms[0]), M64, np.uint64), np.zeros(len(perms[0]), np.uint64)
     for lo in range(0, len(s), 4096):  # bounded memory for long texts
         part = s[lo : lo + 4096]
         for i in range(0, len(out), 32):
             got = part[None, :] * perms[0][i : i + 32, None] + perms[1][i : i + 32, None]
-            np.minimum(out[i : i + 32], (got ^ (got >> np.uint64(31))).min(axis=1), out=out[i : i + 32])
-    return out
+            got ^= got >> np.uint64(31)
+            at = got.argmin(axis=1)
+            least = got[np.arange(len(at)), at]
+            new = least <= out[i : i + 32]
+            out[i : i + 32][new], who[i : i + 32][new] = least[new], part[at][new]
+    return out, who
 
 
 def recall_at(depth: int, trees: int = TREES, threshold: float = THRESHOLD) -> float:
@@ -117,12 +125,55 @@ def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRE
     return depth
 
 
-def forest_nodes(s: np.ndarray, perms: tuple[np.ndarray, np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """The text's node in every tree: a hash of the tree's number and the path."""
-    path, node = signature(s, perms).reshape(trees, depth), np.arange(1, trees + 1, dtype=np.uint64)
+def chances(sizes: np.ndarray, least: np.ndarray, who: np.ndarray, threshold: float) -> np.ndarray:
+    """Estimated chance that a text and one as far from it as the threshold allows share each prefix.
+
+    least, who: signatures, texts x trees x depth.  The other text lacks some of the n-grams, has others more, or
+    both; of the three cases (first axis) each that the size allows counts.  A prefix is shared if none of the
+    n-grams on it (each counted once) is lacking and no other one hashes below them.  In bins of higher similarity
+    all three chances are higher, so a target met here is met in every bin."""
+    n = sizes.astype(float)
+    keep = np.ceil(np.stack([threshold * n, n, 2 * threshold / (1 + threshold) * n]) - 1e-9)
+    more = np.stack([np.zeros_like(n), np.floor(n / threshold - n + 1e-9), n - keep[2]])
+    depth = least.shape[2]
+    seen = np.zeros(least.shape, np.int64)
     for d in range(depth):
-        node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + path[:, d])
-    return node
+        seen[:, :, d] = (seen[:, :, d - 1] if d else 0) + ~(who[:, :, :d] == who[:, :, d : d + 1]).any(axis=2)
+    left = np.arange(depth)
+    held = np.cumprod(np.maximum(keep[:, :, None] - left, 0) / np.maximum(n[None, :, None] - left, 1), axis=2)  # of k + 1 n-grams
+    above = np.cumsum(np.log1p(-np.minimum(least.astype(float) / 2.0**64, 1 - 1e-9)), axis=2)
+    rows = np.arange(len(n))[:, None, None]
+    return np.stack([held[c][rows, seen - 1] * np.exp(more[c][:, None, None] * above) for c in range(3)])
+
+
+def stops(chance: np.ndarray, recall: float, floor: int) -> np.ndarray:
+    """Depth at which each text's path ends in each tree: shortened until the estimate reaches the recall, or the floor."""
+    missed = np.log1p(-np.minimum(chance, 1 - 1e-12))  # case, text, tree, depth
+    cases, texts, trees, depth = missed.shape
+    total, met = missed[..., -1].sum(axis=2), np.zeros(texts, bool)
+    out = np.full((texts, trees), depth)
+    met |= (total <= math.log(1 - recall)).all(axis=0)
+    for d in range(depth - 1, floor - 1, -1):
+        for t in range(trees):
+            total = total + np.where(met, 0, missed[:, :, t, d - 1] - missed[:, :, t, d])
+            out[~met, t] = d
+            met |= (total <= math.log(1 - recall)).all(axis=0)
+    return out
+
+
+def paths(sets: list[np.ndarray], perms: tuple[np.ndarray, np.ndarray], trees: int, threshold: float, recall: float, floor: int) -> list[list[np.ndarray]]:
+    """Of each set its nodes in every tree, from the floor to where its path ends: hashes of the tree's number and the prefix."""
+    if not sets:
+        return []
+    signed = [signature(s, perms) for s in sets]
+    least, who = (np.stack(x).reshape(len(sets), trees, -1) for x in zip(*signed))
+    ends = stops(chances(np.array([len(s) for s in sets]), least, who, threshold), recall, floor)
+    nodes = np.empty(least.shape, np.uint64)
+    node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), least.shape[:2])
+    for d in range(least.shape[2]):
+        node = nodes[:, :, d] = _mix(node * np.uint64(0x9E3779B97F4A7C15) + least[:, :, d])
+    nodes = nodes.view(np.int64)
+    return [[path[floor - 1 : end] for path, end in zip(of, e.tolist())] for of, e in zip(nodes, ends)]
 
 
 def prefix_nodes(s: np.ndarray, threshold: float) -> np.ndarray:
@@ -131,24 +182,41 @@ def prefix_nodes(s: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def sign(docs: DataFrame, n: int, threshold: float, trees: int, exact: bool) -> DataFrame:
-    """doc_id, tkey (digest of the text), copy (digest of its n-gram set), size of the set, keys (nodes)."""
-    depth = prefix_depth(trees, threshold=threshold)
+    """doc_id, tkey (digest of the text), copy (digest of its n-gram set), size of the set, paths (nodes by tree; of exact ones, one by one)."""
+    floor = max(1, prefix_depth(trees, threshold=threshold) - SLACK)
 
-    @F.pandas_udf("struct<copy:binary,size:int,keys:array<bigint>>")
+    @F.pandas_udf("struct<copy:binary,size:int,paths:array<array<bigint>>>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        perms = _permutations(trees * depth)
+        perms = _permutations(trees * DEPTH)
         for texts in batches:
-            rows = []
-            for t in texts:
-                s = shingles(t, n)
-                keys = s[:0] if not len(s) else prefix_nodes(s, threshold) if exact else forest_nodes(s, perms, trees, depth)
-                rows.append((xxhash.xxh128_digest(s.tobytes()), len(s), keys.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["copy", "size", "keys"])
+            sets = [shingles(t, n) for t in texts]
+            some = [s for s in sets if len(s)]
+            if exact:
+                got = iter([list(prefix_nodes(s, threshold).view(np.int64)[:, None]) for s in some])
+            else:
+                got = iter(paths(some, perms, trees, threshold, RECALL, floor))
+            rows = [(xxhash.xxh128_digest(s.tobytes()), len(s), next(got) if len(s) else []) for s in sets]
+            yield pd.DataFrame(rows, columns=["copy", "size", "paths"])
         forget()
 
     return small_batches(docs).select("doc_id", text_key("text").alias("tkey"), signed("text").alias("r")).select("doc_id", "tkey", "r.*")
 
 
+def meeting_nodes(reps: DataFrame) -> DataFrame:
+    """reps (id, paths) that meet others, with keys: the node where each meets others in every tree.
+
+    A node is cut where a path ends, if another text is below it; of the cuts on a path the highest counts."""
+    at = reps.select("id", F.posexplode("paths").alias("tree", "path")).select("id", "tree", F.size("path").alias("end"), F.posexplode("path").alias("depth", "node"))
+    cut = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("depth") == F.col("end") - 1).alias("ends")).where("n > 1 and ends")
+    cut = bounded(materialize(cut.select("node"), "cuts"))
+    tops = at.join(cut, "node").groupBy("id").agg(F.collect_list(F.struct("tree", "depth", "node")).alias("cuts"))  # as many as the text has nodes
+
+    def key(path: Column, tree: Column) -> Column:
+        return F.coalesce(F.array_min(F.filter("cuts", lambda c: c["tree"] == tree))["node"], F.element_at(path, -1))
+
+    return reps.join(tops, "id").withColumn("keys", F.transform("paths", key)).drop("cuts", "paths")
+
+
 class Block:
     """Texts that are compared together: ids (16 bytes each), n-gram sets, nodes and rows of their copy classes."""
 
@@ -325,22 +393,31 @@ def _within(members: DataFrame, threshold: float, exact: bool) -> DataFrame:
 
 
 def _across(blocks: DataFrame, threshold: float, exact: bool) -> DataFrame:
-    """Results of each pair of blocks of one node."""
-
-    def run(pair: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pair.itertuples(index=False), key=lambda r: r.own)
-        out = compare(Block.unpack(rows[0]), Block.unpack(rows[1]), rows[0].key, threshold, exact) if len(rows) == 2 else []
+    """Results of each pair of blocks of one node.
+
+    Blocks meet in tiles of TILE by TILE, so a block is sent once for every TILE others."""
+    tile = (F.col("own") / TILE).cast("int")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(rows.itertuples(index=False), key=lambda r: r.own)
+        out = []
+        for i, x in enumerate(rows):
+            for y in rows[i + 1 :]:
+                if x.x == x.y or x.own // TILE != y.own // TILE:  # pairs of one tile meet in the task of that tile alone
+                    out += compare(Block.unpack(x), Block.unpack(y), x.key, threshold, exact)
+        release()
         return pd.DataFrame(out, columns=["id", "root", "n_links", "n_linked_docs"])
 
-    others = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: o != F.col("own"))
-    spread = blocks.withColumn("other", F.explode(others)).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    others = F.sequence(F.lit(0), ((F.col("nb") - 1) / TILE).cast("int"))
+    spread = blocks.withColumn("other", F.explode(others)).withColumns({"x": F.least(tile, "other"), "y": F.greatest(tile, "other")})
     return spread.select("key", "x", "y", "own", *Block.FIELDS).groupBy("key", "x", "y").applyInPandas(run, FOUND)
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float, n: int, exact: bool, block: int, block_bytes: int) -> DataFrame:
     """id, root (a linked text or null), n_links, n_linked_docs: partial results per text and block.
 
-    reps: id, row (doc_id and tkey of a text), size, keys, copies."""
+    reps: id, row (doc_id and tkey of a text), size, paths, copies."""
+    reps = materialize(reps.withColumn("keys", F.flatten("paths")).drop("paths") if exact else meeting_nodes(reps), "meeting")
     plan = _node_plan(reps, block, block_bytes)
     own = F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int").alias("own")
     places = reps.select("id", F.explode("keys").alias("key")).join(plan, "key").select("id", F.struct("key", own, "nb").alias("at"))
@@ -371,7 +448,7 @@ def _linked(docs: DataFrame, threshold: float, n: int, trees: int, exact: bool,
     reps = materialize(
         signed.groupBy(F.col("copy").alias("id")).agg(
             F.min(row).alias("row"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"),
-            F.first("size").alias("size"), F.first("keys").alias("keys"),  # alike in all rows of the class
+            F.first("size").alias("size"), F.first("paths").alias("paths"),  # alike in all rows of the class
         ), "reps",
     )
     found = links(docs, reps, threshold, n, exact, block, block_bytes)
