@@ -442,6 +442,61 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     assert [np.frombuffer(i, "<u2").tolist() for i in enc.encode(texts)] == [[*enc.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_words_of_letters_skip_the_whole_tokenizer(monkeypatch):
+    import tokenizers
+
+    class Spy:
+        def __init__(self, tok):
+            self.tok, self.seen = tok, []
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode(self, text, **kw):
+            self.seen += text.split()
+            return self.tok.encode(text, **kw)
+
+    plain = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Opened", (), {"from_file": staticmethod(lambda path: Spy(plain.from_file(path)))}))
+    enc = token_records.Encoder(token_records.default_tokenizer())
+    texts = ["Some words, some été, größe. слово 漢字 and&&& more!! words.", "it's 12 É"]
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in enc.encode(texts)]
+    assert sorted(enc.tok.seen) == sorted([",", ".", "&&&", "!!", "it's", "12", "É"])
+    assert got == [[*enc.tok.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_letters_and_marks_encode_as_the_tokenizer_does():
+    import random
+    import re
+
+    enc, r = token_records.Encoder(token_records.default_tokenizer()), random.Random(3)
+    letters = [c for c in map(chr, range(0x10000)) if re.fullmatch(f"[{token_records.LETTERS}]", c)]
+    assert all(token_records.LETTERS_THEN_MARKS.fullmatch(c) and enc.tok.normalizer.normalize_str(c + c) == c + c for c in letters)
+    some = [*letters[:400], *"abcstvremdl" * 20, *"'.,!#$<|>&-_`~\"" * 3, *"019 \t\x0b\x1c\x85\xa0", *"\u0301\u0323\u1161\u11a8ÉİΣ²ſﬁ"]
+    texts = [*letters, *("".join(r.choices(some, k=r.randint(1, 25))) for _ in range(5000)), "a<|endoftext|>. <|endoftext|>.", "é" * 1000 + ". " + "漢" * 1000 + "!! it's" + "x" * 1000 + "."]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == [*enc.tok.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_cuts_of_another_tokenizer_are_its_own(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(token_records.default_tokenizer()).to_str())
+    assert token_records.by_letters(spec)
+    at_blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}
+    steps = spec["normalizer"]["normalizers"]
+    added = [*spec["added_tokens"], {**spec["added_tokens"][0], "id": spec["added_tokens"][-1]["id"] + 1, "content": "ord"}]
+    others = [{"pre_tokenizer": at_blanks}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFD"}, *steps[1:]]}}, {"added_tokens": added}]
+    for k, other in enumerate(others):
+        assert not token_records.by_letters(spec | other)
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec | other))
+        enc = token_records.Encoder(str(tmp_path / f"{k}.json"))
+        texts = ["Words, word. été. größe!! it's.", "한글 ord"]
+        assert [np.frombuffer(i, "<u2").tolist() for i in enc.encode(texts)] == [[*enc.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 # ---- near duplicates ----
 def naive_links(rows, n=5, threshold=0.8):
     sets = {d: frozenset(tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))) if (ws := words(t)) else frozenset() for d, t in rows}

@@ -20,6 +20,7 @@ follow each other in the order of their texts.  An empty table writes no record.
 import json
 import re
 import struct
+from codecs import charmap_decode
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -34,13 +35,25 @@ END_ID = 1
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
 CACHE_WORDS = 300_000  # of each of two generations
-JOINED = 500  # new words in one string
 SLICE = 256  # texts cut up at a time
+LONG_WORD = 256  # bytes; the model alone makes an object of each token, so longer words go through the whole tokenizer
 FILE_BYTES = 64 << 20  # of text in a file, about
 
-#: A-Z to a-z, other ASCII white space of the tokenizer to a blank.
-BLANKS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in b"\t\n\r" else b for b in range(256))
-LONE_STOP = re.compile(r"(?<=[a-z])(?=[.,](?: |\Z))")
+#: Lower-case letters that no normalizer changes, alone or side by side (Latin-1, Greek, Cyrillic, kana, Han, Hangul
+#: syllables), and ASCII marks after them but the apostrophe.
+LETTERS = "a-zß-öø-ÿά-ώа-џぁ-ゖァ-ヺ一-龥가-힣"
+LETTERS_THEN_MARKS = re.compile(f"([{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+#: The cut that takes such letters in one piece and such marks in another.
+CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: How the byte-level alphabet writes each byte: visible Latin-1 characters as themselves, the others from U+0100 on.
+_UNSEEN = [*range(33), *range(127, 161), 173]
+BYTE_CHARS = "".join(chr(256 + _UNSEEN.index(b)) if b in _UNSEEN else chr(b) for b in range(256))
 
 
 def default_tokenizer() -> str:
@@ -102,64 +115,79 @@ def by_words(spec: dict) -> bool:
     return plain and any(n.get("type") == "Lowercase" for n in steps) and apart and not spec.get("post_processor")
 
 
+def by_letters(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) cuts as CUT does, and its model, with nothing before or after it, encodes each piece."""
+    marked = all(re.fullmatch(r"<\|\w+\|>", t["content"]) for t in spec.get("added_tokens") or [])
+    steps, model = spec["normalizer"] or {}, spec["model"]
+    composed = {n["type"] for n in steps.get("normalizers", [steps]) if n} <= {"NFC", "Replace", "Lowercase"}
+    return by_words(spec) and composed and spec["pre_tokenizer"] == CUT and marked and model["type"] == "BPE" and not model.get("dropout")
+
+
+class Words(dict):
+    """Ids of distinct words (UTF-8, A-Z lower-cased), looked up or else encoded by the library, and kept in two generations.
+
+    The library's model gets the letters of LETTERS_THEN_MARKS as the tokenizer itself would hand them over (by_letters
+    looks at its file), and a lone stop or marks after them are words of their own; other words, and those of other
+    tokenizers, go through the whole tokenizer."""
+
+    def __init__(self, tok, code: str, letters: bool):
+        self.tok, self.code, self.letters = tok, code, letters
+        self.model, self.old = tok.model, {}
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            ids = self.encoded(word)
+        self[word] = ids
+        return ids
+
+    def encoded(self, word: bytes) -> bytes:
+        if self.letters and len(word) <= LONG_WORD:
+            if word.isalpha():
+                return self.piece(word)
+            if word[-1] in b".," and word[-2:-1].isalpha():
+                return self[word[:-1]] + self[word[-1:]]
+            if found := LETTERS_THEN_MARKS.fullmatch(word.decode()):
+                return self[found[1].encode()] + self[found[2].encode()] if found[2] else self.piece(word)
+        return self.pack(self.tok.encode(word.decode(), add_special_tokens=False).ids)
+
+    def piece(self, letters: bytes) -> bytes:
+        return self.pack([t.id for t in self.model.tokenize(charmap_decode(letters, "strict", BYTE_CHARS)[0])])
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+
 class Encoder:
-    """Ids of whole texts; distinct words are encoded once, by the library, many in one string.
+    """Ids of whole texts; distinct words are encoded once, by the library.
 
-    Texts are cut at ASCII blanks, after lower-casing A-Z and parting a letter from
-    the lone comma or full stop that ends its word.  The tokenizer lower-cases and
-    cuts there itself (by_words looks at its file, tests compare with whole texts), so only the number of
-    distinct words shrinks; another tokenizer encodes whole texts.  In a string of new words a mark of one id
-    stands between them; words with that mark are encoded alone."""
+    Texts are cut at ASCII white space after lower-casing A-Z.  The tokenizer lower-cases and cuts there itself
+    (by_words looks at its file, tests compare with whole texts), so only the number of distinct words shrinks;
+    another tokenizer encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.width, self.kind = (2, "<u2") if self.tok.get_vocab_size() <= 1 << 16 else (4, "<u4")
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cut = by_words(json.loads(self.tok.to_str()))
-        self.mark, self.mark_id = next(((c, ids[0]) for c in "^~|" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self.mark and self.mark not in w]
-        for lo in range(0, len(plain), JOINED):
-            some = plain[lo : lo + JOINED]
-            ids = np.array(self.tok.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, self.kind)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(some) - 1:
-                self._learn_singly(some)
-                continue
-            data, w = ids.tobytes(), self.width
-            begins, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(data)]
-            self.words.update(zip(some, map(data.__getitem__, map(slice, begins, ends))))
-        self._learn_singly([w for w in new if not self.mark or self.mark in w])
-
-    def _learn_singly(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = self._ids(e.ids)
+        self.width, code = (2, "H") if self.tok.get_vocab_size() <= 1 << 16 else (4, "I")
+        spec = json.loads(self.tok.to_str())
+        self.cut = by_words(spec)
+        self.words = Words(self.tok, code, by_letters(spec))
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         return [ids for lo in range(0, len(texts), SLICE) for ids in self._encode(texts[lo : lo + SLICE], end_id)]
 
     def _encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = self._ids([end_id])
+        end = self.words.pack([end_id])
         if not self.cut:
-            return [self._ids(e.ids) + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [LONE_STOP.sub(" ", t.encode("utf-8", "surrogatepass").translate(BLANKS).decode("utf-8", "surrogatepass")).split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.old, self.words = self.words, {}
-        new = set().union(*parts).difference(self.words)
-        if again := new & self.old.keys():
-            self.words.update((w, self.old[w]) for w in again)
-            new -= again
-        if new:
-            self._learn(list(new))
+            return [self.words.pack(e.ids) + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words.turn()
         of = self.words.__getitem__
-        return [b"".join([*map(of, p), end]) for p in parts]
+        return [b"".join([*map(of, t.encode().lower().split()), end]) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
