@@ -1,7 +1,10 @@
 """Analytics over many scorers: collusion, agreement, weights, stake snapshots, health."""
 
+import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,16 +181,123 @@ def coordinated_drops(rewards: DataFrame, share: float = 0.3, drop: float = 0.5)
     return g.withColumn("attack", F.col("fell") > share * F.col("n"))
 
 
+#: Uids and values of a block of profiles at most, and rows and places of a tile at most.
+BLOCK_UIDS, BLOCK_VALUES, TILE = 16_384, 1 << 19, 1024
+
+
+def _profiles(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and how many each list has."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _tiles(table: pa.Table, places: np.ndarray) -> list[list[tuple]]:
+    """By tiles of rows, by tiles of places: sums, squares and counts of each row's values there, as matrices."""
+    at, n = _profiles(table["at"])
+    x, row = _profiles(table["x"])[0], np.repeat(np.arange(len(n)), n)
+    i = np.searchsorted(places, at)
+    met = (i < len(places)) & (places[np.minimum(i, len(places) - 1)] == at)
+    i, x, row, out = i[met], x[met], row[met], []
+    for lo in range(0, len(n), TILE):
+        height, mine = min(TILE, len(n) - lo), slice(*np.searchsorted(row, [lo, lo + TILE]))
+        out.append([])
+        for left in range(0, len(places), TILE):
+            width, here = min(TILE, len(places) - left), (i[mine] >= left) & (i[mine] < left + TILE)
+            cell = (row[mine][here] - lo) * width + i[mine][here] - left
+            v = x[mine][here]
+            out[-1].append(tuple(np.bincount(cell, w, height * width).reshape(height, width) for w in (v, v * v, np.ones(len(v)))))
+    return out
+
+
+def _largest_cosines(a: pa.Table, b: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a its largest cosine with a row of b over the places of both, 0 at least, and the other way round; same: a is b."""
+    top_a, top_b = np.zeros(len(a)), np.zeros(len(b))
+    places = np.intersect1d(_profiles(a["at"])[0], _profiles(b["at"])[0])
+    if not len(places):
+        return top_a, top_b
+    left = _tiles(a, places)
+    right = left if same else _tiles(b, places)
+    for r, of_a in enumerate(left):
+        for c, of_b in enumerate(right):
+            if same and c < r:
+                continue
+            xy, xx, yy = (sum(p[i] @ q[j].T for p, q in zip(of_a, of_b)) for i, j in ((0, 0), (1, 2), (2, 1)))
+            norm = np.sqrt(np.multiply(xx, yy, out=xx), out=xx)
+            cosine = np.divide(xy, norm, out=np.zeros_like(xy), where=norm > 0)
+            if same and c == r:
+                np.fill_diagonal(cosine, 0)
+            for top, k, most in ((top_a, r, cosine.max(1)), (top_b, c, cosine.max(0))):
+                here = top[k * TILE : k * TILE + len(most)]
+                np.maximum(here, most, out=here)
+    return (np.maximum(top_a, top_b),) * 2 if same else (top_a, top_b)
+
+
+def closest(vectors: DataFrame, *keys: str) -> DataFrame:
+    """keys, uid, top: the largest cosine of a uid's values with those of another uid over what both have, 0 at least; only uids that share a place.
+
+    vectors: keys, uid, pos (a whole number), value.  Values of one uid and place count by every pair of them.  Uids whose values at the same
+    places are multiples of each other (to twelve digits) are one profile, whose top is 1.  The other profiles meet each other
+    and these in pairs of blocks of bounded size, as matrix products: the work is quadratic in different profiles, what is
+    shuffled is their number times that of blocks, and no pair is a row.  A place that two uids have and one of them without
+    a finite value there makes the top NaN."""
+    v = vectors.where(F.col("uid").isNotNull() & F.col("pos").isNotNull()).select(*keys, "uid", F.col("pos").cast("long").alias("at"), F.col("value").cast("double").alias("x"))
+    finite = F.coalesce(F.abs("x") < float("inf"), F.lit(True))
+    facts = v.groupBy(*keys, "at").agg((F.min("uid") != F.max("uid")).alias("met"), F.bool_or(~finite).alias("odd"))
+    one = F.struct("at", F.when(finite, F.coalesce("x", F.lit(0.0))).otherwise(0.0).alias("x"))
+    own = v.join(facts, [*keys, "at"]).groupBy(*keys, "uid").agg(F.array_sort(F.collect_list(one)).alias("p"), F.bool_or("met").alias("met"), F.bool_or(F.col("met") & F.col("odd")).alias("odd"))
+    most = F.array_max(F.transform("p", lambda e: F.abs(e["x"])))
+    own = own.where("met").withColumn("p", F.when(most > 0, F.transform("p", lambda e: F.struct(e["at"].alias("at"), (e["x"] / most).alias("x")))))
+    near = F.to_json(F.struct(F.transform("p", lambda e: F.struct(e["at"].alias("a"), (F.round(e["x"], 12) + 0.0).alias("x")))))  # no -0.0
+    twice = F.size("p") > F.size(F.array_distinct("p.at"))  # such values are no multiples of themselves
+    own = materialize(own.withColumn("profile", F.when(F.col("p").isNotNull(), F.md5(F.concat(near, F.when(twice, F.col("uid").cast("string")).otherwise(""))))), "profiles")
+    kinds = own.where("profile is not null").groupBy(*keys, "profile").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
+    kinds = materialize(kinds.join(own.select(*keys, "uid", "p"), [*keys, "uid"]).select(*keys, "profile", F.col("n").alias("same"), "p.at", "p.x"), "profiles")
+    found = kinds.select(*keys, "profile", F.when(F.col("same") > 1, 1.0).otherwise(0.0).alias("top")).unionByName(_among(kinds, *keys))
+    tops = found.groupBy(*keys, "profile").agg(F.max("top").alias("top"))
+    top = F.when(F.col("odd"), float("nan")).otherwise(F.coalesce("top", F.lit(0.0)))
+    return own.join(tops, [*keys, "profile"], "left").select(*keys, "uid", top.alias("top"))
+
+
+def _among(kinds: DataFrame, *keys: str) -> DataFrame:
+    """keys, profile, top: the largest cosines of the profiles that one uid has, from each pair of blocks. kinds: keys, profile, same, at, x."""
+    cores = kinds.sparkSession.sparkContext.defaultParallelism
+    alone = F.col("same") == 1
+    n = F.count(F.lit(1))
+    full = F.ceil(F.greatest(n / BLOCK_UIDS, F.sum(F.size("at")) / BLOCK_VALUES))
+    sizes = materialize(kinds.groupBy(*keys, alone.alias("alone")).agg(F.greatest(full, F.least(F.lit(math.isqrt(8 * cores) + 1), F.ceil(n / 256))).cast("int").alias("blocks")), "sizes")
+    dealt = kinds.withColumn("alone", alone).join(F.broadcast(sizes), [*keys, "alone"]).withColumn("block", F.pmod(F.xxhash64("profile"), "blocks").cast("int")).drop("blocks", "same")
+    each = sizes.select(*keys, "alone", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    a = each.where("alone").select(*keys, F.col("block").alias("a"))
+    b = each.select(*keys, "alone", F.col("block").alias("b"))
+    pairs = (a.join(b, list(keys)) if keys else a.crossJoin(b)).where("not alone or a <= b")
+    pairs = materialize(pairs, "pairs")  # a row a pair of blocks
+    parts = max(1, min(pairs.count(), 4096))
+    on = [*keys, "alone", "a", "b"]
+    left = dealt.where("alone").withColumnRenamed("block", "a").drop("alone").join(F.broadcast(pairs), [*keys, "a"]).repartition(parts, *on)
+    right = dealt.withColumnRenamed("block", "b").join(F.broadcast(pairs), [*keys, "alone", "b"]).where("not alone or a <> b")
+    right = right.toDF(*right.columns).repartition(parts, *on)  # columns of its own
+
+    def tops(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        same = bool(len(xs)) and xs["alone"][0].as_py() and xs["a"][0].as_py() == xs["b"][0].as_py()
+        ys = xs if same else ys
+        of_x, of_y = _largest_cosines(xs, ys, same) if len(xs) and len(ys) else (np.zeros(len(xs)), np.zeros(len(ys)))
+        out = xs.select([*keys, "profile"]).append_column("top", pa.array(of_x))
+        back = not same and len(ys) and ys["alone"][0].as_py()
+        return pa.concat_tables([out, ys.select([*keys, "profile"]).append_column("top", pa.array(of_y))]) if back else out
+
+    names = {f.name: f.dataType.simpleString() for f in kinds.schema}
+    schema = ", ".join([*(f"{k} {names[k]}" for k in keys), "profile string", "top double"])
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(tops, schema)
+
+
 def diversity(vectors: DataFrame, *keys: str, min_history: int = 0, min_uids: int = 0) -> DataFrame:
-    """1 - the largest cosine with any other uid; 0.5 without a peer or norm. vectors: keys, uid, pos, value.
+    """1 - the largest cosine with any other uid over what both have; 0.5 without a peer or norm. vectors: keys, uid, pos, value.
 
     Uids with fewer than min_history values are no peers and get 0.5; where there are fewer than min_uids of them in all, everyone does."""
     uids = vectors.groupBy(*keys, "uid").agg(F.sum(F.col("value") * F.col("value")).alias("norm"), F.count(F.lit(1)).alias("history"))
     if min_history:
         vectors = vectors.join(uids.where(F.col("history") >= min_history).select(*keys, "uid"), [*keys, "uid"], "left_semi")
-    pairs = similar_pairs(vectors.select(*keys, "uid", F.col("pos").alias("sid"), F.col("value").alias("score")), -2.0, 1, *keys)
-    both = pairs.select(*keys, F.col("a").alias("uid"), "cosine").unionByName(pairs.select(*keys, F.col("b").alias("uid"), "cosine"))
-    best = both.groupBy(*keys, "uid").agg(F.max("cosine").alias("top"))
+    best = closest(vectors, *keys)
     neutral = F.col("top").isNull() | (F.col("norm") == 0)
     if min_uids:
         population = uids.groupBy(*keys).agg(F.count(F.lit(1)).alias("population"))
