@@ -73,3 +73,14 @@ def test_tiles_do_not_change_cosines(monkeypatch, tile):
     assert of_b == pytest.approx([max(cosine(p, q) for p in parts[0]) for q in parts[1]])
     own, _ = N._largest_cosines(a, a, True)
     assert own == pytest.approx([max(cosine(p, q) for q in parts[0] if q is not p) for p in parts[0]])
+
+
+def test_diversity_of_days_among_uids_of_long_history(spark, monkeypatch):
+    monkeypatch.setattr(N, "similar_pairs", None)
+    rows = [(u, p, x) for u, p, x in odd_rows() if u is not None and u < 100 and (u % 3 or p < 6)]
+    n = {u: sum(v == u for v, _, _ in rows) for u in range(60)}
+    far = {u for u in n if n[u] >= 10}
+    want = {u: 0.5 for u in n} | plain([r for r in rows if r[0] in far])
+    assert 20 < len(far) < 60
+    table = spark.createDataFrame(rows, "uid long, pos long, value double")
+    assert {r.uid: r.diversity for r in N.diversity(table, min_history=10, min_uids=8).collect()} == pytest.approx(want, abs=1e-9)
