@@ -77,11 +77,16 @@ def weight_audit(spark, sf):
 
 
 def processed_weights(spark, sf):
-    """Weights under the 10 % quantile of their month left out, the rest shared out again."""
-    w = _weights(spark, sf)
-    q = w.groupBy("step").agg(F.percentile("weight", 0.1).alias("q"))
-    kept = w.join(q, "step").where("weight >= q")
-    return kept.select("step", "uid", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy("step")) + 1e-10, 6).alias("weight"))
+    """Weights under the 10 % quantile of their month left out, the rest shared out again.
+
+    Quantile and comparison see one computation of the weights: a sum of doubles made twice, in the order in which
+    rows arrive, may differ in its last bit, and the weights at the quantile would fall under it."""
+    every = Window.partitionBy("step")
+    place = F.row_number().over(every.orderBy(F.asc_nulls_last("weight"))) - 1
+    w = _weights(spark, sf).where("step is not null").withColumns({"place": place, "at": (F.count("weight").over(every) - 1) * F.lit(0.1)})
+    low, high = (F.max(F.when(F.col("place") == side("at"), F.col("weight"))).over(every) for side in (F.floor, F.ceil))
+    kept = w.withColumn("q", low + (high - low) * (F.col("at") - F.floor("at"))).where("weight >= q")
+    return kept.select("step", "uid", F.round(F.col("weight") / F.sum("weight").over(every) + 1e-10, 6).alias("weight"))
 
 
 def snapshot_changes(spark, sf):
