@@ -1,10 +1,11 @@
-"""The largest cosine with another uid, against plain pairs."""
+"""The largest cosine with another uid and the nearest vectors, against plain pairs."""
 
 import math
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from veracel.operators import detect as D
 from veracel.operators import network as N
 
 
@@ -84,3 +85,39 @@ def test_diversity_of_days_among_uids_of_long_history(spark, monkeypatch):
     assert 20 < len(far) < 60
     table = spark.createDataFrame(rows, "uid long, pos long, value double")
     assert {r.uid: r.diversity for r in N.diversity(table, min_history=10, min_uids=8).collect()} == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("tiles", [(3, 4), (1024, 4096)])
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e20])
+def test_k_nearest_equals_plain_distances(monkeypatch, tiles, scale):
+    monkeypatch.setattr(D, "TILE_QUERIES", tiles[0])
+    monkeypatch.setattr(D, "TILE_ROWS", tiles[1])
+    rng = np.random.default_rng(8)
+    m = np.vstack([rng.integers(0, 3, (40, 5)), rng.random((30, 5)), np.full((6, 5), 0.5), 1000 + rng.random((20, 5))]) * scale  # ties, copies, far ones
+    m[3, 1], mids = np.nan, rng.permutation(len(m))
+    mids[7] = mids[8]  # an id twice
+    q, qids = m[::3], mids[::3]
+    d = np.sqrt(((q[:, None] - m[None]) ** 2).sum(2)).round(6)
+    want = []
+    for i, a in enumerate(qids):
+        near = sorted((d[i, j], b) for j, b in enumerate(mids) if a != b and np.isfinite(d[i, j]))[:4]
+        want += [(a, b, x) for x, b in near]
+    assert list(zip(*D.k_nearest(qids, q, mids, m, 4))) == want
+    assert [len(c) for c in D.k_nearest(qids, q, mids[:0], m[:0], 4)] == [0, 0, 0]
+
+
+def test_nearest_keeps_few_rows_a_query(spark, monkeypatch):
+    """Blocks of 1,024 rows each gave k rows a query: as many as all pairs of blocks."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.random(3)]) for i in range(5000)]
+    memory = spark.createDataFrame(rows, "mid long, m array<float>").repartition(3)
+    seen = []
+    pairs = D.block_pairs
+    monkeypatch.setattr(D, "block_pairs", lambda *a, **k: seen.append(out := pairs(*a, **k).cache()) or out)
+    got = D.nearest(memory.where("mid % 50 = 0").withColumnsRenamed({"mid": "qid", "m": "q"}), memory, 5)
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    for r in got.where("place = 1").collect():
+        d = np.sqrt(((x - x[r.qid]) ** 2).sum(1)).round(6)
+        d[r.qid] = np.inf
+        assert (r.distance, r.mid) == (d.min(), d.argmin())
+    assert got.count() == 500 and seen[0].count() == 500
