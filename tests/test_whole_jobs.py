@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from compare import rows_of, rows_of_sql
 from pyspark.sql import functions as F
+from veracel.functions import scalars
 from veracel.operators import chain as C
 from veracel.operators import history as H
 from veracel.operators import network as N
@@ -154,3 +155,16 @@ def test_weights_and_their_quantile_are_computed_once(spark, tmp_path):
     got = QUERIES["processed_weights"](spark, str(tmp_path))
     assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
     assert rows_of(got) == rows_of_sql(SQL["processed_weights"], str(tmp_path))
+
+
+@pytest.mark.parametrize("most", [0, 3, 200_000])
+def test_term_weights_of_repeated_and_missing_ids(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(scalars, "FREQUENT_WORDS", most)
+    monkeypatch.setattr(scalars, "PART_CHARS", 40)
+    rows = [(1, "a b b  c"), (1, "b d A"), (None, "a rare one"), (None, "c c"), (2, None), (3, ""), (4, "b c d e f g")]
+    docs = [(i, t, "en", "x", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(QUERIES["tfidf_terms"](spark, str(tmp_path)))
+    words = [(r.id, r.word) for r in QUERIES["tfidf_terms"](spark, str(tmp_path)).where("id is null").collect()]
+    assert sorted(w for _, w in words) == ["a", "c", "one", "rare"] and len(got[1]) > 20
+    assert got == rows_of_sql(SQL["tfidf_terms"], str(tmp_path))

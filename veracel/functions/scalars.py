@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def hash_int(key: Column) -> Column:
     """First eight hexadecimal digits of SHA-256 as a number."""
@@ -42,15 +44,44 @@ def confidence(score: Column) -> Column:
     return F.least(2 * F.abs(score - 0.5), F.lit(1.0))
 
 
-def tfidf(docs: DataFrame) -> DataFrame:
-    """id, word, weight: (1 + ln tf) (1 + ln((1 + n) / (1 + df))), each document's weights of norm 1. docs: id, words."""
-    n = docs.count()
-    counts = docs.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    raw = (1 + F.log("tf")) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-    weighed = counts.join(df, "word").select("id", "word", raw.alias("raw"))
-    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighed.join(norms, "id").select("id", "word", (F.col("raw") / F.col("norm")).alias("weight"))
+#: Words whose counts are broadcast at most, and characters of a partition of documents.
+FREQUENT_WORDS, PART_CHARS = 200_000, 8_000_000
+
+
+def _frequent(df: DataFrame, most: int) -> int:
+    """The least count that so few words have, or more, that they can be broadcast. df: word, df."""
+    words, least = 0, 1 << 62
+    for r in df.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).toLocalIterator():  # a row a count
+        words += r.n
+        if words > most:
+            break
+        least = r.df
+    return least
+
+
+def tfidf(docs: DataFrame, words_of) -> DataFrame:
+    """id, word, weight: (1 + ln tf) (1 + ln((1 + n) / (1 + df))), each document's weights of norm 1; documents of one id are one.
+
+    docs: id, text; words_of: the words of a text column.  Pairs of document and word are never shuffled but for rare words:
+    the counts of the most frequent ones are broadcast, those of the others are sent to their documents, which are dealt by id once."""
+    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), (F.count_distinct("id") == F.count(F.lit(1))).alias("single")).first()
+    n, parts = facts.n, max(1, facts.chars // PART_CHARS)
+    key = F.col("id") if facts.single else F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    docs = docs.select(key.alias("key"), "id", "text")
+    each = docs.select("key", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    each = each if facts.single else each.distinct()
+    df = materialize(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
+    least = _frequent(df, FREQUENT_WORDS)
+    often = F.broadcast(df.where(F.col("df") >= least).withColumnRenamed("df", "often"))
+    rare = each.join(often, "word", "left_anti").join(df.where(F.col("df") < least), "word").groupBy("key").agg(F.collect_list(F.struct("word", F.lit(0).alias("tf"), "df")).alias("rare"))  # of one document
+    own = docs.repartition(parts, "key").join(rare.hint("shuffle_hash"), "key", "left")
+    told = F.transform(words_of(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(1).alias("tf"), F.lit(None).cast("long").alias("df")))
+    counts = own.select("key", "id", F.inline(F.concat(told, F.coalesce("rare", F.array().cast("array<struct<word:string,tf:int,df:bigint>>")))))
+    counts = counts.groupBy("key", "word").agg(F.first("id").alias("id"), F.sum("tf").alias("tf"), F.max("df").alias("df"))
+    raw = (1 + F.log("tf")) * (F.log((F.lit(n) + 1) / (F.coalesce("df", "often") + 1)) + 1)
+    weighed = counts.join(often, "word", "left").select("key", "id", "word", raw.alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("key")))
+    return weighed.select("id", "word", (F.col("raw") / norm).alias("weight"))
 
 
 def top_words(weights: DataFrame, k: int) -> DataFrame:

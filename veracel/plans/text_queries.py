@@ -51,12 +51,12 @@ def fractal_features(spark, sf):
 
 def tfidf_terms(spark, sf):
     """Sub-linear tf times smooth idf of every (document, word), L2-normed."""
-    return scalars.tfidf(samples(spark, sf).select("id", text.tokens(F.lower(F.col("output"))).alias("words"))).select("id", "word", F.round("weight", 6).alias("weight"))
+    return scalars.tfidf(samples(spark, sf).select("id", F.lower("output").alias("text")), text.tokens).select("id", "word", F.round("weight", 6).alias("weight"))
 
 
 def top_attributions(spark, sf):
     """The five heaviest words of each document."""
-    return scalars.top_words(scalars.tfidf(samples(spark, sf).select("id", text.tokens(F.lower(F.col("output"))).alias("words"))), 5)
+    return scalars.top_words(scalars.tfidf(samples(spark, sf).select("id", F.lower("output").alias("text")), text.tokens), 5)
 
 
 def hash_fractions(spark, sf):
