@@ -294,3 +294,19 @@ def test_p_values():
     assert statistics.rank_p_value([0.0, 1.0, -1.0, 0.5, float("nan")], [10, 10, 10, 2, 10]).tolist() == [1.0, 0.0, 0.0, 1.0, 1.0]
     big = statistics.rank_p_value([0.05], [100_000])[0]
     assert 0 <= big < 1e-50
+
+
+def test_fitting_an_index_holds_a_block_of_distances(spark):
+    """All distances of the sample to the centres were held at once, several times over."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).random((20_000, 4))
+    tracemalloc.start()
+    X.k_means(x, 300, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6 < 20_000 * 300 * 8
+    rows = spark.range(3000).select(F.col("id").alias("mid"), F.array(F.col("id").cast("double")).alias("m"))
+    first = [float(r.mid) for r in rows.orderBy(F.xxhash64("mid"), "mid").limit(100).collect()]
+    assert X._sample(rows, 3000, 100).ravel().tolist() == first
+    assert X._sample(rows.union(rows), 10**9, 100).ravel().tolist() == [v for v in first[:50] for _ in range(2)]  # a share too small at first
